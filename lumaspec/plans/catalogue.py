@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import cubes
+
+_PARTS = (cubes,)
+
 
 def queries() -> dict:
-    return {}
+    return {n: q for p in _PARTS for n, q in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: q for p in _PARTS for n, q in p.SQL.items()}
