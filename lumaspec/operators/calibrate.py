@@ -16,14 +16,14 @@ from .metrics import running
 
 def finite_quantile(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
     """``keys, quantile``: the ceil((n+1)(1-alpha))-th smallest value, at most the largest."""
-    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.groupBy(*[F.col(k).alias(f"q_{k}") for k in keys]).agg(F.sum("c").alias("n"))
+    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("cnt_"))
+    total = counts.groupBy(*[F.col(k).alias(f"q_{k}") for k in keys]).agg(F.sum("cnt_").alias("n"))
     rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha))))
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"q_{k}"))
-    below = running(counts, keys, [F.col("v")], ["c"]) if keys else running(counts.withColumn("k_", F.lit(0)), ["k_"], [F.col("v")], ["c"])
-    return below.join(total, on).where((F.col("before_c") < rank) & (F.col("before_c") + F.col("c") >= rank)).select(*keys, F.col("v").alias("quantile"))
+    below = running(counts, keys, [F.col("v")], ["cnt_"]) if keys else running(counts.withColumn("k_", F.lit(0)), ["k_"], [F.col("v")], ["cnt_"])
+    return below.join(total, on).where((F.col("before_cnt_") < rank) & (F.col("before_cnt_") + F.col("cnt_") >= rank)).select(*keys, F.col("v").alias("quantile"))
 
 
 @dataclass(frozen=True)

@@ -42,7 +42,7 @@ def hash_index(replicate: Column, draw: Column, n: Column, seed: int = 17) -> Co
     a, c, m = LCG
     first = F.pmod((replicate * 7919 + draw * 104729 + F.lit(seed)) * F.lit(a) + F.lit(c), F.lit(m))
     second = F.pmod(first * F.lit(a) + F.lit(c), F.lit(m))
-    return F.pmod(F.expr("0").cast("long") + F.floor(second / 65536).cast("long"), n)
+    return F.pmod(F.floor(second / 65536).cast("long"), n)
 
 
 def bootstrap(cases: DataFrame, value: str, order: str, replicates: int, seed: int = 17) -> DataFrame:
@@ -54,7 +54,7 @@ def bootstrap(cases: DataFrame, value: str, order: str, replicates: int, seed: i
     spark: SparkSession = cases.sparkSession
     numbered = cases.select(F.col(value).alias("value_"), (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("k_"))
     n = numbered.count()
-    draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).cast("long").alias("draw"))
+    draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.expr(f"sequence(0L, {max(n, 1) - 1}L)")).alias("draw"))
     drawn = draws.withColumn("k_", hash_index(F.col("replicate"), F.col("draw"), F.lit(n), seed))
     return drawn.join(numbered, "k_").groupBy("replicate").agg(F.avg("value_").alias("mean"))
 

@@ -50,11 +50,11 @@ def roc_curve(df: DataFrame, keys: list[str], tie: str, score: str = "score", la
 
 def far_thresholds(df: DataFrame, keys: list[str], far: float, score: str = "score") -> DataFrame:
     """``keys, threshold``: the score that at most ``far`` of the rows exceed (the (k+1)-th largest, k = floor(far n))."""
-    counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.count("*").alias("c"))
-    total = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    above = running(counts, keys, [F.col("score").desc()], ["c"])
+    counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.count("*").alias("cnt_"))
+    total = counts.groupBy(*keys).agg(F.sum("cnt_").alias("n"))
+    above = running(counts, keys, [F.col("score").desc()], ["cnt_"])
     k = F.floor(F.col("n") * F.lit(far))
-    return above.join(total, keys).where((F.col("before_c") <= k) & (F.col("before_c") + F.col("c") > k)).select(*keys, F.col("score").alias("threshold"))
+    return above.join(total, keys).where((F.col("before_cnt_") <= k) & (F.col("before_cnt_") + F.col("cnt_") > k)).select(*keys, F.col("score").alias("threshold"))
 
 
 def rates_at(df: DataFrame, keys: list[str], threshold: Column, score: str = "score", label: str = "label") -> DataFrame:
@@ -111,8 +111,8 @@ def coverage(lower: str, upper: str, truth: str) -> Column:
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
     """Adds ranks from 1 in which ties share their mean."""
-    counts = df.groupBy(*keys, F.col(value).alias("v_")).agg(F.count("*").alias("c"))
-    ranked = running(counts, keys, [F.col("v_")], ["c"]).select(*[F.col(k).alias(f"r_{k}") for k in keys], "v_", (F.col("before_c") + (F.col("c") + 1) / 2.0).alias(name))
+    counts = df.groupBy(*keys, F.col(value).alias("v_")).agg(F.count("*").alias("cnt_"))
+    ranked = running(counts, keys, [F.col("v_")], ["cnt_"]).select(*[F.col(k).alias(f"r_{k}") for k in keys], "v_", (F.col("before_cnt_") + (F.col("cnt_") + 1) / 2.0).alias(name))
     on = F.col(value).eqNullSafe(F.col("v_"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cubes
+from . import cubes, learned, tables
 
-_PARTS = (cubes,)
+_PARTS = (cubes, tables, learned)
 
 
 def queries() -> dict:
