@@ -127,7 +127,7 @@ class Dom:
                 continue
             tag = tag.lower()
             if m[1]:
-                block += tag not in INLINE
+                block += tag not in INLINE and tag not in UNSEEN
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         for name, _ in stack[k:]:
@@ -161,7 +161,7 @@ class Dom:
                     elif stack[k][0] in SCOPES:
                         break
             inline = tag in INLINE
-            block += not inline
+            block += not inline and tag not in UNSEEN
             if tag in RAW:  # its text runs to its own end tag
                 close = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else n
