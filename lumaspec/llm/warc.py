@@ -25,7 +25,7 @@ _MARK = (END + VERSION).encode()
 
 def chunk_bounds(data: memoryview, chunk_bytes: int):
     """Ends of the chunks of a UTF-8 payload: of at most ``chunk_bytes``, between characters, and
-    with no chunk that holds the mark between two records."""
+    with no chunk that makes the mark between two records, inside or after its header."""
     whole, at = bytes(data), 0
     while True:
         end = min(at + chunk_bytes, len(whole))
@@ -33,7 +33,9 @@ def chunk_bounds(data: memoryview, chunk_bytes: int):
             end -= 1
         mark = whole.find(_MARK, at, end)
         if mark >= 0:
-            end = mark + len(END)
+            end = mark + len(END) + 2
+        if whole.startswith(VERSION.encode(), at):  # it would follow its own header's end
+            end = min(end, at + 2)
         yield at, end
         at = end
         if at >= len(whole):
@@ -96,7 +98,7 @@ def archive_lines(pages: DataFrame, date: str, chunk_bytes: int = CHUNK_BYTES) -
     )
     page = page.withColumn("revisit", revisit).withColumn("about", about)
     small = F.octet_length("html") <= chunk_bytes
-    plain = F.instr("html", END + VERSION) == 0
+    plain = (F.instr("html", END + VERSION) == 0) & ~F.col("html").startswith(VERSION)
 
     def record(kind: Column, name: Column, extra: Column, body: Column) -> Column:
         return F.concat(
