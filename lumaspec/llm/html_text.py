@@ -381,12 +381,15 @@ def training_page(rng: random.Random, texts: list[str]) -> str:
 
 def fit_nodes(pages: DataFrame, sample_pages: int = 200, training_pages: int = 400, max_chars: int = 200_000, rounds: int = 12, depth: int = 5, seed: int = 11) -> NodeModel:
     """Train on ``training_pages`` pages laid out by rule around texts of at most ``sample_pages``
-    given pages (by least hashes of the url and id, of at most ``max_chars`` characters each)."""
+    given pages (those of the least hashes, of at most ``max_chars`` characters each; equal pages
+    count once). The hashes are ranked alone, so no page but the chosen ones leaves its task."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark: SparkSession = pages.sparkSession
-    some = pages.where(F.length("html").between(1, max_chars)).select("html", F.xxhash64(F.col("page_id").cast("string"), "url").alias("hash")).orderBy("hash", "html").limit(sample_pages).collect()
+    hashed = pages.where(F.length("html").between(1, max_chars)).select("html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("hash"))
+    last = hashed.select("hash").distinct().orderBy("hash").limit(sample_pages).agg(F.max("hash")).first()[0]
+    some = hashed.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").collect()
     texts = []
     for row in some:
         dom = Dom(row["html"])
