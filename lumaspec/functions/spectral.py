@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array; long ones go to the JVM as one text, which the optimizer folds."""
+    if len(values) <= 32:
+        return F.array(*[F.lit(float(v)) for v in values])
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def dot(spectrum: str, weights: Sequence[float]) -> Column:
@@ -51,11 +55,29 @@ def resample(spectrum: Column, grid: Column, to: Column) -> Column:
     return F.transform(to, lambda x: interpolate(x, grid, spectrum))
 
 
+def interpolate_at(values: Column, grid: Sequence[float], places: Sequence[float]) -> Column:
+    """:func:`interpolate` at fixed places of a fixed grid: their neighbours are found beforehand."""
+    low, high, past, width = [], [], [], []
+    for x in places:
+        below = bisect.bisect_right(grid, x)
+        inside = 0 < below < len(grid)
+        low.append(max(below, 1))
+        high.append(below + 1 if inside else max(below, 1))
+        past.append(x - grid[below - 1] if inside else 0.0)
+        width.append(grid[below] - grid[below - 1] if inside else 1.0)
+    low, high, past, width = literal(low).cast("array<int>"), literal(high).cast("array<int>"), literal(past), literal(width)
+
+    def one(i: Column) -> Column:
+        first = F.element_at(values, F.element_at(low, i))
+        return first + (F.element_at(values, F.element_at(high, i)) - first) * F.element_at(past, i) / F.element_at(width, i)
+
+    return F.transform(F.sequence(F.lit(1), F.lit(len(places))), one)
+
+
 def shift_bands(spectrum: Column, bands: int, fraction: float) -> Column:
     """Spectrum moved by a fraction of its band range, its ends extended."""
     move = fraction * (bands - 1)
-    grid = literal(range(bands))
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: interpolate(i.cast("double") - F.lit(move), grid, spectrum))
+    return interpolate_at(spectrum, [float(i) for i in range(bands)], [i - move for i in range(bands)])
 
 
 def wavelengths(bands: int, low: float = 400.0, high: float = 1000.0) -> list[float]:

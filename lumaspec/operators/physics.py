@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import apply_atmosphere, interpolate, literal, srf_weights, transmittance, wavelengths
+from ..functions.spectral import apply_atmosphere, dot_columns, interpolate_at, literal, srf_weights, transmittance, wavelengths
 
 
 def _bell(x: float, centre: float, width: float) -> float:
@@ -70,9 +70,10 @@ def transfer(spectrum: str, native: Sequence[float], centres: Sequence[float], *
     """A laboratory spectrum as a sensor sees it: shift, response, atmosphere, gain, in that order."""
     if centres[0] < native[0] - 1e-9 or centres[-1] > native[-1] + 1e-9:
         raise ValueError("the sensor reaches beyond the spectrum")
-    moved = F.transform(literal(native), lambda x: interpolate(x - F.lit(shift_nm), literal(native), F.col(spectrum))) if shift_nm else F.col(spectrum)
-    weights = srf_weights(native, centres, fwhm)
-    seen = F.transform(F.array(*[literal(r) for r in weights]), lambda row: F.aggregate(F.zip_with(row, moved, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e))
+    moved = interpolate_at(F.col(spectrum), native, [x - shift_nm for x in native]) if shift_nm else F.col(spectrum)
+    rows = F.array(*[literal(r) for r in srf_weights(native, centres, fwhm)])
+    # the outer transform holds the moved spectrum, which is so computed once a row
+    seen = F.transform(F.array(moved), lambda m: F.transform(rows, lambda row: dot_columns(row, m)))[0]
     return F.transform(apply_atmosphere(seen, transmittance(centres, strength), path), lambda v: v * F.lit(gain))
 
 

@@ -107,6 +107,11 @@ def test_spectra(spark):
     assert np.allclose(_column(df, S.moving_average(F.col("s"), 5, 3))[0], [1 / 3, 1, 2, 3, 11 / 3])
     x = [-1.0, 0.5, 1.75, 9.0]
     assert np.allclose(_column(df, S.resample(S.literal([1, 4, 9]), S.literal([0, 1, 2]), S.literal(x)))[0], np.interp(x, [0, 1, 2], [1, 4, 9]))
+    grid, at = [0.0, 1.0, 2.5, 4.0], [-1.0, 0.0, 0.25, 2.5, 3.9, 4.0, 9.0]
+    spectrum = spark.createDataFrame([(0, [3.0, 1.0, 4.0, 2.0])], "pixel_id int, s array<double>")
+    assert np.allclose(_column(spectrum, S.interpolate_at(F.col("s"), grid, at))[0], np.interp(at, grid, [3, 1, 4, 2]))
+    values = [0.1 * k - 3 for k in range(50)] + [1e-300, -0.0]
+    assert _column(spectrum, S.literal(values))[0].tolist() == values
     dip = physics.reporter(601, ((700.0, 12.0, 0.3),))
     seen = spark.createDataFrame([(0, dip)], "pixel_id int, s array<double>")
     moved = _column(seen, physics.transfer("s", S.wavelengths(601), S.wavelengths(601), fwhm=2.0, shift_nm=8.0))[0]
