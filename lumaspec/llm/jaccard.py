@@ -315,7 +315,7 @@ def similar_documents(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame
     rest = cut(rest, "jaccard-rest")
     if not rest.isEmpty():
         found = cut(components(links.unionAll(verified(rest, docs, spec))), "jaccard-found")
-    return rows.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return rows.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame:
