@@ -9,7 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lumaspec.llm import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, sharding, warc
+import corpus_pipeline
+from lumaspec.llm import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, sharding, token_rollup, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "Hello, World!! it's déjà vu."), (3, "Hello, World!! it's déjà vu."), (None, "x\ty z"), (5, "ΣΟΦΟΣ <|endoftext|> A'b <|EndOfText|>\r\nend"), (6, "word " * 9000)]
@@ -139,3 +140,158 @@ def test_mixing_of_odd_rows(docs):
     assert len(out) == 7 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert all(r["target"] <= 2 * r["source_size"] for r in out)
     assert "size" in mixing.take_mix(docs).columns
+
+
+def test_records_survive_line_feeds_at_buffer_ends(spark):
+    pages = spark.range(30_000).selectExpr("id as page_id", "'u' as url", "concat(repeat('y', cast(id % 37 as int)), '\\r\\n') as html").coalesce(1)
+    for compression in ("none", "gzip"):
+        back = warc.archive_round_trip(pages, compression=compression).join(pages, "page_id")
+        assert back.where("payload_digest = sha1(html) and record_type = 'response'").count() == 30_000
+
+
+def _root(links, nodes):
+    up = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(up[a], up[b])
+            changed |= up[a] != low or up[b] != low
+            up[a] = up[b] = low
+    return up
+
+
+def _sets(rows, k):
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    return out
+
+
+def _components(rows, k, percent):
+    sets = _sets(rows, k)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, _root(links, sets)
+
+
+def _copies(rng, count):
+    words = [f"W{k}" if k % 5 else "É" + str(k) for k in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 80))) for _ in range(count)]
+    for _ in range(count):
+        w = rng.choice(texts).split(" ")
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(rng.choice([" ", "\t", "\n "]).join(w))
+    return list(enumerate([None, "", " \n", "A", "a", "a B", "A b", *texts]))
+
+
+def test_similar_documents_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = _copies(rng, 60)
+    base = [f"c{k}" for k in range(60)]
+    for _ in range(60):  # a large group of near copies, linked in chains
+        base[rng.randrange(60)] = f"d{rng.randrange(1000)}"
+        rows.append((len(rows), " ".join(base)))
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, gid string, n int")
+    for k, percent in ((3, 90), (5, 80)):
+        sets, up = _components(rows, k, percent)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(df, jaccard.Jaccard(k, percent)).collect()}
+        assert got == {i: (len(sets[i]), up[i]) for i, _ in rows}
+    odd = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (2, "e f g h")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.similar_documents(odd).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 1)]
+    assert jaccard.similar_documents(df.where("false")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 16))
+    v = np.concatenate((v, v[:60] + 0.05 * rng.normal(size=(60, 16)), v[:20])) * rng.uniform(0.5, 2, (380, 1))
+    v[360:] = v[:20]  # equal vectors
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    odd = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [None] + [1.0] * 15), (1080, [float("inf")] * 16), (1100, [])]
+    return v, spark.createDataFrame([(i, x, 3) for i, x in rows + odd], "vec_id long, embedding array<double>, v int")
+
+
+def test_neighbours_against_brute_force(spark, vectors):
+    v, df = vectors
+    got = {}
+    for r in cross_polytope.nearest(df, "vec_id % 20 = 0", k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 380, 20))
+    found = 0
+    for q, near in got.items():
+        score = v @ v[q]
+        assert len(near) <= 10 and near == sorted(near, key=lambda x: (-x[1], x[0])) and all(abs(score[i] - s) < 1e-9 and i != q for i, s in near)
+        true = [i for i in np.lexsort((np.arange(380), -score)) if i != q][:10]
+        found += len(set(true) & {i for i, _ in near})
+    assert found >= 0.9 * 10 * len(got)
+    assert cross_polytope.nearest(df.where("false"), "vec_id % 20 = 0").count() == 0
+
+
+def test_near_vectors_against_brute_force(spark, vectors):
+    v, df = vectors
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    up = _root([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b], range(380))
+    got = {r["vec_id"]: tuple(r)[1:] for r in hnsw.near_vectors(df, shards=3).select("vec_id", "n_links", "component_id", "kept").collect()}
+    assert len(got) == 386
+    assert all(got[i] == (int(near[i].sum()), up[i], up[i] == i) for i in range(380))
+    assert all(got[i] == (0, i, True) for i in range(1000, 1101, 20))
+    assert hnsw.near_vectors(df.where("false")).count() == 0
+
+
+def test_rollup_batches_count_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "t1", 5, 0), ("a", "en", "t1", 7, 0), (None, None, "t1", None, 0), ("b", "de", "t1", 4, 0)], "source string, lang string, tokenizer string, tokens long, documents int")
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    assert rollup.totals().count() == 0
+    assert rollup.commit("one", token_rollup.inserts(rows)) and not rollup.commit("one", token_rollup.inserts(rows))
+    gone, old = rows.where("source = 'b'"), rows.where("tokens = 7")
+    assert rollup.commit("two", token_rollup.deletes(gone)) and rollup.commit("none", token_rollup.inserts(rows.where("false")))
+    assert rollup.commit("three", token_rollup.revisions(old, old.withColumn("tokens", token_rollup.F.lit(9))))
+    assert sorted(tuple(r) for r in rollup.totals().collect() if r["source"]) == [("a", "en", "t1", 2, 14)]
+    assert [tuple(r) for r in rollup.totals().where("source is null").collect()] == [(None, None, "t1", 1, 0)]
+
+
+def test_languages_held_out(spark):
+    rng, rows = random.Random(10), []
+    for lang, letters in (("en", "the and of water stone house river green"), ("de", "der und die wasser stein haus fluss grün")):
+        for _ in range(150):
+            rows.append((len(rows), " ".join(rng.choices(letters.split(), k=rng.randint(4, 60))), lang, "s", 0))
+    df = spark.createDataFrame([*rows, (900, "12 34 !!", "en", "s", 0), (901, None, None, None, 0)], "doc_id long, text string, lang string, source string, score int")
+    out = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id")
+    held = out.where("held_out and doc_id < 900").collect()
+    assert len(held) > 30 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
+    assert langid.identify(df.where("false")).count() == 0
+
+
+def test_main_text_of_pages(spark):
+    word = "plain words about a river and its stones, and more of them."
+    html = f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><article><h1>A &amp; B</h1><p>{word}</p><p>{word} Again.</p></article><div class="comments"><p>nice post</p></div><footer>&copy; all rights</footer></body></html>'
+    df = spark.createDataFrame([(1, "u", html, 0), (1, "u", html, 0), (None, None, None, 0), (3, "v", "", 0)], "page_id long, url string, html string, text int")
+    got = [tuple(r) for r in html_text.extract(df).collect()]
+    want = f"A & B\n{word}\n{word} Again."
+    assert sorted(got, key=str) == sorted([(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=str)
+    assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    rng, words = random.Random(12), {"en": "the and of water stone house river green they with".split(), "de": "der und die wasser stein haus fluss grün nicht auch".split()}
+    texts = [(lang, " ".join(rng.choices(words[lang], k=rng.randint(30, 60)))) for lang in words for _ in range(40)]
+    rows = [(k, t, lang, rng.choice(["a", "b", None]), len(t)) for k, (lang, t) in enumerate(texts + texts[:10])] + [(500, None, None, None, 0), (501, "123", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(90))
+    one = corpus_pipeline.ngram_jaccard(spark, kept, "")
+    _, up = _components([r[:2] for r in rows[:90]], 5, 80)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted({up[i] for i in range(90)})
+    mixed = corpus_pipeline.source_mixing(spark, one, "")
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(one).collect()}
+    taken = [r["doc_id"] for r in mixed.collect()]
+    assert mixed.columns == docs.columns and all(taken.count(i) == n for i, n in plan.items())
+    packed = corpus_pipeline.best_fit_packing(spark, mixed, "").collect()
+    assert sorted(r["doc_id"] for r in packed) == sorted(taken)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "source_mixing", "best_fit_packing"]
