@@ -452,6 +452,25 @@ u as (select vec_id, g, det, list_transform(w, lambda r: list_dot_product(r, s))
 select vec_id, round(((g[2][2]*g[3][3]-g[2][3]*g[3][2])*u[1] + (g[1][3]*g[3][2]-g[1][2]*g[3][3])*u[2] + (g[1][2]*g[2][3]-g[1][3]*g[2][2])*u[3]) / det, 6) as a3,
  round(((g[2][3]*g[3][1]-g[2][1]*g[3][3])*u[1] + (g[1][1]*g[3][3]-g[1][3]*g[3][1])*u[2] + (g[1][3]*g[2][1]-g[1][1]*g[2][3])*u[3]) / det, 6) as a4,
  round(((g[2][1]*g[3][2]-g[2][2]*g[3][1])*u[1] + (g[1][2]*g[3][1]-g[1][1]*g[3][2])*u[2] + (g[1][1]*g[2][2]-g[1][2]*g[2][1])*u[3]) / det, 6) as a5 from u"""
+SQL["family_features"] = _cte(_inverse(_FLOOR), _RXS, _SUBS, "tm as materialized (select list_transform(range(1, 65), lambda i: (f3.t[i] + f4.t[i] + f5.t[i]) / 3) as t from f3, f4, f5)", _W, _MFS, _blur("mf", "m1", 1.5), _blur("sb", "s1", 1.5), _blur("rx", "r1", 1.5), "ff as materialized (select mf.vec_id, mf.score as mf, m1.score as mf_s, sb.score as sub, s1.score as sub_s, rx.score as rx, r1.score as rx_s from mf join m1 using (vec_id) join sb using (vec_id) join s1 using (vec_id) join rx using (vec_id) join r1 using (vec_id))") + _z(["mf", "mf_s", "sub", "sub_s", "rx", "rx_s"], "ff")
+SQL["periodic_matched_filter"] = _cte(*_MF_BASE) + """, n as (select max(y) + 1 as h, 25::bigint as w from px),
+kd as (select h, unnest(range(h)) as k from n), kx as (select w, unnest(range(w)) as k from n),
+gy as materialized (select d.k as d, avg(exp(-2 * pi() ** 2 * 2.25::double * (least(f.k, f.h - f.k) / f.h::double) ** 2) * cos(2 * pi() * f.k * d.k / f.h::double)) as g from kd f, kd d group by 1),
+gx as materialized (select d.k as d, avg(exp(-2 * pi() ** 2 * 2.25::double * (least(f.k, f.w - f.k) / f.w::double) ** 2) * cos(2 * pi() * f.k * d.k / f.w::double)) as g from kx f, kx d group by 1),
+sc as materialized (select y, x, score from mf join px using (vec_id)),
+sy as materialized (select p.y, p.x, sum(g * q.score) as v from px p, n, sc q, gy where q.x = p.x and gy.d = (p.y - q.y + n.h) % n.h group by 1, 2)
+select p.vec_id, round(sum(g * q.v), 6) as score from px p, n, sy q, gx where q.y = p.y and gx.d = (p.x - q.x + n.w) % n.w group by 1"""
+SQL["transfer_family"] = _cte() + f""", m as materialized (select vec_id, sh, b, case when g >= 63 then s[64] else s[floor(g)::int + 1] + (s[floor(g)::int + 2] - s[floor(g)::int + 1]) * (g - floor(g)) end as v
+  from (select vec_id, s, sh, b, b - sh * 63 / 600 as g from px, (select unnest(range(64))::int as b), (select unnest([-8.0, 0.0]::double[]) as sh))),
+n as materialized (select *, exp(-0.5::double * (({_WL.format(k="b")} - c) / (f / {_SIGMA})) ** 2) as w from (select unnest(range(64))::int as b), (select unnest([15.0, 30.0]::double[]) as f), (select unnest(range(5))::int as k, unnest([420.0, 560.0, 700.0, 840.0, 980.0]::double[]) as c)),
+o as materialized (select vec_id, sh, f, k, c, sum(v * w) / sum(w) as o from m join n using (b) group by all),
+a as (select *, o * {_TAU("c", "a")} as seen from o, (select unnest([0.0, 1.0]::double[]) as a))
+select vec_id, f as fwhm, a as strength, sh as shift_nm, {", ".join(f"round(max(case when k = {k} then seen end), 6) as o{k}" for k in range(5))} from a group by all"""
+SQL["rotated_crop"] = _cte(*_MF_BASE) + """, p as (select v, u, 9.5::double + (v - 3.5::double) * cos(radians(15)) + (u - 4.5::double) * sin(radians(15)) as fy, 12.0::double - (v - 3.5::double) * sin(radians(15)) + (u - 4.5::double) * cos(radians(15)) as fx
+  from (select unnest(range(8))::int as v), (select unnest(range(10))::int as u)),
+k as (select v, u, floor(fy)::bigint + i as y, floor(fx)::bigint + j as x, (case i when 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case j when 1 then fx - floor(fx) else 1 - fx + floor(fx) end) as w from p, (select unnest(range(2)) as i), (select unnest(range(2)) as j)),
+sc as (select y, x, score from mf join px using (vec_id))
+select v, u, round(case when count(score) = 4 then sum(w * score) end, 6) as score from k left join sc using (y, x) group by v, u"""
 
 NAMES = ("background_mean_spectrum background_covariance matched_filter matched_filter_auc rx_anomaly rx_topk ace subspace_rank1 subspace_family_full spectral_angle sam_best_label smoothed_matched_filter smoothed_sam smoothed_subspace periodic_matched_filter spectral_moving_average band_ranking band_concentration top_band_filter_auc robust_diag_distance blind_features_zscore family_features gated_quantile_score gated_pca_score family_scaling nodata_mask per_pixel_max_normalise cube_normalise implant_linear implant_bilinear target_rms_noise_sigma ucls_abundance lattice_sample roi_mean_score false_color spectral_shift srf_resample atmosphere_apply transfer_family endmember_match reporter_response rotated_crop").split()
 QUERIES = {n: globals()[n] for n in NAMES}
