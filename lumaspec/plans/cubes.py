@@ -331,16 +331,16 @@ def _mean(name: str, where: str) -> str:
     return f"{name} as materialized (select list(m order by b) as t from (select b, avg(v) as m from e where {where} group by b))"
 
 
-def _inverse(ridge: str) -> str:
-    return f"""xc as materialized (select vec_id, list_transform(range(1, 65), lambda i: s[i] - m[i]) as z from px, mul),
-z as materialized (select vec_id, unnest(range(64))::int as b, unnest(z) as v from xc),
+def _inverse(ridge: str, n: int = 64) -> str:
+    return f"""xc as materialized (select vec_id, list_transform(range(1, {n + 1}), lambda i: s[i] - m[i]) as z from px, mul),
+z as materialized (select vec_id, unnest(range({n}))::int as b, unnest(z) as v from xc),
 c0 as materialized (select p.b as i, q.b as j, sum(p.v * q.v) / (select count(*) from px) as c from z p join z q using (vec_id) group by 1, 2),
 rg as materialized (select {ridge} as r from (select sum(c) as tr from c0 where i = j)),
-cm as materialized (select list(r order by i) as a from (select i, list(c + case when i = j then r else 0 end order by j) || list_transform(range(64), lambda k: case when k = i then 1.0::double else 0.0::double end) as r from c0, rg group by i)),
+cm as materialized (select list(r order by i) as a from (select i, list(c + case when i = j then r else 0 end order by j) || list_transform(range({n}), lambda k: case when k = i then 1.0::double else 0.0::double end) as r from c0, rg group by i)),
 gj as (select 0 as k, a from cm union all
-  select k + 1, list_transform(range(1, 65), lambda i: case when i = k + 1 then p else list_transform(range(1, 129), lambda j: a[i][j] - a[i][k + 1] * p[j]) end)
-  from (select k, a, list_transform(range(1, 129), lambda j: a[k + 1][j] / a[k + 1][k + 1]) as p from gj where k < 64)),
-inv as materialized (select list_transform(range(1, 65), lambda i: a[i][65:128]) as c from gj where k = 64)"""
+  select k + 1, list_transform(range(1, {n + 1}), lambda i: case when i = k + 1 then p else list_transform(range(1, {2 * n + 1}), lambda j: a[i][j] - a[i][k + 1] * p[j]) end)
+  from (select k, a, list_transform(range(1, {2 * n + 1}), lambda j: a[k + 1][j] / a[k + 1][k + 1]) as p from gj where k < {n})),
+inv as materialized (select list_transform(range(1, {n + 1}), lambda i: a[i][{n + 1}:{2 * n}]) as c from gj where k = {n})"""
 
 
 _PLAIN, _FLOOR = "1e-6::double * tr / 64", "greatest(1e-12::double, 1e-6::double * tr / 64)"
@@ -471,6 +471,13 @@ SQL["rotated_crop"] = _cte(*_MF_BASE) + """, p as (select v, u, 9.5::double + (v
 k as (select v, u, floor(fy)::bigint + i as y, floor(fx)::bigint + j as x, (case i when 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case j when 1 then fx - floor(fx) else 1 - fx + floor(fx) end) as w from p, (select unnest(range(2)) as i), (select unnest(range(2)) as j)),
 sc as (select y, x, score from mf join px using (vec_id))
 select v, u, round(case when count(score) = 4 then sum(w * score) end, 6) as score from k left join sc using (y, x) group by v, u"""
+#: the ten bands of the largest weights are a cube of their own, in names that hide the outer ones
+SQL["top_band_filter_auc"] = _cte(_T, _inverse(_FLOOR), _W) + """, wk as (select unnest(range(64))::int as b, abs(unnest(w)) as weight from w),
+tb as materialized (select list(b) as top from (select b from wk order by weight desc, b limit 10)),
+slim as materialized (select vec_id, label, list_transform(top, lambda b: s[b + 1]) as s from px, tb)
+select * from (with recursive px as materialized (select * from slim),
+e as materialized (select vec_id, label, unnest(range(10))::int as b, unnest(s) as v from px),
+""" + ",\n".join((_MU, _T, _inverse("1e-6::double * tr / 10", 10), _W.replace("range(1, 65)", "range(1, 11)"), _MFS)) + _AUC + " from r)"
 
 NAMES = ("background_mean_spectrum background_covariance matched_filter matched_filter_auc rx_anomaly rx_topk ace subspace_rank1 subspace_family_full spectral_angle sam_best_label smoothed_matched_filter smoothed_sam smoothed_subspace periodic_matched_filter spectral_moving_average band_ranking band_concentration top_band_filter_auc robust_diag_distance blind_features_zscore family_features gated_quantile_score gated_pca_score family_scaling nodata_mask per_pixel_max_normalise cube_normalise implant_linear implant_bilinear target_rms_noise_sigma ucls_abundance lattice_sample roi_mean_score false_color spectral_shift srf_resample atmosphere_apply transfer_family endmember_match reporter_response rotated_crop").split()
 QUERIES = {n: globals()[n] for n in NAMES}
