@@ -28,13 +28,16 @@ def letters(text: str) -> str:
 @dataclass(frozen=True)
 class LanguageModel:
     """Languages in order and their dictionaries' contents. Texts of at most ``short_bytes`` are
-    compressed at ``short_level``, which tells a few bytes apart, longer ones at ``level``."""
+    compressed at ``short_level``, which tells a few bytes apart, longer ones at ``level``, in
+    blocks of equal length of at most ``block_bytes``: each is a frame of its own, so that the
+    dictionary never gives way to the text's own history and all parts of a text weigh the same."""
 
     languages: tuple[str, ...]
     contents: tuple[bytes, ...]
     level: int = 6
     short_level: int = 12
     short_bytes: int = 512
+    block_bytes: int = 4096
     min_margin: float = 0.0005
 
     def sizes(self):
@@ -52,8 +55,16 @@ class LanguageModel:
                 made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=use))
             return made
 
-        short, long = compressors(self.short_level, self.short_bytes), compressors(self.level, 4096)
-        return lambda data: [len(c.compress(data)) for c in (short if len(data) <= self.short_bytes else long)]
+        short, long = compressors(self.short_level, self.short_bytes), compressors(self.level, self.block_bytes)
+
+        def total(data: bytes) -> list[int]:
+            if len(data) <= self.short_bytes:
+                return [len(c.compress(data)) for c in short]
+            n = -(-len(data) // self.block_bytes)
+            blocks = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+            return [sum(len(c.compress(b)) for b in blocks) for c in long]
+
+        return total
 
 
 def fit_languages(docs: DataFrame, where: Column, docs_per_language: int = 400, max_chars: int = 20_000, dictionary_bytes: int = 64_000, **options) -> LanguageModel:

@@ -268,6 +268,27 @@ def test_languages_held_out(spark):
     assert langid.identify(df.where("false")).count() == 0
 
 
+def _invented(seed):
+    """A language model of two invented languages, and a function that writes text in one of them."""
+    rng = np.random.default_rng(seed)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(1500)] for lang, letters in (("en", "etaoinshrdlu"), ("de", "enisratdhulg"))}
+    odds = 1 / np.arange(3, 1503)
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang], n // 4, p=odds / odds.sum()))[:n]
+
+    return langid.LanguageModel(("en", "de"), tuple(text(lang, 64_000).encode() for lang in ("en", "de"))), text
+
+
+def test_all_parts_of_a_long_text_count(spark):
+    model, text = _invented(13)
+    rows = [(1, text("de", 30_000) + " " + text("en", 270_000)), (2, text("en", 30_000) + " " + text("de", 270_000))]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "en", 2: "de"}
+    one, four = (np.diff(model.sizes()(text("en", n).encode()))[0] for n in (250_000, 1_000_000))
+    assert 3 < four / one < 5  # the lead grows with the text
+
+
 def test_main_text_of_pages(spark):
     word = "plain words about a river and its stones, and more of them."
     html = f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><article><h1>A &amp; B</h1><p>{word}</p><p>{word} Again.</p></article><div class="comments"><p>nice post</p></div><footer>&copy; all rights</footer></body></html>'
