@@ -289,6 +289,15 @@ def test_all_parts_of_a_long_text_count(spark):
     assert 3 < four / one < 5  # the lead grows with the text
 
 
+def test_clean_long_texts_stay_and_short_jumbles_go(spark):
+    model, text = _invented(14)
+    rng = random.Random(15)
+    jumbles = [(k, " ".join("".join(rng.choices("etaoinshrdlugcwy", k=5)) for _ in range(10))) for k in range(10, 40)]
+    df = spark.createDataFrame([(1, text("en", 5_000_000)), (2, text("de", 2_000_000)), (3, text("en", 300)), *jumbles], "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.drop_rejected(df, model).collect()}
+    assert {1, 2, 3} <= kept and len(kept) <= 3 + 1  # one jumble of thirty may look like a word
+
+
 def test_main_text_of_pages(spark):
     word = "plain words about a river and its stones, and more of them."
     html = f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><article><h1>A &amp; B</h1><p>{word}</p><p>{word} Again.</p></article><div class="comments"><p>nice post</p></div><footer>&copy; all rights</footer></body></html>'
