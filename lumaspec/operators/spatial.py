@@ -21,45 +21,168 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
     return [(o, w / total) for o, w in raw]
 
 
-def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score") -> DataFrame:
+def _sized(scores: DataFrame, value: str) -> DataFrame:
+    """``scene_id, y, x``, the value, and the scene's height, width and whether a value is missing (one row a scene is sent to all tasks)."""
+    slim = scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value))
+    bad = F.col(value).isNull() | F.isnan(value)
+    sizes = slim.groupBy(F.col("scene_id").alias("scene_")).agg((F.max("y").cast("long") + 1).alias("h_"), (F.max("x").cast("long") + 1).alias("w_"), F.max(bad).alias("bad_"))
+    return slim.join(F.broadcast(sizes), F.col("scene_id").eqNullSafe(F.col("scene_"))).drop("scene_")
+
+
+def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score", tile: int = 256) -> DataFrame:
     """``scene_id, y, x`` and the smoothed value; edges reflect with the edge pixel repeated.
 
-    A scene's map is one number per pixel, so each scene is one group, smoothed along y and then x.
+    Scenes are dealt into square tiles, each with the pixels that its edge needs from its
+    neighbours, and a tile is smoothed along y and then x; no task holds a whole scene.
     """
     taps = gaussian_taps(sigma)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(frame["y"].max()) + 1, int(frame["x"].max()) + 1
-        image = np.full((h, w), np.nan)
-        image[frame["y"], frame["x"]] = frame[value]
-        for axis, size in ((0, h), (1, w)):
-            out = np.zeros_like(image)
+    radius = taps[-1][0]
+    side = max(tile, 4 * radius)  # a scene narrower than the radius, which reflects many times, is one tile
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        place = {}
+        for axis, size, t in (("y", "h_", key[1]), ("x", "w_", key[2])):
+            n, at = int(frame[size].iloc[0]), int(t) * side
+            place[axis] = n, at, min(n, at + side), max(0, at - radius), min(n, at + side + radius)
+        (h, top, bottom, y0, y1), (w, left, right, x0, x1) = place["y"], place["x"]
+        image = np.full((y1 - y0, x1 - x0), np.nan)
+        image[frame["y"] - y0, frame["x"] - x0] = frame[value]
+        for axis, size, first, last, start in ((0, h, top, bottom, y0), (1, w, left, right, x0)):
+            out = 0.0
             for o, weight in taps:
-                at = np.mod(np.arange(size) + o, 2 * size)
+                at = np.mod(np.arange(first, last) + o, 2 * size)
                 at = np.where(at >= size, 2 * size - 1 - at, at)
-                out += weight * np.take(image, at, axis)
+                out = out + weight * np.take(image, at - start, axis)
             image = out
-        frame[value] = image[frame["y"], frame["x"]]
-        return frame
-
-    slim = scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value))
-    return slim.groupBy("scene_id").applyInPandas(run, slim.schema)
-
-
-def gaussian_periodic(scores: DataFrame, sigma: float, value: str = "score") -> DataFrame:
-    """As :func:`gaussian_reflect`, with edges that meet, by the transfer function in frequency."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(frame["y"].max()) + 1, int(frame["x"].max()) + 1
-        image = np.zeros((h, w))
-        image[frame["y"], frame["x"]] = frame[value]
-        fy, fx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :]
-        image = np.fft.ifft2(np.fft.fft2(image) * np.exp(-2 * np.pi**2 * sigma**2 * (fy**2 + fx**2))).real
-        frame[value] = image[frame["y"], frame["x"]]
-        return frame
-
-    slim = scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value))
-    return slim.groupBy("scene_id").applyInPandas(run, slim.schema)
+        own = frame[frame["y"].between(top, bottom - 1) & frame["x"].between(left, right - 1)][["scene_id", "y", "x", value]].copy()
+        own[value] = image[own["y"] - top, own["x"] - left]
+        return own
+
+    sized = _sized(scores, value)
+
+    def tiles(axis: str, size: str):
+        at = F.col(axis).cast("long")
+        return F.explode(F.sequence(F.floor(F.greatest(at - radius, F.lit(0)) / side), F.floor(F.least(at + radius, F.col(size) - 1) / side)))
+
+    dealt = sized.withColumn("ty_", tiles("y", "h_")).withColumn("tx_", tiles("x", "w_"))
+    return dealt.groupBy("scene_id", "ty_", "tx_").applyInPandas(run, scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value)).schema)
+
+
+def _line_pass(df: DataFrame, axis: str, sigma: float, value: str, all_pixels: bool, longest: int) -> DataFrame:
+    """Lines along one axis through the transfer function, in bands of lines of about ``longest`` pixels."""
+    size, across = ("h_", "x") if axis == "y" else ("w_", "y")
+    other = "w_" if axis == "y" else "h_"
+    names = ["scene_id", "y", "x", value, "own_", "bad_", "h_", "w_"]
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(frame[size].iloc[0]), int(frame[other].iloc[0])
+        lines = max(1, longest // n)
+        start = int(key[1]) * lines
+        at, line = frame[axis].to_numpy(), frame[across].to_numpy() - start
+        image, own = np.zeros((n, min(lines, m - start))), np.zeros((n, min(lines, m - start)), bool)
+        image[at, line], own[at, line] = frame[value], frame["own_"]
+        image = np.fft.ifft(np.fft.fft(image, axis=0) * _transfer(np.fft.fftfreq(n), sigma)[:, None], axis=0).real
+        i, j = np.indices(image.shape).reshape(2, -1) if all_pixels else np.nonzero(own)
+        out = pd.DataFrame({axis: i, across: j + start, value: image[i, j], "own_": own[i, j]})
+        return out.assign(**{c: frame[c].iloc[0] for c in ("scene_id", "bad_", "h_", "w_")})[names]
+
+    band = F.floor(F.col(across) / F.greatest(F.lit(1), F.floor(F.lit(longest) / F.col(size)))).alias("band_")
+    return df.select(*names).groupBy("scene_id", band).applyInPandas(run, df.select(*names).schema)
+
+
+def _transfer(f, sigma: float):
+    return np.exp(-2 * np.pi**2 * sigma**2 * f**2)
+
+
+def _fft(df: DataFrame) -> DataFrame:
+    """``scene_id, line, i, n, m, re, im`` with m a power of two: the transform of length m over i of
+    each line, by Cooley and Tukey's two steps; each group has about the root of m rows."""
+
+    columns = df.columns
+
+    def halves(m: int) -> tuple[int, int]:
+        one = 1 << ((m.bit_length() - 1) // 2)
+        return one, m // one
+
+    def step(second: bool):
+        def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+            m, fixed = int(frame["m"].iloc[0]), int(key[2])
+            m1, m2 = halves(m)
+            z = np.zeros(m2 if second else m1, complex)
+            z[frame["i"].to_numpy() // m1 if second else frame["i"].to_numpy() // m2] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
+            z, k = np.fft.fft(z), np.arange(len(z))
+            if not second:
+                z = z * np.exp(-2j * np.pi * (fixed * k) / m)
+            out = pd.DataFrame({"i": fixed + m1 * k if second else k + m1 * fixed, "re": z.real, "im": z.imag})
+            return out.assign(**{c: frame[c].iloc[0] for c in ("scene_id", "line", "n", "m")})[columns]
+
+        return run
+
+    one = F.pow(F.lit(2.0), F.floor(F.round(F.log2("m")) / 2)).cast("long")
+    first = df.groupBy("scene_id", "line", (F.col("i") % (F.col("m") / one).cast("long")).alias("f_")).applyInPandas(step(False), df.schema)
+    return first.groupBy("scene_id", "line", (F.col("i") % one).alias("f_")).applyInPandas(step(True), df.schema)
+
+
+def _times(re, im, re2, im2):
+    return (re * re2 - im * im2), (re * im2 + im * re2)
+
+
+def _dft(df: DataFrame) -> DataFrame:
+    """``scene_id, line, i, n, m, re, im``: the transform of any length n over i of each line, by Bluestein's chirps."""
+    i, n, m, re, im = (F.col(c) for c in ("i", "n", "m", "re", "im"))
+    angle = F.lit(math.pi) * ((i * i) % (2 * n)) / n
+    keys = ["scene_id", "line", "i", "n", "m"]
+
+    def put(frame: DataFrame, pair) -> DataFrame:
+        return frame.select(*keys, pair[0].alias("re"), pair[1].alias("im"))
+
+    chirped = _fft(put(df, _times(re, im, F.cos(angle), -F.sin(angle))))
+    sizes = df.groupBy("scene_id", "n", "m").agg(F.lit(0).cast("long").alias("line"))
+    ends = sizes.select("scene_id", "line", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 65536))).alias("c"))
+    chirp = ends.select("scene_id", "line", "n", "m", F.explode(F.sequence(F.col("c") * 65536, F.least(F.col("c") * 65536 + 65535, n - 1))).alias("i"))
+    chirp = chirp.select(*keys, F.cos(angle).alias("re"), F.sin(angle).alias("im"))
+    chirp = chirp.unionByName(chirp.where("i > 0").withColumn("i", m - i))
+    chirp = _fft(chirp.select(*df.columns)).select(F.col("scene_id").alias("s_"), F.col("i").alias("i_"), F.col("re").alias("re_"), F.col("im").alias("im_"))
+    both = chirped.join(chirp, F.col("scene_id").eqNullSafe(F.col("s_")) & (i == F.col("i_")))
+    a, b = _times(re, im, F.col("re_"), F.col("im_"))
+    back = _fft(put(both, (a, -b))).where(i < n)  # the inverse, as the conjugate of the conjugate's transform
+    return put(back, _times(re / m, -im / m, F.cos(angle), -F.sin(angle)))
+
+
+def _long_pass(df: DataFrame, axis: str, sigma: float, value: str, all_pixels: bool) -> DataFrame:
+    """As :func:`_line_pass`, for lines too long for one task."""
+    size, across = ("h_", "x") if axis == "y" else ("w_", "y")
+    n = F.col(size)
+    wide = F.pow(F.lit(2.0), F.ceil(F.log2(2 * n))).cast("long")
+    z = df.select("scene_id", F.col(across).cast("long").alias("line"), F.col(axis).cast("long").alias("i"), n.alias("n"), wide.alias("m"), F.col(value).alias("re"), F.lit(0.0).alias("im"))
+    f = F.least("i", F.col("n") - F.col("i")) / F.col("n")
+    gain = F.exp(F.lit(-2 * math.pi**2 * sigma**2) * f * f)
+    z = _dft(_dft(z).withColumns({"re": F.col("re") * gain, "im": -F.col("im") * gain}))
+    out = z.select(F.col("scene_id").alias("s_"), F.col("i").cast("int").alias("a_"), F.col("line").cast("int").alias("b_"), (F.col("re") / F.col("n")).alias("v_"))
+    found = out.join(df, F.col("scene_id").eqNullSafe(F.col("s_")) & (F.col(axis) == F.col("a_")) & (F.col(across) == F.col("b_")), "left" if all_pixels else "inner")
+    if not all_pixels:
+        return found.where("own_").select("scene_id", "y", "x", F.col("v_").alias(value), "own_", "bad_", "h_", "w_")
+    sizes = F.broadcast(df.groupBy(F.col("scene_id").alias("t_")).agg(F.max("bad_").alias("bad_"), F.max("h_").alias("h_"), F.max("w_").alias("w_")))
+    found = found.select("s_", F.col("a_").alias(axis), F.col("b_").alias(across), F.col("v_").alias(value), F.coalesce("own_", F.lit(False)).alias("own_"))
+    return found.join(sizes, F.col("s_").eqNullSafe(F.col("t_"))).select(F.col("s_").alias("scene_id"), "y", "x", value, "own_", "bad_", "h_", "w_")
+
+
+def gaussian_periodic(scores: DataFrame, sigma: float, value: str = "score", longest: int = 1 << 20) -> DataFrame:
+    """As :func:`gaussian_reflect`, with edges that meet, by the transfer function in frequency.
+
+    The function ends at the highest frequency, so that the kernel falls with the square of the
+    distance only and can't be cut: lines are transformed whole, along x and then y. Tasks take
+    bands of lines of about ``longest`` pixels; a line longer than that is transformed in two steps
+    over groups of about its root. A missing pixel is 0; one that is null or NaN makes its scene null.
+    """
+    sized = _sized(scores, value)
+    most = scores.agg(F.max("y").cast("long") + 1, F.max("x").cast("long") + 1).first()
+    df = sized.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.when(F.col("bad_"), 0.0).otherwise(F.col(value)).alias(value), F.lit(True).alias("own_"), "bad_", "h_", "w_")
+    for axis, size, top, rest in (("x", "w_", most[1], True), ("y", "h_", most[0], False)):
+        short = _line_pass(df.where(F.col(size) <= longest), axis, sigma, value, rest, longest)
+        df = short.unionByName(_long_pass(df.where(F.col(size) > longest), axis, sigma, value, rest)) if (top or 0) > longest else short
+    kinds = dict(scores.dtypes)
+    return df.select("scene_id", *[F.col(c).cast(kinds[c]).alias(c) for c in ("y", "x")], F.when(~F.col("bad_"), F.col(value)).alias(value))
 
 
 def lattice(pixels: DataFrame, height: int, width: int, most: int = 96) -> DataFrame:

@@ -154,11 +154,11 @@ def robust_diag_distance(spark, d):
 
 
 def _features(px: DataFrame, named: dict[str, object], smooth: dict[str, tuple[str, float]]) -> DataFrame:
-    base = px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()])
+    base = out = px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()])
     for name, (of, sigma) in smooth.items():
         map_ = spatial.gaussian_reflect(base.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name)
-        base = base.join(map_, ["scene_id", "y", "x"])
-    return base
+        out = out.join(map_, ["scene_id", "y", "x"])
+    return out
 
 
 def blind_features_zscore(spark, d):

@@ -13,9 +13,9 @@ _NAMES = ["mf", "ace", "mf_s", "mf_w", "ace_s"]
 
 def _five(px):
     bg, t = stats.background(px), _target(px)
-    out = px.select("scene_id", "pixel_id", "y", "x", "gt", detect.matched_filter(bg, t).alias("mf"), detect.ace(bg, t).alias("ace"))
+    base = out = px.select("scene_id", "pixel_id", "y", "x", "gt", detect.matched_filter(bg, t).alias("mf"), detect.ace(bg, t).alias("ace"))
     for name, of, sigma in (("mf_s", "mf", 1.0), ("mf_w", "mf", 2.5), ("ace_s", "ace", 1.5)):
-        out = out.join(spatial.gaussian_periodic(out.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name), ["scene_id", "y", "x"])
+        out = out.join(spatial.gaussian_periodic(base.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name), ["scene_id", "y", "x"])
     return learn.standardised(out, _NAMES, ["scene_id"])
 
 

@@ -169,3 +169,33 @@ def test_entry_lists_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "matched_filter" in e.queries()
+
+
+def _smoothed(df, h, w):
+    out = np.full((h, w), np.nan)
+    for r in df.collect():
+        out[r["y"], r["x"]] = np.nan if r["score"] is None else r["score"]
+    return out
+
+
+def test_smoothing_in_pieces_is_that_of_the_whole(spark):
+    image = np.random.default_rng(4).normal(size=(21, 6))
+    cells = [("s", y, x, float(image[y, x])) for y in range(21) for x in range(6)]
+    df = spark.createDataFrame(cells, "scene_id string, y int, x int, score double").repartition(3)
+    at, want = lambda k, n: (k % (2 * n)) if k % (2 * n) < n else 2 * n - 1 - k % (2 * n), image
+    for axis, n in ((0, 21), (1, 6)):
+        want = sum(g * np.take(want, [at(k + o, n) for k in range(n)], axis) for o, g in spatial.gaussian_taps(0.8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tiled = spatial.gaussian_reflect(df, 0.8, tile=8)
+    assert tiled.rdd.glom().map(len).filter(bool).count() > 1  # not one task
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert np.allclose(_smoothed(tiled, 21, 6), want, atol=1e-13)
+    fy, fx = np.fft.fftfreq(21)[:, None], np.fft.fftfreq(6)[None, :]
+    image[5, 3] = 0
+    want = np.fft.ifft2(np.fft.fft2(image) * np.exp(-2 * np.pi**2 * (fy**2 + fx**2))).real
+    want[5, 3] = np.nan
+    for longest in (1 << 20, 30, 10):  # whole, bands of lines, long columns
+        gaps = spatial.gaussian_periodic(df.where("not (y = 5 and x = 3)"), 1.0, longest=longest)
+        assert np.allclose(_smoothed(gaps, 21, 6), want, atol=1e-12, equal_nan=True), longest
+    turned = spatial.gaussian_periodic(df.where("not (y = 5 and x = 3)").selectExpr("scene_id", "x as y", "y as x", "score"), 1.0, longest=10)
+    assert np.allclose(_smoothed(turned, 6, 21), want.T, atol=1e-12, equal_nan=True)  # long rows
