@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spectral import clip
-from .metrics import running
+from .metrics import quantiles, running
 
 
 def finite_quantile(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
@@ -105,9 +105,9 @@ def fit_temperature(df: DataFrame, logit: str, label: str) -> Logistic:
 
 def robust_standardise(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
     """Adds (x - median) / max(1.4826 MAD, 1e-12) within keys."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("m_"))
+    middle = quantiles(df, keys, value, [0.5]).withColumnRenamed("q0", "m_")
     near = df.join(middle, keys)
-    wide = near.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("m_"))).alias("d_"))
+    wide = quantiles(near.select(*keys, F.abs(F.col(value) - F.col("m_")).alias("far_")), keys, "far_", [0.5]).withColumnRenamed("q0", "d_")
     return near.join(wide, keys).withColumn(name, (F.col(value) - F.col("m_")) / F.greatest(F.lit(1.4826) * F.col("d_"), F.lit(1e-12))).drop("m_", "d_")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import dot, literal, norm
+from .metrics import quantiles
 from .stats import Background, background
 
 EPS = 1e-12
@@ -66,10 +67,11 @@ def spectral_angle(target, spectrum: str = "spectrum") -> Column:
 
 
 def diagonal_distance(pixels: DataFrame, spectrum: str = "spectrum") -> Column:
-    """Distance from the band medians in robust band widths, per pixel; medians take one shuffle by band."""
+    """Distance from the band medians in robust band widths, per pixel; medians by running sums over ranges of values."""
     bands = pixels.select(F.posexplode(spectrum).alias("band", "v"))
-    middle = bands.groupBy("band").agg(F.median("v").alias("m"))
-    wide = bands.join(F.broadcast(middle), "band").groupBy("band", "m").agg((F.lit(1.4826) * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
+    middle = quantiles(bands, ["band"], "v", [0.5]).withColumnRenamed("q0", "m")
+    far = bands.join(F.broadcast(middle), "band").select("band", "m", F.abs(F.col("v") - F.col("m")).alias("far"))
+    wide = quantiles(far, ["band", "m"], "far", [0.5]).select("band", "m", (F.lit(1.4826) * F.col("q0")).alias("s"))
     rows = wide.orderBy("band").collect()  # one row per band
     centre, scale = [r["m"] for r in rows], [max(r["s"], EPS) for r in rows]
     z = F.zip_with(F.zip_with(spectrum, literal(centre), lambda v, m: v - m), literal(scale), lambda v, s: v / s)

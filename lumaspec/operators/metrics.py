@@ -26,6 +26,30 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: list[str]
     return out
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
+    """``keys, q0, q1, ...``: exact quantiles between the two nearest ranks, nulls left out. Values
+    are counted and ranked by running sums over ranges, so no task holds a group."""
+    by = keys or ["k_"]
+    rows = (df if keys else df.withColumn("k_", F.lit(0))).where(F.col(value).isNotNull())
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("cnt_"))
+    total = counts.groupBy(*[F.col(k).alias(f"q_{k}") for k in by]).agg(F.sum("cnt_").alias("n_"))
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"q_{k}"))
+    ranked = running(counts, by, [F.col("v_")], ["cnt_"]).join(total, on)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when((F.col("before_cnt_") <= rank) & (rank < F.col("before_cnt_") + F.col("cnt_")), F.col("v_")))
+
+    def point(p: float) -> Column:
+        place = (F.max("n_") - 1) * F.lit(p)
+        each = (F.col("n_") - 1) * F.lit(p)
+        low, high = at(F.floor(each)), at(F.ceil(each))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return ranked.groupBy(*by).agg(*[point(p).alias(f"q{i}") for i, p in enumerate(points)]).select(*keys, *[f"q{i}" for i in range(len(points))])
+
+
 def score_counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """``keys, score, pos, neg`` for each distinct score."""
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))

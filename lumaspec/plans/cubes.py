@@ -262,8 +262,9 @@ def roi_mean_score(spark, d):
 
 def false_color(spark, d):
     px = cube(spark, d).select("pixel_id", *[F.col("spectrum")[int(p * 63)].alias(c) for c, p in (("r", 0.7), ("g", 0.45), ("b", 0.2))])
-    q = px.agg(*[F.percentile(c, F.array(F.lit(0.02), F.lit(0.98))).alias(f"q{c}") for c in "rgb"])
-    out = px.crossJoin(F.broadcast(q))
+    out = px
+    for c in "rgb":
+        out = out.crossJoin(F.broadcast(metrics.quantiles(px, [], c, [0.02, 0.98]).select(F.array("q0", "q1").alias(f"q{c}"))))
     return out.select(F.col("pixel_id").alias("vec_id"), *[F.round(S.clip((F.col(c) - F.col(f"q{c}")[0]) / F.greatest(F.col(f"q{c}")[1] - F.col(f"q{c}")[0], F.lit(1e-12)), 0.0, 1.0), 6).alias(c) for c in "rgb"])
 
 

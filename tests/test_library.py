@@ -199,3 +199,14 @@ def test_smoothing_in_pieces_is_that_of_the_whole(spark):
         assert np.allclose(_smoothed(gaps, 21, 6), want, atol=1e-12, equal_nan=True), longest
     turned = spatial.gaussian_periodic(df.where("not (y = 5 and x = 3)").selectExpr("scene_id", "x as y", "y as x", "score"), 1.0, longest=10)
     assert np.allclose(_smoothed(turned, 6, 21), want.T, atol=1e-12, equal_nan=True)  # long rows
+
+
+def test_medians_hold_no_group_in_one_buffer(spark):
+    x = np.random.default_rng(5).integers(0, 40, 301) / 7
+    df = spark.createDataFrame([("a" if k < 250 else "b", float(v)) for k, v in enumerate(x)] + [("a", None)], "g string, v double").repartition(3)
+    z = calibrate.robust_standardise(df, ["g"], "v")
+    assert "median" not in z._jdf.queryExecution().toString() and "percentile" not in z._jdf.queryExecution().toString()
+    got = sorted(r["z"] for r in z.where("g = 'a' and v is not null").collect())
+    a, m = x[:250], np.median(x[:250])
+    assert np.allclose(got, np.sort((a - m) / (1.4826 * np.median(np.abs(a - m)))), atol=1e-12)
+    assert np.allclose(list(metrics.quantiles(df, [], "v", [0.02, 0.98]).first()), np.quantile(x, [0.02, 0.98]), atol=1e-12)
