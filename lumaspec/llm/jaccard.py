@@ -273,8 +273,8 @@ def similar_documents(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame
     groups = cut(classes.groupBy("n", "pa", "pb").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "jaccard-groups")
     classed = cut(classes.join(groups, ["n", "pa", "pb"]).select(*keys, "rep", "gid", "members", "common"), "jaccard-classed")
     heads = classed.where("rep = gid").select(*[F.col(c).alias(f"{c}_") for c in keys], F.col("gid"), "members", "common")
-    carriers = live.join(heads, [F.col("doc_id") == F.col("gid"), *[F.col(c) == F.col(f"{c}_") for c in keys]]).select("gid", "n", "members", heads["common"], "prefix")
-    posts = carriers.dropDuplicates(["gid", "n"]).select("gid", "n", "members", "common", F.posexplode("prefix").alias("pos", "token"))
+    carriers = live.join(heads, [F.col("doc_id") == F.col("gid"), *[F.col(c) == F.col(f"{c}_") for c in keys]]).select("gid", "n", "pa", "pb", "members", heads["common"], "prefix")
+    posts = carriers.dropDuplicates(["gid", "n", "pa", "pb"]).select("gid", "n", "members", "common", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(posts.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token"), "jaccard-shared")
     posts = cut(posts.join(shared, "token"), "jaccard-posts")
 

@@ -325,3 +325,10 @@ def test_pipeline_stages_against_brute_force(spark):
     packed = corpus_pipeline.best_fit_packing(spark, mixed, "").collect()
     assert sorted(r["doc_id"] for r in packed) == sorted(taken)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "source_mixing", "best_fit_packing"]
+
+
+def test_texts_of_one_id_and_size_keep_their_own_copies(spark):
+    one, two = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (5, " ".join([*one[:99], "x"])), (6, " ".join([*two[:99], "y"]))]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (1, 1), (5, 1), (6, 1)]
