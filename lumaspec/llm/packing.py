@@ -10,68 +10,34 @@ leaves at most a bin or so partly filled.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
-
-#: A word of Latin letters before common punctuation, or whatever has no space or line feed.
-#: Each cut is one that the tokenizer's own pre-tokenizer makes.
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.!?:;%*#$&])|[^ \n]+")
-_CACHE_WORDS = 400_000
-
-
-class WordTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    For tokenizers whose pre-tokenizer drops white space and never joins what it separates, the
-    ids of a text are those of its words in turn; words are looked up in a bounded cache.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self._known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > _CACHE_WORDS:
-            self._known.clear()
-        split = []
-        for text in texts:
-            # the tokenizer lowers letter by letter, and looks for special tokens before it does
-            if "Σ" not in text and "<|" not in text:
-                text = text.lower()
-            split.append(_WORD.findall(text))
-        known = self._known
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            self._learn(list(missing))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+from .tokenizing import shared, text_chunks
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence may hold; ``None`` sets no limit."""
+    """What one sequence may hold: tokens, pieces of documents, and attention cost (the sum of squared
+    piece lengths). Where the last two are not given they are what ``tokens`` pieces of one token
+    and one piece of ``tokens`` take, so that all three are finite and count in the choice of a bin."""
 
     tokens: int = 4096
     documents: int | None = None
-    attention: int | None = None  # sum of squared piece lengths
+    attention: int | None = None
     weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"  # or "dot"
 
+    def limits(self) -> np.ndarray:
+        return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
+
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
@@ -80,22 +46,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int
     """One row per piece of each document's ids. A null text has only the closing id."""
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordTokenizer(tokenizer), np.asarray([eos], "<u4").tobytes()
-        count, step, base = 0, 4 * capacity, TaskContext.get().partitionId()
+        words, count, base = shared(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), step)):
-                        piece = ids[s : s + step]
+            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low, high in text_chunks(texts):
+                ids, ends = words.encode([t or "" for t in texts[low:high]])
+                rows, at = [], 0
+                for doc_id, end in zip(docs_of[low:high], ends.tolist(), strict=True):
+                    whole = np.append(ids[at:end], np.uint32(eos)).astype("<u4")
+                    at = end
+                    for k, s in enumerate(range(0, len(whole), capacity)):
+                        piece = whole[s : s + capacity]
                         count += 1
                         deal = ((base * 1_000_003 + count) * 0x9E3779B97F4A7C15 >> 20) & 0x7FFFFFFF
-                        rows.append((doc_id, k, s // 4, len(piece) // 4, zlib.crc32(piece), deal))
+                        rows.append((doc_id, k, s, len(piece), zlib.crc32(piece), deal))
                 cols = zip(*rows, strict=True)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
@@ -108,8 +72,9 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     lengths = np.asarray(lengths, np.int64)
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    big = np.iinfo(np.int64).max // 4
-    limit = np.array([capacity.tokens, capacity.documents or big, capacity.attention or big], np.int64)
+    limit = capacity.limits()
+    if len(lengths) and ((top := int(lengths.max())) > limit[0] or top * top > limit[2]):
+        raise ValueError("a piece alone exceeds a limit of its bin")
     whole = int((lengths[order] >= capacity.tokens).sum())  # these fill a bin alone
     bins[order[:whole]] = np.arange(whole)
     n, size = whole, max(16, len(lengths) - whole)
@@ -128,8 +93,6 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
                 value = ((left * scale[:, None]) ** 2).sum(0)
             b = int(np.where(fits, value, np.inf).argmin())
         else:
-            if (need > limit).any():
-                raise ValueError("a piece alone exceeds a limit of its bin")
             b, live = live, live + 1
             residual[:, b], names[b] = limit, n
             n += 1
@@ -145,15 +108,14 @@ def pack(pieces: DataFrame, capacity: Capacity, group_pieces: int = 16384) -> Da
     """Add ``sequence_id`` and ``offset``. ``pieces`` must read a written table, as it is read twice."""
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = best_fit(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"] = frame["pack_group"].to_numpy(np.int64) * (1 << 32) + bins
-        frame["offset"] = offsets
-        return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = best_fit(table.column("length").to_numpy(), capacity)
+        group = table.column("pack_group").to_numpy().astype(np.int64)
+        return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(group * (1 << 32) + bins)).append_column("offset", pa.array(offsets))
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal").groupBy("pack_group").applyInPandas(one, out)
+    return pieces.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal").groupBy("pack_group").applyInArrow(one, out)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity | None = None, eos: int = 1, group_pieces: int = 16384) -> DataFrame:
