@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lumaspec.llm import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, sharding, token_rollup, warc
+from lumaspec.llm import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, queries, sharding, token_rollup, tokenizing, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "Hello, World!! it's déjà vu."), (3, "Hello, World!! it's déjà vu."), (None, "x\ty z"), (5, "ΣΟΦΟΣ <|endoftext|> A'b <|EndOfText|>\r\nend"), (6, "word " * 9000)]
@@ -22,13 +22,31 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long")
 
 
-def test_word_cache_gives_the_tokenizers_ids():
+@pytest.mark.parametrize("name, special", [("word_bpe_49k", True), ("byte_bpe_50k", True), ("byte_bpe_50k", False)])
+def test_word_cache_gives_the_tokenizers_ids(name, special):
     from tokenizers import Tokenizer
 
-    plain, cached, rng = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER), random.Random(1)
-    texts = [t for _, t in ODD[2:6]] + ["".join(rng.choices("aBcÄß ée'’.,!?12 \n\t%%-–<>|́字", k=80)) for _ in range(300)]
-    for text, ids in zip(texts, cached.ids(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    path = public_tokenizers.path(f"{name}.json")
+    plain, cached, rng = Tokenizer.from_file(path), tokenizing.WordTokenizer(path, special), random.Random(1)
+    plain.encode_special_tokens = not special
+    texts = [t for _, t in ODD[1:]] + ["".join(rng.choices("aBcÄß ée'’.,!?12 \n\t%%-–<>|́字\xa0\x1f", k=80)) for _ in range(600)] + ["x" * 500, " ", "\n", "İI ǅ"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cached.rule is not None and cached.counts(texts).tolist() == [len(w) for w in want]
+    for _ in range(2):  # learned, then known
+        for text, ids, right in zip(texts, cached.ids(texts), want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == right, repr(text)
+    assert cached.ids([]) == [] and cached.counts([]).tolist() == []
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts(tmp_path):
+    import json
+
+    parts = json.load(open(TOKENIZER, encoding="utf-8"))
+    parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "[,\\s]+"}, "behavior": "Removed", "invert": False}, parts["pre_tokenizer"]["pretokenizers"][1]]}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(parts), encoding="utf-8")
+    other = tokenizing.WordTokenizer(str(path))
+    assert other.rule is None and other.ids(["a, b"]) == other._encode(["a, b"]) and other.counts(["a, b", ""]).tolist()[1] == 0
 
 
 def test_best_fit_keeps_every_limit():
@@ -245,14 +263,70 @@ def test_near_vectors_against_brute_force(spark, vectors):
 
 def test_rollup_batches_count_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "t1", 5, 0), ("a", "en", "t1", 7, 0), (None, None, "t1", None, 0), ("b", "de", "t1", 4, 0)], "source string, lang string, tokenizer string, tokens long, documents int")
-    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
-    assert rollup.totals().count() == 0
+    rollup, other = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
+    assert rollup.totals().count() == 0 and not rollup.compact()
     assert rollup.commit("one", token_rollup.inserts(rows)) and not rollup.commit("one", token_rollup.inserts(rows))
     gone, old = rows.where("source = 'b'"), rows.where("tokens = 7")
-    assert rollup.commit("two", token_rollup.deletes(gone)) and rollup.commit("none", token_rollup.inserts(rows.where("false")))
+    assert rollup.commit("two/ %", token_rollup.deletes(gone)) and rollup.commit("none", token_rollup.inserts(rows.where("false")))
+    assert rollup.compact() and not other.commit("two/ %", token_rollup.deletes(gone))
     assert rollup.commit("three", token_rollup.revisions(old, old.withColumn("tokens", token_rollup.F.lit(9))))
-    assert sorted(tuple(r) for r in rollup.totals().collect() if r["source"]) == [("a", "en", "t1", 2, 14)]
+    want = [("a", "en", "t1", 2, 14)]
+    assert sorted(tuple(r) for r in rollup.totals().collect() if r["source"]) == want
     assert [tuple(r) for r in rollup.totals().where("source is null").collect()] == [(None, None, "t1", 1, 0)]
+    assert rollup.compact() and rollup.committed() == {"one", "two/ %", "none", "three"}
+    assert sorted(tuple(r) for r in other.totals().collect() if r["source"]) == want
+
+
+def test_two_writers_of_one_batch_count_once(spark, tmp_path):
+    from threading import Thread
+
+    rows = spark.createDataFrame([("a", "en", "t", 5)], "source string, lang string, tokenizer string, tokens long")
+    path, said = f"file://{tmp_path}/rollup", []
+    writers = [Thread(target=lambda: said.append(token_rollup.TokenRollup(spark, path).commit("b", token_rollup.inserts(rows)))) for _ in range(4)]
+    [w.start() for w in writers], [w.join() for w in writers]
+    assert sorted(said) == [False, False, False, True]
+    assert [tuple(r) for r in token_rollup.TokenRollup(spark, path).totals().collect()] == [("a", "en", "t", 1, 5)]
+
+
+def test_token_counts_of_the_query_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en", [None, "a", "b"][k % 3]) for k, (i, t) in enumerate(ODD)] + [(9, "Hello, World!! it's déjà vu.", "en", "z"), (8, "", None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    byte.encode_special_tokens = True
+    first, want = {}, {}
+    for i, t, _, _ in rows:
+        if t is not None and i is not None:
+            first[t] = min(i, first.get(t, i))
+    for i, t, lang, source in rows:
+        if t is None or i is None or i == first[t]:
+            n, k = want.get((source, lang), (0, 0))
+            want[source, lang] = n + 1, k + len(byte.encode(t or "").ids)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in queries.op3_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {(s, lang, "byte_bpe_50k"): v for (s, lang), v in want.items()}
+
+
+def test_packed_pieces_against_brute_force(spark, docs):
+    from tokenizers import Tokenizer
+
+    plain, out = Tokenizer.from_file(TOKENIZER), packing.pack_documents(docs, TOKENIZER).collect()
+    want = []
+    for i, t in ODD:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, s // 4096, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096)]
+    key = lambda r: (r[0] is None, *r[1:], r[0] or 0)
+    assert sorted((tuple(r)[:5] for r in out), key=key) == sorted(want, key=key)
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) == -(-sum(r["length"] for r in out) // 4096)
 
 
 def test_languages_held_out(spark):
