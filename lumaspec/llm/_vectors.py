@@ -11,14 +11,14 @@ from ._store import cut
 
 
 def comparable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` of rows that are not null, not zero, all finite, and of the commonest length."""
+    """``vec_id, v`` of rows that are not null, not zero and all finite, of any length. Floats stay
+    floats, which halves what is moved; tasks compute in doubles."""
+    plain = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     x = F.col("v")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if plain else "array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)
         & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0)
     )
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (dims["d"] if dims else 0))
 
 
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
@@ -32,5 +32,14 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
+def padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of at most ``width`` values as rows of doubles with zeros after them, and their lengths."""
+    length = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < length[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out, length

@@ -1,9 +1,13 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Vectors are dealt over shards; each shard's graph is built in one task and written; every vector
-searches every shard's graph. A search whose beam ends above the similarity asked for is widened,
-and so are all searches of a block whose sampled recall falls short of a scan; if widening does not
-help, the block is scanned. Links are verified in double precision, and components are their unions.
+Vectors are dealt over shards of bounded size; each shard's graph is built in one task and written;
+every vector searches every shard's graph. A shard's beam starts as wide as planted queries, whose
+links are known, ask for; a search goes on from all that it finds near enough, along their links; all
+later beams of a task are widened when an audit of its own queries, above all of those with links,
+falls short of a scan. Links are verified in double precision, and components are their unions.
+
+A task reads its shard's graph and then streams the vectors past it. A shard's queries are parted
+only so far that the copies of its graph stay within about twice the size of the queries.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ class Graph:
 
     x: np.ndarray
     links: list[np.ndarray]
+    width: int = 16
 
     def _beam(self, layer: int, q: np.ndarray, entry: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest rows that a best-first search of one layer finds for each query."""
@@ -45,7 +50,7 @@ class Graph:
             sims[:, j] = np.where(twice, -np.inf, np.einsum("nd,nd->n", x[ids[:, j]], q))
             done[:, j] = twice
         live = rows
-        step = 2
+        step = max(2, width // 16)
         while len(live):
             open_sims = np.where(done[live], -np.inf, sims[live])
             pick = np.argpartition(-open_sims, min(step, width) - 1, axis=1)[:, :step]
@@ -87,30 +92,75 @@ class Graph:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, **{f"l{k}": a for k, a in enumerate(self.links)})
+        np.savez(out, x=self.x, width=self.width, **{f"l{k}": a for k, a in enumerate(self.links)})
         return out.getvalue()
 
     @staticmethod
     def load(data: bytes) -> Graph:
         got = np.load(io.BytesIO(data))
-        return Graph(got["x"], [got[f"l{k}"] for k in range(len(got.files) - 1)])
+        return Graph(got["x"], [got[f"l{k}"] for k in range(len(got.files) - 2)], int(got["width"]))
 
 
-def _diverse(x: np.ndarray, at: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-    """Of candidates in falling order, those nearer to the node than to any kept before; then the nearest of the rest."""
-    among = x[at] @ x[at].T
-    kept: list[int] = []
-    for j in range(len(at)):
-        if len(kept) == most:
-            break
-        if not kept or (among[j, kept] < sims[j]).all():
-            kept.append(j)
-    for j in range(len(at)):
-        if len(kept) == most:
-            break
-        if j not in kept:
-            kept.append(j)
-    return at[kept]
+SPARE = 8  # links of a row kept for rows that no search would find
+
+
+def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+    """Of each row's candidates, in falling order (-1 where there is none), those nearer to it than
+    to any kept before; then the nearest of the rest."""
+    out = np.full((len(ids), most), -1, ids.dtype)
+    for at in range(0, len(ids), 256):
+        some, near = ids[at : at + 256], sims[at : at + 256]
+        v = x[some]
+        among = v @ v.transpose(0, 2, 1)
+        kept, count = np.zeros(some.shape, bool), np.zeros(len(some), int)
+        for j in range(some.shape[1]):
+            kept[:, j] = (near[:, j] > -np.inf) & (count < most) & ~((among[:, j] >= near[:, j : j + 1]) & kept).any(1)
+            count += kept[:, j]
+        turn = np.where(near == -np.inf, 2, np.where(kept, 0, 1))
+        order = np.argsort(turn, axis=1, kind="stable")[:, :most]
+        out[at : at + 256, : order.shape[1]] = np.where(np.take_along_axis(turn, order, 1) == 2, -1, np.take_along_axis(some, order, 1))
+    return out
+
+
+def _link_back(x: np.ndarray, links: np.ndarray, most: int, to: np.ndarray, new: np.ndarray) -> None:
+    """Add ``new`` rows to the links of ``to``; where that is more than ``most``, the diverse ones of the nearest stay."""
+    nodes = np.unique(to)
+    have = links[nodes, :most]
+    at, _ = np.nonzero(have >= 0)
+    pairs = np.unique(np.stack((np.concatenate((to, nodes[at])), np.concatenate((new, have[have >= 0]))), 1), axis=0)
+    a, b = pairs[:, 0], pairs[:, 1]
+    sims = np.einsum("nd,nd->n", x[a], x[b])
+    order = np.lexsort((-sims, a))
+    a, b, sims = a[order], b[order], sims[order]
+    row = np.searchsorted(nodes, a)
+    place = np.arange(len(a)) - np.searchsorted(a, nodes)[row]
+    fits = place < 2 * most
+    ids, near = np.full((len(nodes), 2 * most), -1, np.int64), np.full((len(nodes), 2 * most), -np.inf, np.float32)
+    ids[row[fits], place[fits]], near[row[fits], place[fits]] = b[fits], sims[fits]
+    links[nodes, :most] = ids[:, :most]
+    full = np.flatnonzero(ids[:, most] >= 0)
+    links[nodes[full], :most] = _diverse(x, ids[full], near[full], most)
+
+
+def _mend(graph: Graph, most: int, rounds: int = 4) -> None:
+    """Links to rows that their own search does not find, from those that it ends at."""
+    x, links = graph.x, graph.links[0]
+    todo = np.arange(len(x))
+    for _ in range(rounds):
+        lost = []
+        for at in range(0, len(todo), 512):
+            some = todo[at : at + 512]
+            ids, sims = graph.search(x[some], min(16, len(x)))
+            for r in np.flatnonzero(~(ids == some[:, None]).any(1)):
+                lost.append(some[r])
+                for near in ids[r][ids[r] >= 0]:
+                    free = most + np.flatnonzero(links[near, most:] < 0)
+                    if len(free):
+                        links[near, free[0]] = some[r]
+                        break
+        if not lost:
+            return
+        todo = np.asarray(lost)
 
 
 def build(x: np.ndarray, m: int = 12, width: int = 48, seed: int = 3) -> tuple[Graph, np.ndarray]:
@@ -122,7 +172,7 @@ def build(x: np.ndarray, m: int = 12, width: int = 48, seed: int = 3) -> tuple[G
     sizes = [n]
     while sizes[-1] > 64 and (k := int((level >= len(sizes)).sum())) > 1:
         sizes.append(k)
-    graph = Graph(x, [np.full((s, 2 * m), -1, np.int32) for s in sizes])
+    graph = Graph(x, [np.full((s, 2 * m + SPARE * (not l)), -1, np.int32) for l, s in enumerate(sizes)])
     for layer in range(len(sizes) - 1, -1, -1):
         links, size, at = graph.links[layer], sizes[layer], 0
         while at < size:
@@ -136,132 +186,194 @@ def build(x: np.ndarray, m: int = 12, width: int = 48, seed: int = 3) -> tuple[G
                 ids = np.argpartition(-inner, w - 1, axis=1)[:, :w]
                 sims, ids = np.take_along_axis(inner, ids, 1), ids + at
             if at:
-                i2, s2 = graph.search(q, width, layer, at)
+                i2, s2 = (np.concatenate(p) for p in zip(*(graph.search(q[k : k + 512], width, layer, at) for k in range(0, len(q), 512)), strict=True))
                 ids, sims = np.concatenate((ids, i2), 1), np.concatenate((sims, s2), 1)
             turn = np.argsort(-sims, axis=1)
             ids, sims = np.take_along_axis(ids, turn, 1), np.take_along_axis(sims, turn, 1)
-            back: dict[int, list[int]] = {}
-            for r in range(end - at):
-                good = sims[r] > -np.inf
-                chosen = _diverse(x, ids[r][good], sims[r][good], m)
-                links[at + r, : len(chosen)] = chosen
-                for c in chosen:
-                    back.setdefault(int(c), []).append(at + r)
-            for c, new in back.items():
-                have = links[c][links[c] >= 0]
-                every = np.unique(np.concatenate((have, new)))
-                if len(every) > 2 * m:
-                    s = x[every] @ x[c]
-                    o = np.argsort(-s)
-                    every = _diverse(x, every[o], s[o], 2 * m)
-                links[c] = -1
-                links[c, : len(every)] = every
+            if ids.shape[1]:
+                chosen = _diverse(x, ids, sims, m)
+                links[at:end, :m] = chosen
+                row, _ = np.nonzero(chosen >= 0)
+                _link_back(x, links, 2 * m, chosen[chosen >= 0], row + at)
             at = end
+    _mend(graph, 2 * m)
     return graph, order
 
 
-def linked(graph: Graph, q: np.ndarray, least: float, width: int = 16, audit: int = 64) -> list[np.ndarray]:
-    """Rows of the graph at least about as near as ``least`` to each query."""
-    n, low = len(graph.x), np.float32(least - 1e-4)
-    probe = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-    true = [np.flatnonzero(r >= low) for r in q[probe] @ graph.x.T]
-    while width < n:
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        todo, w = np.arange(len(q)), width
-        while len(todo):
-            batch = max(16, min(512, (1 << 25) // (n + 1)))
-            again = []
-            for s in range(0, len(todo), batch):
-                at = todo[s : s + batch]
-                ids, sims = graph.search(q[at], w)
-                hit = sims >= low
-                for r, k in enumerate(at):
-                    out[k] = ids[r][hit[r]]
-                again.append(at[hit[:, -1]])  # the beam ended among links
-            todo, w = np.concatenate(again), w * 4
-            if w >= n:
-                break
-        for s in range(0, len(todo), 256):
-            for k, r in zip(todo[s : s + 256], q[todo[s : s + 256]] @ graph.x.T, strict=True):
-                out[k] = np.flatnonzero(r >= low)
-        if all(len(np.setdiff1d(t, out[k])) == 0 for t, k in zip(true, probe, strict=True)):
-            return out
-        width *= 2
-        if width > 128:
-            break
+def _scan(graph: Graph, q: np.ndarray, low: np.float32) -> list[np.ndarray]:
     return [np.flatnonzero(r >= low) for s in range(0, len(q), 256) for r in q[s : s + 256] @ graph.x.T]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what all links connect."""
-    root: dict[int, int] = {}
+def _widest(graph: Graph) -> int:
+    """A beam of this width looks at about as many rows as there are, all of them: it is done as a scan."""
+    return max(1, len(graph.x) // graph.links[0].shape[1])
 
-    def find(u: int) -> int:
-        while root.setdefault(u, u) != u:
-            root[u] = root[root[u]]
-            u = root[u]
-        return u
 
-    out = []
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        ru, rv = find(u), find(v)
-        if ru != rv:
-            root[max(ru, rv)] = min(ru, rv)
-            out.append((u, v))
+def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, slack: float = 0.02) -> list[np.ndarray]:
+    """Rows at least as near as ``low``: those that a beam finds, and those that links of rows at
+    most ``slack`` farther lead to. Queries of more such rows than the widest beam holds are scanned."""
+    x, links, n, out = graph.x, graph.links[0], len(graph.x), [np.empty(0, np.int64)] * len(q)
+    most, many = _widest(graph), []
+    if width >= most:
+        return _scan(graph, q, low)
+    batch = max(16, min(512, (1 << 25) // (n + 1)))
+    for s in range(0, len(q), batch):
+        some = q[s : s + batch]
+        ids, sims = graph.search(some, width)
+        k, j = np.nonzero(sims >= low - slack)
+        node, hit = ids[k, j], sims[k, j] >= low
+        seen, got, held = np.zeros((len(some), n), bool), [(k[hit], node[hit])], np.bincount(k[hit], minlength=len(some))
+        seen[k, node] = True
+        while len(k):
+            near = links[node]
+            k = np.repeat(k, near.shape[1])[near.ravel() >= 0]
+            node = near.ravel()[near.ravel() >= 0]
+            fresh = ~seen[k, node]
+            k, node = np.divmod(np.unique(k[fresh] * n + node[fresh]), n)
+            seen[k, node] = True
+            sim = np.concatenate([np.empty(0, np.float32), *[np.einsum("nd,nd->n", x[node[i : i + 65536]], some[k[i : i + 65536]]) for i in range(0, len(k), 65536)]])
+            got.append((k[sim >= low], node[sim >= low]))
+            held += np.bincount(k[sim >= low], minlength=len(some))
+            go = (sim >= low - slack) & (held[k] < most)
+            k, node = k[go], node[go]
+        k, node = (np.concatenate(g) for g in zip(*got, strict=True))
+        order = np.argsort(k, kind="stable")
+        out[s : s + batch] = np.split(node[order], np.cumsum(np.bincount(k, minlength=len(some)))[:-1])
+        many.append(s + np.flatnonzero(held >= most))
+    many = np.concatenate([np.empty(0, int), *many])
+    for k, found in zip(many, _scan(graph, q[many], low), strict=True):
+        out[k] = found
     return out
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int | None = None, shard_rows: int = 100_000, query_rows: int = 4096) -> DataFrame:
+def _low(least: float) -> np.float32:
+    return np.float32(least - 1e-4)
+
+
+def tune(graph: Graph, least: float, planted: int = 256, seed: int = 7) -> None:
+    """Widen the graph's beam until queries planted near its rows find all that a scan does."""
+    rng, n = np.random.default_rng(seed), len(graph.x)
+    rows = np.unique(np.linspace(0, n - 1, planted).astype(int))
+    cosine = rng.uniform(min(0.999, least + 0.01), 1, (len(rows), 1))
+    noise = rng.normal(size=(len(rows), graph.x.shape[1]))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    q = graph.x[rows] * cosine + noise * np.sqrt(1 - cosine**2)
+    q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
+    true = _scan(graph, q, _low(least))
+    while graph.width < _widest(graph) and any(len(np.setdiff1d(t, f)) for t, f in zip(true, _search(graph, q, _low(least), graph.width), strict=True)):
+        graph.width *= 2
+
+
+def linked(graph: Graph, q: np.ndarray, least: float, audit: int = 128) -> list[np.ndarray]:
+    """Rows of the graph at least about as near as ``least`` to each query. The audit scans for
+    ``audit`` queries with several links (for a row of the graph one is itself) and as many of all;
+    while it finds more than the searches, the beam is widened, for later calls, too."""
+    while True:
+        out = _search(graph, q, _low(least), graph.width)
+        several = np.flatnonzero([len(o) > 1 for o in out])
+        probe = np.unique(np.concatenate([s[np.linspace(0, len(s) - 1, min(audit, len(s))).astype(int)] for s in (several, np.arange(len(q)))]))
+        if graph.width >= _widest(graph) or not any(len(np.setdiff1d(t, out[k])) for t, k in zip(_scan(graph, q[probe], _low(least)), probe, strict=True)):
+            return out
+        graph.width *= 2
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links connect: each end with the least of its component."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v, root = place[: len(a)], place[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(root[u], root[v]), root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+_PIECE = 1 << 23
+_FOUND = "a long, b long, n long"
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int | None = None, shard_rows: int = 100_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (vec_id, embedding, any others).
 
-    Null vectors, zero ones, those of another length than most and those with null or non-finite
-    values link with nothing. Equal vectors always link. Rows that repeat a vec_id link as others
-    do, and their component is their id's. A null vec_id has a null component and no links.
-    ``shards`` is 6, or as many as shards of ``shard_rows`` vectors need.
+    Null vectors, zero ones and those with null or non-finite values link with nothing, and vectors
+    of different lengths don't link. Equal vectors always link. Rows that repeat a vec_id link as
+    others do, and their component is their id's. A null vec_id has a null component and no links.
+    An empty table gives no rows. The vectors of one length have ``shards`` shards: six, fewer if
+    these were tiny, or as many as shards of ``shard_rows`` vectors need.
     """
     rows = cut(comparable(vectors), "hnsw-rows")
     classes = distinct_vectors(rows, 1)
-    n = classes.count()
-    shards = shards or max(6, -(-n // shard_rows))
-    blocks = max(1, -(-n // max(query_rows, n // (4 * shards) if n > 50 * shard_rows else query_rows)))
+    plain = dict(classes.dtypes)["v"]
+    # one row per length of a vector, so no more than the longest has values
+    n = F.count("*")
+    dealt = F.lit(shards) if shards else F.greatest(F.ceil(n / shard_rows), F.least(F.lit(6), F.ceil(n / 64)))
+    lengths = cut(classes.groupBy(F.size("v").alias("d")).agg(n.alias("of"), dealt.cast("int").alias("shards")), "hnsw-lengths")
+    lengths = lengths.withColumn("blocks", F.least(F.lit(64), F.greatest(F.lit(1), F.col("shards") / 2)).cast("int"))
+    units = lengths.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    placed = classes.withColumn("d", F.size("v")).join(F.broadcast(lengths), "d")
 
     def index(key, table):
         table = table.sort_by("cid")
         v = matrix(table.column("v"))
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        graph, order = build(unit)
+        graph, order = build(v / np.linalg.norm(v, axis=1, keepdims=True))
+        tune(graph, least)
         raw = io.BytesIO()
-        np.savez(raw, ids=table.column("cid").to_numpy()[order], v=v[order], copies=table.column("copies").to_numpy()[order])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "graph": [graph.dump()], "rows": [raw.getvalue()]})
-
-    shard = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(shards)).cast("int")
-    graphs = cut(classes.select(shard.alias("shard"), "cid", "v", "copies").groupBy("shard").applyInArrow(index, "shard int, graph binary, rows binary"), "hnsw-graphs")
-
-    def ask(left, right):
-        a, b, count = [], [], []
-        if left.num_rows and right.num_rows:
-            graph = Graph.load(left.column("graph")[0].as_py())
-            got = np.load(io.BytesIO(left.column("rows")[0].as_py()))
-            ids, v, copies = got["ids"], got["v"], got["copies"]
-            length = np.linalg.norm(v, axis=1)
-            q, own = matrix(right.column("v")), right.column("cid").to_numpy()
-            lq = np.linalg.norm(q, axis=1)
-            ends_a, ends_b = [], []
-            for k, near in enumerate(linked(graph, (q / lq[:, None]).astype(np.float32), least)):
-                near = near[ids[near] != own[k]]
-                near = near[(v[near] * q[k]).sum(1) / (length[near] * lq[k]) >= least]
-                if len(near):
-                    a.append(own[k]), b.append(None), count.append(int(copies[near].sum()))
-                    ends_a.append(np.full(len(near), own[k])), ends_b.append(ids[near])
-            if ends_a:
-                for u, w in _forest(np.concatenate(ends_a), np.concatenate(ends_b)):
-                    a.append(u), b.append(w), count.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(count, pa.int64())})
-
-    block = F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(blocks)).cast("int")
-    every = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "graph", "rows")
-    asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "cid", "v")
-    found = cut(every.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(ask, "a long, b long, n long"), "hnsw-found")
+        v = v.astype(np.float32) if plain == "array<float>" else v
+        np.savez(raw, graph=np.frombuffer(graph.dump(), np.uint8), ids=table.column("cid").to_numpy()[order], v=v[order], copies=table.column("copies").to_numpy()[order])
+        data = raw.getvalue()
+        parts = [data[k : k + _PIECE] for k in range(0, len(data), _PIECE)]
+        return pa.table({"d": pa.array([key[0].as_py()] * len(parts), pa.int32()), "shard": pa.array([key[1].as_py()] * len(parts), pa.int32()), "piece": pa.array(range(len(parts)), pa.int32()), "data": parts})
+
+    shard = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("shards")).cast("int")
+    by_shard = placed.select("d", shard.alias("shard"), "cid", "v", "copies").repartition(max(8, units), "d", "shard")
+    graphs = cut(by_shard.groupBy("d", "shard").applyInArrow(index, "d int, shard int, piece int, data binary"), "hnsw-graphs")
+
+    every = graphs.join(F.broadcast(lengths), "d").select("d", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "piece", "data", F.lit(None).cast("long").alias("cid"), F.lit(None).cast(plain).alias("v"))
+    block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks")).cast("int")
+    asked = placed.select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), F.lit(1 << 30).alias("piece"), F.lit(None).cast("binary").alias("data"), "cid", "v")
+    key = ["d", "shard", "block"]
+    stream = every.unionByName(asked).repartition(max(8, 2 * units), *key).sortWithinPartitions(*key, "piece")
+
+    def ask(batches):
+        now, parts, graph, ids, v, copies, length = None, [], None, None, None, None, None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            isgraph = np.asarray(batch.column(4).is_valid())
+            new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1) | (isgraph[1:] != isgraph[:-1]))))
+            for s, e in zip(new, [*new[1:], len(keys)], strict=True):
+                if tuple(keys[s]) != now:
+                    now, parts, graph = tuple(keys[s]), [], None
+                if isgraph[s]:
+                    parts += batch.column(4).slice(s, e - s).to_pylist()
+                    continue
+                if graph is None:
+                    got = np.load(io.BytesIO(b"".join(parts)))
+                    graph, parts = Graph.load(got["graph"].tobytes()), []
+                    ids, v, copies = got["ids"], got["v"].astype(float), got["copies"]
+                    length = np.linalg.norm(v, axis=1)
+                for at in range(s, e, 2048):
+                    part = batch.slice(at, min(2048, e - at))
+                    q, own = matrix(part.column(6)), part.column(5).to_numpy()
+                    lq = np.linalg.norm(q, axis=1)
+                    found = linked(graph, (q / lq[:, None]).astype(np.float32), least)
+                    k, near = np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found)
+                    other = ids[near] != own[k]
+                    k, near = k[other], near[other]
+                    cosine = np.concatenate([np.empty(0), *[(v[near[j : j + 65536]] * q[k[j : j + 65536]]).sum(1) for j in range(0, len(k), 65536)]]) / (length[near] * lq[k])
+                    k, near = k[cosine >= least], near[cosine >= least]
+                    if len(k):
+                        count = np.bincount(k, copies[near], len(q)).astype(np.int64)
+                        a, b = _forest(own[k], ids[near])
+                        some = np.flatnonzero(count)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((own[some], a))), pa.array([None] * len(some) + b.tolist(), pa.int64()), pa.array(np.concatenate((count[some], np.zeros(len(a), np.int64))))], names=["a", "b", "n"])
+
+    found = cut(stream.mapInArrow(ask, _FOUND), "hnsw-found")
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     # copies of one vector are linked through its class; an id with several vectors joins their classes
     named = cut(rows.join(classes.select("v", "cid", "copies"), "v").select("vec_id", "cid", "copies"), "hnsw-named")
