@@ -97,6 +97,30 @@ def test_hadamard_and_graph_against_brute_force():
         assert set(order[near].tolist()) == set(np.flatnonzero(v[k].astype(np.float32) @ v.T.astype(np.float32) >= 0.9 - 1e-4).tolist())
 
 
+def test_every_row_of_a_graph_without_clusters_finds_itself():
+    v = np.random.default_rng(16).normal(size=(6000, 48))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, order = hnsw.build(v)
+    hnsw.tune(graph, 0.9)
+    assert graph.width < hnsw._widest(graph)  # searched, not scanned
+    place = np.empty(len(v), int)
+    place[order] = np.arange(len(v))
+    assert all(p in near for p, near in zip(place, hnsw.linked(graph, v, 0.9), strict=True))
+
+
+def test_an_audit_of_queries_with_links_widens_the_beam():
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(4000, 32))
+    v[2000:] = v[:2000] + 0.3 * rng.normal(size=(2000, 32))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, _ = hnsw.build(v)
+    graph.width = 1
+    found = hnsw.linked(graph, v, 0.9)
+    assert graph.width > 1
+    true = hnsw._scan(graph, v, hnsw._low(0.9))
+    assert sum(len(f) for f in found) >= 0.998 * sum(len(t) for t in true) > 4500
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(7)
     for _ in range(50):
@@ -119,22 +143,44 @@ def test_dom_text_of_broken_markup():
 
 def test_chunks_hold_no_mark_and_no_half_characters():
     data = ("é" * 50 + "\r\n\r\nWARC/1.1\r\n" + "字" * 30).encode()
-    bounds = list(warc.chunk_bounds(memoryview(data), 33))
-    assert b"".join(data[a:b] for a, b in bounds) == data
-    for a, b in bounds:
-        data[a:b].decode()
-        assert b - a <= 33 and b"\r\n\r\nWARC/1.1\r\n" not in b"\r\n\r\n" + data[a:b]
-    assert list(warc.chunk_bounds(memoryview(b""), 33)) == [(0, 0)]
-
-
-def test_archives_come_back(spark):
+    for step in (7, 33, 1000):
+        chunker, found = warc.Chunker(33), []
+        for at in range(0, len(data), step):
+            found += chunker.add(memoryview(data[at : at + step]), at + step >= len(data))
+            assert len(chunker.rest) <= 33 + step
+        assert b"".join(c for c, _ in found) == data and [last for _, last in found] == [False] * (len(found) - 1) + [True]
+        assert (chunker.length, chunker.sha.hexdigest()) == (len(data), hashlib.sha1(data).hexdigest())
+        for c, _ in found:
+            c.decode()
+            assert len(c) <= 33 and b"\r\n\r\nWARC/1.1\r\n" not in b"\r\n\r\n" + c
+    assert list(warc.Chunker(33).add(b"", True)) == [(b"", True)]
+
+
+def test_archives_come_back(spark, tmp_path):
     long = "<p>" + "ü x" * 900 + "\r\n\r\nWARC/1.1\r\n" + "tail</p>"
-    rows = [(1, "u", long), (2, None, long), (3, "a\r\nb", None), (4, "v", "short"), (5, "v", "short"), (6, "w", "y" * 5000), (7, "x", "WARC/1.1\r\nabc")]
-    got = {r["page_id"]: r for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_bytes=1000).collect()}
-    for i, _, html in rows:
-        data = (html or "").encode()
-        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
-    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 4, 5)] == [("revisit", 2), ("response", None), ("response", None), ("response", None)]
+    rows = [(1, "u", long), (2, None, long), (3, "a\r\nb", None), (4, "v", "short"), (5, "v", "short"), (6, "w", "y" * 5000), (7, "x", "WARC/1.1\r\nabc"), (8, "z", "字" * 3_000_000)]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "page_id long, url string, html string, data string, chunk int")
+    for size, compression in ((1000, "gzip"), (1000, "none"), (warc.CHUNK_BYTES, "gzip")):
+        got = {r["page_id"]: r for r in warc.archive_round_trip(df, chunk_bytes=size, compression=compression).collect()}
+        for i, _, html in rows:
+            data = (html or "").encode()
+            assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
+        assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 4, 5)] == [("revisit", 2), ("response", None), ("response", None), ("response", None)]
+    warc.write_archives(df, f"file://{tmp_path}/a", compression="none")
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "a").glob("*.txt"))
+    sizes = [int(x) for x in re.findall(rb"Content-Length: (\d+)\r\n\r\n", raw)]
+    assert max(sizes) <= warc.CHUNK_BYTES and len(sizes) > 9_000_000 / warc.CHUNK_BYTES and b"WARC-Type: continuation" in raw
+
+
+def test_archives_of_odd_tables(spark):
+    same = "s" * 1500
+    rows = [(1, "u", same), (1, "u", same), (None, "u", same), (2, "u", "q"), (2, "u", "q"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(df).collect())
+    assert got == [(0, 0, "response", None), (0, 1500, "revisit", 1), (1, 1500, "response", None), (1, 1500, "response", None), (2, 1, "response", None), (2, 1, "response", None)]
+    nobody = spark.createDataFrame([(None, "u", same), (None, "v", same)], "page_id long, url string, html string")
+    assert [r["record_type"] for r in warc.archive_round_trip(nobody).collect()] == ["response", "response"]
+    assert warc.archive_round_trip(df.where("false")).count() == 0
 
 
 def test_odd_rows_of_packing_sharding_and_languages(docs):
@@ -248,6 +294,34 @@ def test_neighbours_against_brute_force(spark, vectors):
     assert cross_polytope.nearest(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def _nearest(rows, q, k):
+    v = dict(rows)[q]
+    near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
+    return [i for _, i in near[:k]]
+
+
+def test_neighbours_that_tie_come_by_id(spark):
+    rng, one = random.Random(18), [[float(j == k) for j in range(64)] for k in range(64)]
+    ids = rng.sample(range(1, 400), 64)
+    rows = [*zip(ids, one, strict=True), (0, [1.0] * 64)]
+    x = np.array([v for _, v in rows])
+    names, _ = cross_polytope._best(x, x, np.array([i for i, _ in rows]), 10)
+    assert names[-1].tolist() == [0, *sorted(ids)[:9]] and names[0].tolist() == [*sorted([0, ids[0]]), *[i for i in sorted(ids) if i != ids[0]][:8]]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = [r["vec_id"] for r in cross_polytope.nearest(df, "vec_id = 0", k=20, recall=1.0).orderBy("rank").collect()]
+    assert got == sorted(ids)[:20]
+
+
+def test_neighbours_of_few_or_far_vectors_are_whole(spark):
+    rng = np.random.default_rng(19)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(12)] + [(k, [float(k - 20), 1.0]) for k in range(20, 26)] + [(40, (-9 * np.ones(8)).tolist()), (45, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in cross_polytope.nearest(df, "vec_id % 5 = 0", k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: want for q in (0, 5, 10, 20, 25, 40, 45) if (want := _nearest(rows, q, 20))}
+
+
 def test_near_vectors_against_brute_force(spark, vectors):
     v, df = vectors
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -261,6 +335,17 @@ def test_near_vectors_against_brute_force(spark, vectors):
     assert hnsw.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_of_other_lengths_and_repeated_ids(spark):
+    two, four = [1.0, 2.0], [1.0, 0.0, 0.0, 0.0]
+    rows = [(1, two), (2, two), (3, four), (4, four), (5, [0.0, 1.0, 0.0, 0.0]), (6, [2.0, 4.0]), (7, [0.0, 0.0, 3.0, 0.0]), (7, [0.0, 9.0, 0.0, 0.0]), (7, [0.0, 9.0, 0.0, 0.0]), (None, two)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, cid string")
+        got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in hnsw.near_vectors(df).collect())
+        # links between rows of one id are not links to others, but for equal ones of it
+        assert [g[0::2] for g in got] == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 1), (7, 5), (7, 5), (7, 5)]
+        assert [g[1] for g in got if g[0] in (0, 1, 2, 3, 4, 6)] == [0, 2, 2, 1, 1, 2] and next(g[1] for g in got if g[0] == 5) == 2
+
+
 def test_rollup_batches_count_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "t1", 5, 0), ("a", "en", "t1", 7, 0), (None, None, "t1", None, 0), ("b", "de", "t1", 4, 0)], "source string, lang string, tokenizer string, tokens long, documents int")
     rollup, other = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
@@ -354,6 +439,35 @@ def _invented(seed):
     return langid.LanguageModel(("en", "de"), tuple(text(lang, 64_000).encode() for lang in ("en", "de"))), text
 
 
+def test_predictions_are_the_smallest_sizes(spark):
+    import zstandard
+
+    model, text = _invented(20)
+    rng = random.Random(21)
+    rows = [(k, text("en" if k % 3 else "de", rng.randint(5, 30_000))) for k in range(40)] + [(50, "e\u0301te\u0301"), (51, "\u0301 1"), (52, "a"), (53, "Ä" * 5000)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, sizes string"), model).collect()}
+    for i, t in rows:
+        plain = langid.letters(t)
+        data, sizes = (" " + plain + " ").encode(), []
+        for content in model.contents:
+            how = zstandard.ZstdCompressionParameters.from_level(12, dict_size=len(content), source_size=4096, write_content_size=0, write_dict_id=0, write_checksum=0)
+            zip_ = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            n = -(-len(data) // 4096)
+            sizes.append(sum(len(zip_.compress(data[len(data) * k // n : len(data) * (k + 1) // n])) for k in range(n)))
+        assert got[i] == ("und" if i == 51 else model.languages[int(np.argmin(sizes))])
+    assert langid.letters("e\u0301te\u0301 2 X") == "été x"
+
+
+def test_all_of_a_languages_sample_is_in_its_dictionary(spark):
+    rows = [(k, f"{'abcdefghij'[k % 10] * 3} word{'xyz'[k % 3]} " * (3000 if k % 2 else 2), "long" if k % 2 else "short") for k in range(60)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.F.lit(True), dictionary_bytes=900)
+    assert sorted(model.languages) == ["long", "short"]
+    long, short = (model.contents[model.languages.index(n)].split(b"\n") for n in ("long", "short"))
+    assert len(long) == len({t for _, t, lang in rows if lang == "long"}) and len({len(t) for t in long}) == 1 and sum(map(len, long)) > 850
+    assert set(short) == {langid.letters(t).encode() for _, t, lang in rows if lang == "short"}
+    assert langid.excerpts([b"aaaa", b"b", b"cccccc"], 7) == [b"aaa", b"b", b"ccc"] and langid.excerpts([], 5) == []
+
+
 def test_all_parts_of_a_long_text_count(spark):
     model, text = _invented(13)
     rows = [(1, text("de", 30_000) + " " + text("en", 270_000)), (2, text("en", 30_000) + " " + text("de", 270_000))]
