@@ -11,19 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spectral import clip
-from .metrics import quantiles, running
+from .metrics import match, quantiles, running
 
 
 def finite_quantile(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
     """``keys, quantile``: the ceil((n+1)(1-alpha))-th smallest value, at most the largest."""
     counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("cnt_"))
-    total = counts.groupBy(*[F.col(k).alias(f"q_{k}") for k in keys]).agg(F.sum("cnt_").alias("n"))
+    by = keys or ["k_"]
+    below = running(counts if keys else counts.withColumn("k_", F.lit(0)), by, [F.col("v")], ["cnt_"])
+    below = match(below, below.groupBy(*by).agg(F.sum("cnt_").alias("n")), by)
     rank = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha))))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"q_{k}"))
-    below = running(counts, keys, [F.col("v")], ["cnt_"]) if keys else running(counts.withColumn("k_", F.lit(0)), ["k_"], [F.col("v")], ["cnt_"])
-    return below.join(total, on).where((F.col("before_cnt_") < rank) & (F.col("before_cnt_") + F.col("cnt_") >= rank)).select(*keys, F.col("v").alias("quantile"))
+    return below.where((F.col("before_cnt_") < rank) & (F.col("before_cnt_") + F.col("cnt_") >= rank)).select(*keys, F.col("v").alias("quantile"))
 
 
 @dataclass(frozen=True)
@@ -69,13 +67,14 @@ class Logistic:
         return 1 / (1 + F.exp(-(score * F.lit(self.slope) + F.lit(self.bias))))
 
 
-def fit_platt(df: DataFrame, score: str, label: str, rounds: int = 25) -> Logistic:
+def fit_platt(df: DataFrame, score: str, label: str, rounds: int = 25, slope: float | None = None) -> Logistic:
     """Logistic fit by damped Newton steps on the standardized score; each step is one sum over
-    rows. On separable labels the slope stops growing where the step no longer helps."""
+    rows. On separable labels the slope stops growing where the step no longer helps. With a given
+    ``slope`` only the bias is fitted."""
     mean, std = df.agg(F.avg(score), F.stddev_pop(score)).first()
     std = std if std and std > 1e-12 else 1.0
     y, z = F.col(label).cast("double"), (F.col(score) - F.lit(mean)) / F.lit(std)
-    a = b = 0.0
+    a, b = 0.0 if slope is None else slope * std, 0.0
 
     def sums(a: float, b: float):
         m = z * F.lit(a) + F.lit(b)
@@ -87,8 +86,10 @@ def fit_platt(df: DataFrame, score: str, label: str, rounds: int = 25) -> Logist
     now = sums(a, b)
     for _ in range(rounds):
         loss, ga, gb, haa, hab, hbb = now
-        hess = np.array([[haa, hab], [hab, hbb]]) + 1e-9 * np.eye(2)
-        da, db = np.linalg.solve(hess, [ga, gb])
+        if slope is None:
+            da, db = np.linalg.solve(np.array([[haa, hab], [hab, hbb]]) + 1e-9 * np.eye(2), [ga, gb])
+        else:
+            da, db = 0.0, gb / (hbb + 1e-9)
         scale = min(1.0, 4.0 / max(abs(da), abs(db), 1e-12))
         new = sums(a - scale * da, b - scale * db)
         if new[0] > loss - 1e-12:
@@ -98,17 +99,19 @@ def fit_platt(df: DataFrame, score: str, label: str, rounds: int = 25) -> Logist
 
 
 def fit_temperature(df: DataFrame, logit: str, label: str) -> Logistic:
-    """As Platt's, with a positive slope of at least exp(-10) and at most exp(10)."""
+    """As Platt's, with a positive slope of at least exp(-10) and at most exp(10); where that bound
+    holds the slope, the bias is fitted to the bound."""
     found = fit_platt(df, logit, label)
-    return Logistic(min(max(found.slope, math.exp(-10)), math.exp(10)), found.bias)
+    held = min(max(found.slope, math.exp(-10)), math.exp(10))
+    return found if held == found.slope else fit_platt(df, logit, label, slope=held)
 
 
 def robust_standardise(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
     """Adds (x - median) / max(1.4826 MAD, 1e-12) within keys."""
     middle = quantiles(df, keys, value, [0.5]).withColumnRenamed("q0", "m_")
-    near = df.join(middle, keys)
+    near = match(df, middle, keys)
     wide = quantiles(near.select(*keys, F.abs(F.col(value) - F.col("m_")).alias("far_")), keys, "far_", [0.5]).withColumnRenamed("q0", "d_")
-    return near.join(wide, keys).withColumn(name, (F.col(value) - F.col("m_")) / F.greatest(F.lit(1.4826) * F.col("d_"), F.lit(1e-12))).drop("m_", "d_")
+    return match(near, wide, keys).withColumn(name, (F.col(value) - F.col("m_")) / F.greatest(F.lit(1.4826) * F.col("d_"), F.lit(1e-12))).drop("m_", "d_")
 
 
 def detection_limit(curve: DataFrame, keys: list[str], level: str, pd: str, target: float = 0.9) -> DataFrame:

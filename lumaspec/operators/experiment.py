@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import running
+
 LCG = (1103515245, 12345, 1 << 31)
 
 
 def grid(*dims: DataFrame) -> DataFrame:
-    """All combinations of small tables of settings."""
+    """All combinations of tables of settings, each of at most 10,000 rows."""
     out = dims[0]
     for d in dims[1:]:
+        if d.limit(10_001).count() > 10_000:
+            raise ValueError("a table of settings has more than 10,000 rows")
         out = out.crossJoin(F.broadcast(d))
     return out
 
@@ -48,13 +51,13 @@ def hash_index(replicate: Column, draw: Column, n: Column, seed: int = 17) -> Co
 def bootstrap(cases: DataFrame, value: str, order: str, replicates: int, seed: int = 17) -> DataFrame:
     """``replicate, mean`` over cases drawn with replacement; every replicate draws as many as there are.
 
-    Cases are results of experiments, one row each; they are numbered, and replicates join them by
-    number, so that the work spreads over replicates.
+    Cases are numbered by running sums over ranges of ``order``, which must tell them apart, and
+    draws join them by number, so that the work spreads over draws.
     """
-    spark: SparkSession = cases.sparkSession
-    numbered = cases.select(F.col(value).alias("value_"), (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("k_"))
+    ones = cases.select(F.lit(0).alias("k_"), F.col(value).alias("value_"), F.col(order).alias("order_"), F.lit(1).alias("one_"))
+    numbered = running(ones, ["k_"], [F.col("order_")], ["one_"]).select("value_", F.col("before_one_").alias("k_"))
     n = numbered.count()
-    draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.expr(f"sequence(0L, {max(n, 1) - 1}L)")).alias("draw"))
+    draws = cases.sparkSession.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("draw"))
     drawn = draws.withColumn("k_", hash_index(F.col("replicate"), F.col("draw"), F.lit(n), seed))
     return drawn.join(numbered, "k_").groupBy("replicate").agg(F.avg("value_").alias("mean"))
 
@@ -65,20 +68,6 @@ def interval(replicates: DataFrame, keys: list[str], value: str = "mean") -> Dat
     return replicates.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def hierarchical_indices(strata: list[list[list[int]]], replicates: int, seed: int) -> list[np.ndarray]:
-    """Draws of scenes with replacement and, in each stratum of a scene, of its rows. ``strata`` is
-    scene -> stratum -> row numbers; draws are those of NumPy's default generator."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(replicates):
-        rows: list[int] = []
-        for s in rng.integers(0, len(strata), len(strata)):
-            for stratum in strata[s]:
-                rows.extend(np.asarray(stratum)[rng.integers(0, len(stratum), len(stratum))].tolist())
-        out.append(np.asarray(rows))
-    return out
-
-
 def significant(low: list[Column], high: list[Column]) -> Column:
     """Whether all intervals lie above 0, or all below."""
     above, below = F.lit(True), F.lit(True)

@@ -10,17 +10,28 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import average_ranks, match
+
 
 def standardised(df: DataFrame, features: list[str], keys: list[str], eps: float = 1e-6) -> DataFrame:
     """Each feature less its mean, over its population deviation plus ``eps``, within keys."""
     aggs = [a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]
-    out = df.join(df.groupBy(*keys).agg(*aggs), keys)
+    out = match(df, df.groupBy(*keys).agg(*aggs), keys)
     out = out.withColumns({f: (F.col(f) - F.col(f"m_{f}")) / (F.col(f"s_{f}") + eps) for f in features})
     return out.drop(*[f"{p}_{f}" for f in features for p in "ms"])
 
 
-def fit_detector(df: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (16,), rounds: int = 60, seed: int = 1):
-    data = df.select(array_to_vector(F.array(*features)).alias("features"), F.col(label).cast("double").alias("label"))
+def balanced(df: DataFrame, label: str, most: int = 50) -> DataFrame:
+    """Rows with those of the rarer class repeated, so that both weigh about the same, at most ``most`` times."""
+    yes, n = df.agg(F.count_if(F.col(label)), F.count("*")).first()
+    rare = yes <= n - yes
+    times = max(1, min(most, round((n - yes) / yes if rare else yes / (n - yes)))) if 0 < yes < n else 1
+    return df.withColumn("copy_", F.explode(F.when(F.col(label) == F.lit(rare), F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1))))).drop("copy_")
+
+
+def fit_detector(df: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (128, 128), rounds: int = 60, seed: int = 1):
+    """Spark ML's perceptron; it takes no weights, so the rarer class is repeated instead."""
+    data = balanced(df, label).select(array_to_vector(F.array(*features)).alias("features"), F.col(label).cast("double").alias("label"))
     return MultilayerPerceptronClassifier(layers=[len(features), *hidden, 2], maxIter=rounds, seed=seed).fit(data)
 
 
@@ -29,6 +40,13 @@ def probability(model, df: DataFrame, features: list[str], name: str = "probabil
     return scored.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction", *(["probability"] if name != "probability" else []))
 
 
+def logits(model, df: DataFrame, features: list[str], name: str = "logit") -> DataFrame:
+    """Adds the log-odds, as the difference of the two outputs before they become probabilities."""
+    scored = model.transform(df.withColumn("features", array_to_vector(F.array(*features))))
+    raw = vector_to_array("rawPrediction")
+    return scored.withColumn(name, raw[1] - raw[0]).drop("features", "rawPrediction", "prediction", "probability")
+
+
 def dropout_passes(model: MultilayerPerceptronClassificationModel, features: list[str], key: str, passes: int = 20, rate: float = 0.25) -> tuple[Column, Column]:
     """Mean and deviation of the probability when hidden units are dropped at random, by a hash of
     the row's key, so that reruns agree."""
@@ -71,10 +89,8 @@ def fit_abundance(df: DataFrame, features: list[str], truth: str):
 
 def empirical_quantile(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Adds rank / (n + 1) with shared ranks."""
-    from .metrics import average_ranks
-
     n = df.groupBy(*keys).agg(F.count("*").alias("n_"))
-    ranked = average_ranks(df, keys, value, "rank_").join(n, keys)
+    ranked = match(average_ranks(df, keys, value, "rank_"), n, keys)
     return ranked.withColumn(name, F.col("rank_") / (F.col("n_") + 1)).drop("rank_", "n_")
 
 

@@ -7,23 +7,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spectral import clip
+from ..store import cut
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where the keys are equal, null being equal to null.
+    Without keys the one row of ``right`` goes with every row."""
+    named = right.select(*[F.col(f"`{k}`").alias(f"k__{n}") for n, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for n, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"k__{n}"))
+    return left.join(named if keys else F.broadcast(named), on, how).drop(*[f"k__{n}" for n in range(len(keys))])
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, sent to all tasks of a join if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: list[str], parts: int | None = None) -> DataFrame:
-    """Adds ``before_<sum>`` for each of ``sums``: its total over earlier rows of the same keys."""
+    """Adds ``before_<sum>`` for each of ``sums``: its total over earlier rows of the same keys.
+
+    Rows are dealt over ranges of keys and order and written once with the number of their range:
+    ranges are cut by a sample, so two evaluations need not cut alike. A null in a sum counts 0."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("part_", F.spark_partition_id())
+    dealt = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("part_", F.spark_partition_id()), "running")
     totals = dealt.groupBy(*keys, "part_").agg(*[F.sum(s).alias(f"t_{s}") for s in sums])
     earlier = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "part_", *[F.coalesce(F.sum(f"t_{s}").over(earlier), F.lit(0)).alias(f"s_{s}") for s in sums])
-    names = [F.col(k).alias(f"k_{k}") for k in keys]
-    starts = starts.select(*names, F.col("part_").alias("p_"), *[f"s_{s}" for s in sums])
-    on = F.col("part_") == F.col("p_")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
     inside = Window.partitionBy("part_", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(starts, on).select(df["*"], *[(F.col(f"s_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sums])
-    return out
+    out = match(dealt, starts, [*keys, "part_"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"s_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sums])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
@@ -32,11 +46,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -
     by = keys or ["k_"]
     rows = (df if keys else df.withColumn("k_", F.lit(0))).where(F.col(value).isNotNull())
     counts = rows.groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("cnt_"))
-    total = counts.groupBy(*[F.col(k).alias(f"q_{k}") for k in by]).agg(F.sum("cnt_").alias("n_"))
-    on = F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"q_{k}"))
-    ranked = running(counts, by, [F.col("v_")], ["cnt_"]).join(total, on)
+    ranked = running(counts, by, [F.col("v_")], ["cnt_"])
+    ranked = match(ranked, ranked.groupBy(*by).agg(F.sum("cnt_").alias("n_")), by)
 
     def at(rank: Column) -> Column:
         return F.min(F.when((F.col("before_cnt_") <= rank) & (rank < F.col("before_cnt_") + F.col("cnt_")), F.col("v_")))
@@ -66,19 +77,18 @@ def roc_auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "
 def roc_curve(df: DataFrame, keys: list[str], tie: str, score: str = "score", label: str = "label") -> DataFrame:
     """``keys, tie, fpr, tpr`` after each row in falling order of score; ties by the ``tie`` column."""
     rows = df.select(*keys, tie, score, F.col(label).cast("long").alias("p"), (~F.col(label)).cast("long").alias("q"))
-    order = [F.isnan(score), F.col(score).desc(), F.col(tie)]
-    counted = running(rows, keys, order, ["p", "q"])
-    whole = rows.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    return counted.join(whole, keys).select(*keys, tie, ((F.col("before_q") + F.col("q")) / F.greatest("all_q", F.lit(1))).alias("fpr"), ((F.col("before_p") + F.col("p")) / F.greatest("all_p", F.lit(1))).alias("tpr"))
+    counted = running(rows, keys, [F.isnan(score), F.col(score).desc(), F.col(tie)], ["p", "q"])
+    whole = counted.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    return match(counted, whole, keys).select(*keys, tie, ((F.col("before_q") + F.col("q")) / F.greatest("all_q", F.lit(1))).alias("fpr"), ((F.col("before_p") + F.col("p")) / F.greatest("all_p", F.lit(1))).alias("tpr"))
 
 
 def far_thresholds(df: DataFrame, keys: list[str], far: float, score: str = "score") -> DataFrame:
     """``keys, threshold``: the score that at most ``far`` of the rows exceed (the (k+1)-th largest, k = floor(far n))."""
     counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.count("*").alias("cnt_"))
-    total = counts.groupBy(*keys).agg(F.sum("cnt_").alias("n"))
     above = running(counts, keys, [F.col("score").desc()], ["cnt_"])
+    above = match(above, above.groupBy(*keys).agg(F.sum("cnt_").alias("n")), keys)
     k = F.floor(F.col("n") * F.lit(far))
-    return above.join(total, keys).where((F.col("before_cnt_") <= k) & (F.col("before_cnt_") + F.col("cnt_") > k)).select(*keys, F.col("score").alias("threshold"))
+    return above.where((F.col("before_cnt_") <= k) & (F.col("before_cnt_") + F.col("cnt_") > k)).select(*keys, F.col("score").alias("threshold"))
 
 
 def rates_at(df: DataFrame, keys: list[str], threshold: Column, score: str = "score", label: str = "label") -> DataFrame:
@@ -89,8 +99,8 @@ def rates_at(df: DataFrame, keys: list[str], threshold: Column, score: str = "sc
 
 def pd_at_far(df: DataFrame, keys: list[str], far: float, score: str = "score", label: str = "label") -> DataFrame:
     """``keys, threshold, pd``; keys with a class missing are left out."""
-    cut = far_thresholds(df.where(~F.col(label)), keys, far, score)
-    return df.where(F.col(label)).join(cut, keys).groupBy(*keys, "threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("pd"))
+    limit = far_thresholds(df.where(~F.col(label)), keys, far, score)
+    return match(df.where(F.col(label)), limit, keys).groupBy(*keys, "threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("pd"))
 
 
 def nll(p: str, y: str, eps: float = 1e-12) -> Column:
@@ -103,16 +113,21 @@ def brier(p: str, y: str) -> Column:
 
 
 def bin_index(p: Column, bins: int) -> Column:
-    """Bin of a probability over edges i/n, right-open but for the last."""
+    """Bin of a probability over edges i/n, right-open but for the last. What lies below 0 is in the
+    first and what lies above 1 in the last; null and NaN are in none (null)."""
     edges = F.array(*[F.lit(k * (1.0 / bins)) for k in range(bins)])
-    return F.size(F.filter(edges, lambda e: e <= p)) - 1
+    return F.when(~F.isnan(p), F.greatest(F.size(F.filter(edges, lambda e: e <= p)) - 1, F.lit(0)))
 
 
-def reliability(df: DataFrame, p: str, y: str, bins: int = 15) -> DataFrame:
-    """``bin, lo, hi, count, mean_probability, event_rate``; empty bins have null means."""
-    found = df.groupBy(bin_index(F.col(p), bins).alias("bin")).agg(F.count("*").alias("count"), F.avg(p).alias("mean_probability"), F.avg(F.col(y).cast("double")).alias("event_rate"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(found, "bin", "left").select("bin", (F.col("bin") * F.lit(1.0 / bins)).alias("lo"), ((F.col("bin") + 1) * F.lit(1.0 / bins)).alias("hi"), F.coalesce("count", F.lit(0)).alias("count"), "mean_probability", "event_rate")
+def reliability(df: DataFrame, p: str, y: str, bins: int = 15, keys: list[str] | None = None) -> DataFrame:
+    """``keys, bin, lo, hi, count, mean_probability, event_rate``; empty bins have null means. Rows
+    whose probability is null or NaN, or whose outcome is null, count nowhere."""
+    keys = keys or []
+    df = df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
+    found = df.groupBy(*keys, bin_index(F.col(p), bins).alias("bin")).agg(F.count("*").alias("count"), F.avg(p).alias("mean_probability"), F.avg(F.col(y).cast("double")).alias("event_rate"))
+    whole = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    every = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return match(every, found, [*keys, "bin"], "left").select(*keys, "bin", (F.col("bin") * F.lit(1.0 / bins)).alias("lo"), ((F.col("bin") + 1) * F.lit(1.0 / bins)).alias("hi"), F.coalesce("count", F.lit(0)).alias("count"), "mean_probability", "event_rate")
 
 
 def calibration_error(curve: DataFrame) -> DataFrame:
@@ -133,11 +148,10 @@ def coverage(lower: str, upper: str, truth: str) -> Column:
     return F.avg(((F.col(truth) >= F.col(lower)) & (F.col(truth) <= F.col(upper))).cast("double"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Adds ranks from 1 in which ties share their mean."""
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", few: int = 200_000) -> DataFrame:
+    """Adds ranks from 1 in which ties share their mean. Up to ``few`` different values are sent to
+    all tasks, which spares rows of a common value their meeting in one task; beyond that it's a join."""
     counts = df.groupBy(*keys, F.col(value).alias("v_")).agg(F.count("*").alias("cnt_"))
-    ranked = running(counts, keys, [F.col("v_")], ["cnt_"]).select(*[F.col(k).alias(f"r_{k}") for k in keys], "v_", (F.col("before_cnt_") + (F.col("cnt_") + 1) / 2.0).alias(name))
-    on = F.col(value).eqNullSafe(F.col("v_"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
-    return df.join(ranked, on).select(df["*"], name)
+    ranked = running(counts, keys, [F.col("v_")], ["cnt_"]).select(*keys, "v_", (F.col("before_cnt_") + (F.col("cnt_") + 1) / 2.0).alias(name))
+    ranked = small(cut(ranked, "ranks"), few)
+    return match(df.withColumn("v_", F.col(value)), ranked, [*keys, "v_"]).select(*[F.col(f"`{c}`") for c in df.columns], name)
