@@ -52,9 +52,17 @@ def interpolate(x: Column, grid: Column, values: Column) -> Column:
 
 
 def resample(spectrum: Column, grid: Column, to: Column) -> Column:
+    """The spectrum at other wavelengths, constant beyond its ends."""
     return F.transform(to, lambda x: interpolate(x, grid, spectrum))
 
 
+def resample_within(spectrum: Column, grid: Column, to: Column, tolerance: float = 1e-9) -> Column:
+    """The spectrum at other wavelengths; fails where these reach beyond its own."""
+    inside = (F.array_min(to) >= F.array_min(grid) - tolerance) & (F.array_max(to) <= F.array_max(grid) + tolerance)
+    held = F.when(F.coalesce(inside, F.lit(True)), to).otherwise(F.raise_error("the wanted wavelengths reach beyond the spectrum").cast("array<double>"))
+    return resample(spectrum, grid, held)
+
+
 def interpolate_at(values: Column, grid: Sequence[float], places: Sequence[float]) -> Column:
     """:func:`interpolate` at fixed places of a fixed grid: their neighbours are found beforehand."""
     low, high, past, width = [], [], [], []
@@ -103,6 +111,44 @@ def apply_srf(spectrum: str, weights: Sequence[Sequence[float]]) -> Column:
     return F.array(*[dot_columns(F.col(spectrum), literal(row)) for row in weights])
 
 
+def smooth_bands(spectrum: Column, bands: int, fwhm_bands: float) -> Column:
+    """The spectrum under a Gaussian response of a width in bands, out to three deviations, ends
+    repeated; no width leaves it as it is."""
+    if fwhm_bands <= 0:
+        return spectrum
+    sigma = fwhm_bands / 2.3548  # fixed value: full width at half maximum over deviation, as rounded in use
+    radius = max(1, math.ceil(3 * sigma))
+    raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-radius, radius + 1)]
+    taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w / sum(raw)).alias("w")) for o, w in zip(range(-radius, radius + 1), raw, strict=True)])
+
+    def at(i: Column) -> Column:
+        return F.aggregate(taps, F.lit(0.0), lambda s, t: s + t["w"] * F.element_at(spectrum, F.least(F.greatest(i + t["o"], F.lit(0)), F.lit(bands - 1)) + 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), at)
+
+
+def scaled_to(spectrum: Column, level: Column, absolute: bool = False) -> Column:
+    """The spectrum with its peak at ``level``; a peak of 0 counts as 1. With ``absolute`` the peak
+    is the largest absolute value."""
+    peak = F.array_max(F.transform(spectrum, lambda v: F.abs(v))) if absolute else F.array_max(spectrum)
+    return F.transform(spectrum, lambda v: v / F.when(peak == 0, 1.0).otherwise(peak) * level)
+
+
+def shifted_and_tilted(spectrum: Column, bands: int, shifts=(-1, 0, 1), tilts=(-0.03, 0.0, 0.03)) -> Column:
+    """An array of ``shift, tilt, spectrum``: moved by whole bands, ends repeated, times a line through
+    1 at the middle that rises by the tilt to the last band; not below 0."""
+    last = F.lit(bands - 1)
+
+    def made(shift: int, tilt: float) -> Column:
+        def at(i: Column) -> Column:
+            value = F.element_at(spectrum, F.least(F.greatest(i - shift, F.lit(0)), last) + 1)
+            return F.greatest(value * (1 + tilt * (i * (2.0 / (bands - 1)) - 1)), F.lit(0.0))
+
+        return F.struct(F.lit(shift).alias("shift"), F.lit(tilt).alias("tilt"), F.transform(F.sequence(F.lit(0), last), at).alias("spectrum"))
+
+    return F.array(*[made(shift, tilt) for shift in shifts for tilt in tilts])
+
+
 #: Centre, width and depth of the absorption bands of oxygen and water vapour, in nm.
 AIR_BANDS = ((720.0, 12.0, 0.15), (760.0, 6.0, 0.35), (820.0, 15.0, 0.20), (940.0, 25.0, 0.55))
 

@@ -5,22 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import dot, literal, norm
-from .metrics import quantiles
-from .stats import Background, background
+from .metrics import quantiles, small
+from .stats import Background, background, spectra
 
 EPS = 1e-12
 
 
 def _udf(fn: Callable[[np.ndarray], np.ndarray], spectrum: str) -> Column:
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series(fn(np.stack(column.to_numpy()).astype(float)) if len(column) else [], dtype=float)
+    """A score per spectrum from a function of rows of doubles; null spectra have none."""
 
-    return F.pandas_udf(run, "double")(F.col(spectrum))
+    def run(column: pa.Array) -> pa.Array:
+        x, there = spectra(column)
+        out = np.full(len(column), np.nan)
+        if len(there):
+            out[there] = fn(x)
+        return pa.array(out, mask=~np.isin(np.arange(len(column)), there, assume_unique=True))
+
+    return F.arrow_udf(run, "double")(F.col(spectrum))
 
 
 def matched_filter(bg: Background, target, spectrum: str = "spectrum") -> Column:
@@ -70,7 +76,7 @@ def diagonal_distance(pixels: DataFrame, spectrum: str = "spectrum") -> Column:
     """Distance from the band medians in robust band widths, per pixel; medians by running sums over ranges of values."""
     bands = pixels.select(F.posexplode(spectrum).alias("band", "v"))
     middle = quantiles(bands, ["band"], "v", [0.5]).withColumnRenamed("q0", "m")
-    far = bands.join(F.broadcast(middle), "band").select("band", "m", F.abs(F.col("v") - F.col("m")).alias("far"))
+    far = bands.join(small(middle), "band").select("band", "m", F.abs(F.col("v") - F.col("m")).alias("far"))
     wide = quantiles(far, ["band", "m"], "far", [0.5]).select("band", "m", (F.lit(1.4826) * F.col("q0")).alias("s"))
     rows = wide.orderBy("band").collect()  # one row per band
     centre, scale = [r["m"] for r in rows], [max(r["s"], EPS) for r in rows]

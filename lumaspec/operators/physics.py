@@ -88,16 +88,8 @@ def transfer_family(df: DataFrame, spectrum: str, native: Sequence[float], centr
     return out
 
 
-def blobs(count: int, height: int, width: int, rng, top: float, radii=(0.03, 0.07), least: float = 0.5) -> list[tuple[float, float, float, float]]:
-    """Centre, radius and height of bumps, drawn one after the other."""
-    side, out = min(height, width), []
-    for _ in range(count):
-        cy, cx, r, share = (float(rng.uniform(a, b)) for a, b in ((0, height), (0, width), (side * radii[0], side * radii[1]), (least, 1.0)))
-        out.append((cy, cx, r, share * top))
-    return out
-
-
 def abundance(bumps, top: float = 1.0) -> Column:
+    """The sum of round bumps (y, x, radius, height) at a pixel, at most ``top``."""
     terms = [F.lit(a) * F.exp(-((F.col("y") - F.lit(cy)) ** 2 + (F.col("x") - F.lit(cx)) ** 2) / F.lit(2 * r * r)) for cy, cx, r, a in bumps]
     return F.least(F.lit(top), sum(terms[1:], terms[0]) if terms else F.lit(0.0))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import small
+
 
 def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     if sigma < 0:
@@ -22,11 +24,11 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
 
 
 def _sized(scores: DataFrame, value: str) -> DataFrame:
-    """``scene_id, y, x``, the value, and the scene's height, width and whether a value is missing (one row a scene is sent to all tasks)."""
+    """``scene_id, y, x``, the value, and the scene's height, width and whether a value is missing. Sizes are sent to all tasks while they are few."""
     slim = scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value))
     bad = F.col(value).isNull() | F.isnan(value)
     sizes = slim.groupBy(F.col("scene_id").alias("scene_")).agg((F.max("y").cast("long") + 1).alias("h_"), (F.max("x").cast("long") + 1).alias("w_"), F.max(bad).alias("bad_"))
-    return slim.join(F.broadcast(sizes), F.col("scene_id").eqNullSafe(F.col("scene_"))).drop("scene_")
+    return slim.join(small(sizes), F.col("scene_id").eqNullSafe(F.col("scene_"))).drop("scene_")
 
 
 def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score", tile: int = 256) -> DataFrame:
@@ -162,7 +164,7 @@ def _long_pass(df: DataFrame, axis: str, sigma: float, value: str, all_pixels: b
     found = out.join(df, F.col("scene_id").eqNullSafe(F.col("s_")) & (F.col(axis) == F.col("a_")) & (F.col(across) == F.col("b_")), "left" if all_pixels else "inner")
     if not all_pixels:
         return found.where("own_").select("scene_id", "y", "x", F.col("v_").alias(value), "own_", "bad_", "h_", "w_")
-    sizes = F.broadcast(df.groupBy(F.col("scene_id").alias("t_")).agg(F.max("bad_").alias("bad_"), F.max("h_").alias("h_"), F.max("w_").alias("w_")))
+    sizes = small(df.groupBy(F.col("scene_id").alias("t_")).agg(F.max("bad_").alias("bad_"), F.max("h_").alias("h_"), F.max("w_").alias("w_")))
     found = found.select("s_", F.col("a_").alias(axis), F.col("b_").alias(across), F.col("v_").alias(value), F.coalesce("own_", F.lit(False)).alias("own_"))
     return found.join(sizes, F.col("s_").eqNullSafe(F.col("t_"))).select(F.col("s_").alias("scene_id"), "y", "x", value, "own_", "bad_", "h_", "w_")
 
@@ -193,6 +195,6 @@ def lattice(pixels: DataFrame, height: int, width: int, most: int = 96) -> DataF
 
 def roi_means(scores: DataFrame, boxes: DataFrame, value: str = "score") -> DataFrame:
     """``roi, value, n`` over half-open boxes (roi, y0, x0, y1, x1), NaN left out. Boxes are a table
-    of a few rows that the caller draws up, so they are sent to all tasks."""
+    that the caller draws up; up to 10,000 are sent to all tasks."""
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return scores.where(~F.isnan(value)).join(F.broadcast(boxes), inside).groupBy("roi").agg(F.avg(value).alias(value), F.count("*").alias("n"))
+    return scores.where(~F.isnan(value)).join(small(boxes, 10_000), inside).groupBy("roi").agg(F.avg(value).alias(value), F.count("*").alias("n"))

@@ -27,15 +27,28 @@ def _merge(parts):
     return n, mean, m2
 
 
+def spectra(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Spectra of an Arrow column as rows of doubles, and which rows of the column they are: those
+    that are not null. A null value in a spectrum is NaN; lengths must agree."""
+    at = np.flatnonzero(np.asarray(column.is_valid()))
+    dense = column.drop_null()
+    length = np.diff(dense.offsets.to_numpy())
+    if len(length) and (length != length[0]).any():
+        raise ValueError("spectra of one scene must have as many bands")
+    flat = dense.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(dense), -1) if len(dense) else np.empty((0, 0)), at
+
+
 def moments(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
     """``scene_id, n, mean, m2`` per scene: sums of centred products, merged over tasks in two steps
-    so that no task or driver meets more than a few dozen parts of one scene."""
+    so that no task or driver meets more than a few dozen parts of one scene. Null spectra count
+    nowhere; a null value makes its scene's sums NaN."""
 
     def run(batches):
         state: dict[str, tuple] = {}
         for batch in batches:
-            scenes = batch.column(0).to_pandas()
-            x = np.stack(batch.column(1).to_pandas().to_numpy()).astype(float) if batch.num_rows else np.empty((0, 0))
+            x, there = spectra(batch.column(1))
+            scenes = batch.column(0).take(pa.array(there)).to_pandas()
             for scene, at in scenes.groupby(scenes, dropna=False).indices.items():
                 part = x[at]
                 mu = part.mean(0)

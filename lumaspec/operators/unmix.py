@@ -25,29 +25,49 @@ def peak_normalised(pixels: DataFrame) -> DataFrame:
 
 
 def _merge(means: np.ndarray, distance: float) -> np.ndarray:
-    """Average-linkage merging by cosine distance of a few hundred rows at most."""
+    """Average-linkage merging by cosine distance of about a thousand rows at most. The distance of a
+    merged pair to any other is the mean of theirs, weighted by their sizes."""
     groups = [[k] for k in range(len(means))]
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
     far = 1 - unit @ unit.T
+    np.fill_diagonal(far, np.inf)
     while len(groups) > 1:
-        best = min(((far[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])), default=None)
-        if best is None or best[0] >= distance:
+        i, j = sorted(divmod(int(far.argmin()), len(groups)))
+        if far[i, j] >= distance:
             break
-        groups[best[2]] += groups.pop(best[1])
+        a, b = len(groups[i]), len(groups[j])
+        far[i] = far[:, i] = (a * far[i] + b * far[j]) / (a + b)
+        far[i, i] = np.inf
+        far = np.delete(np.delete(far, j, 0), j, 1)
+        groups[i] += groups.pop(j)
     return np.stack([means[g].mean(0) for g in groups])
 
 
-def cluster_unmix(pixels: DataFrame, reference, clusters: int = 64, components: int = 3, similar: float = 0.9, distance: float = 0.005, seed: int = 1) -> DataFrame:
+def unlike_reference(endmembers: np.ndarray, reference, similar: float = 0.9) -> np.ndarray:
+    """Which of at most about a thousand endmembers stay: those that no other surpasses along the
+    reference by more than ``similar`` of the way between the two, endmembers over their peaks."""
+    e, r = np.asarray(endmembers, float), np.asarray(reference, float)
+    e = e / np.nanmax(e, axis=1, keepdims=True)
+    along = e @ r / np.linalg.norm(r)
+    square = (e * e).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * e @ e.T, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ahead = (along[:, None] - along) / apart
+    np.fill_diagonal(ahead, 0)
+    return np.nanmax(ahead, axis=0) <= similar
+
+
+def cluster_unmix(pixels: DataFrame, reference, clusters: int = 1000, components: int = 3, similar: float = 0.9, distance: float = 0.005, seed: int = 1) -> DataFrame:
     """Adds ``score``: the abundance of the (negated) reference beside the cluster means. Pixels that
-    are left out by :func:`peak_normalised` are not in the result. Clusters are at most a few
-    hundred, so their means are gathered; pixels never are."""
+    are left out by :func:`peak_normalised` are not in the result. Clusters are at most ``clusters``
+    (fewer if there are fewer different pixels), so their means are gathered; pixels never are."""
     valid = peak_normalised(pixels).withColumn("vector_", array_to_vector("spectrum"))
     reduced = PCA(k=components, inputCol="vector_", outputCol="part_").fit(valid).transform(valid)
     labelled = KMeans(k=clusters, featuresCol="part_", predictionCol="cluster_", seed=seed).fit(reduced).transform(reduced)
     bands = labelled.select("cluster_", F.posexplode("spectrum").alias("band", "v")).groupBy("cluster_", "band").agg(F.avg("v").alias("v"))
     rows = bands.groupBy("cluster_").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "v"))), lambda s: s["v"]).alias("m")).orderBy("cluster_").collect()
     means, ref = np.array([r["m"] for r in rows]), np.asarray(reference, float)
-    keep = means @ ref / np.maximum(np.linalg.norm(means, axis=1) * np.linalg.norm(ref), 1e-12) <= similar
+    keep = unlike_reference(means, ref, similar)
     means = _merge(means[keep] if keep.any() else means, distance)
     first = np.linalg.pinv(np.vstack([-ref, means]).T)[0]
     return labelled.withColumn("score", F.greatest(dot("spectrum", first), F.lit(0.0))).drop("vector_", "part_", "cluster_")

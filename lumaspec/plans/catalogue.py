@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cubes, learned, tables
+from . import cubes, evaluation, learned, tables
 
-_PARTS = (cubes, tables, learned)
+_PARTS = (cubes, tables, learned, evaluation)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral as S
 from ..model import nodata, pixels_from_vectors
-from ..operators import detect, learn, metrics, physics, spatial, stats, unmix
+from ..operators import detect, experiment, learn, metrics, physics, spatial, stats, unmix
 
 LABEL = 3
 FAMILY = (3, 4, 5)
@@ -84,7 +84,7 @@ def sam_best_label(spark, d):
     means = px.select("label", F.posexplode("spectrum")).groupBy("label", "pos").agg(F.avg("col").alias("m"))
     means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("t"))
     angle = S.dot_columns(F.col("spectrum"), F.col("t")) / ((S.norm(F.col("spectrum")) + 1e-12) * (S.norm(F.col("t")) + 1e-12))
-    pairs = px.select("pixel_id", "spectrum").crossJoin(F.broadcast(means)).select("pixel_id", "label", F.round(angle, 9).alias("a"))  # one row per label
+    pairs = experiment.grid(px.select("pixel_id", "spectrum"), means).select("pixel_id", "label", F.round(angle, 9).alias("a"))
     return pairs.groupBy(F.col("pixel_id").alias("vec_id")).agg(F.max_by("label", F.struct("a", -F.col("label"))).alias("best_label"))
 
 

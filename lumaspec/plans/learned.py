@@ -39,7 +39,7 @@ def cluster_unmix(spark, d):
     px = cube(spark, d)
     low = float(px.agg(F.min(F.array_min("spectrum"))).first()[0])
     moved = px.withColumn("spectrum", F.transform("spectrum", lambda v: v - F.lit(low)))
-    out = unmix.cluster_unmix(moved, np.asarray(_target(px)) - low, clusters=24)
+    out = unmix.cluster_unmix(moved, np.asarray(_target(px)) - low)
     return out.select(F.col("pixel_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 

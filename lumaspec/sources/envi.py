@@ -46,6 +46,12 @@ class Header:
         return None if text is None else [float(v) for v in re.split(r"[,\s]+", text.strip(" {}\n\r\t")) if v]
 
 
+def _bare(value: str) -> str:
+    """A value without the braces around it."""
+    value = value.strip()
+    return value[1 : value.index("}")].strip() if value.startswith("{") and "}" in value else value
+
+
 def parse_header(text: str) -> Header:
     """Header of ``name = value`` lines, values in braces over several lines, comments after ``;``."""
     if not text.lstrip().upper().startswith("ENVI"):
@@ -57,7 +63,7 @@ def parse_header(text: str) -> Header:
         if open_name is not None:
             parts.append(line)
             if "}" in line:
-                fields[open_name], open_name = "\n".join(parts), None
+                fields[open_name], open_name = _bare("\n".join(parts)), None
             continue
         bare = line.strip()
         if not bare:
@@ -70,7 +76,7 @@ def parse_header(text: str) -> Header:
         if where is fields and "{" in value and "}" not in value:
             open_name, parts = name, [value]
         else:
-            where[name] = value
+            where[name] = _bare(value) if where is fields else value
     if open_name is not None:
         raise ValueError(f"the braces of {open_name} never close")
     header = Header(fields, comments)
@@ -86,12 +92,16 @@ def parse_header(text: str) -> Header:
 
 
 def binary_of(header_path: str) -> Path:
-    """The binary beside a header: the same name without ``.hdr``, or with a usual ending."""
-    base = Path(header_path).with_suffix("")
-    for p in (base, *(base.with_suffix(s) for s in (".img", ".dat", ".bin", ".raw", ".bsq", ".bil", ".bip"))):
-        if p.is_file():
-            return p
-    raise FileNotFoundError(f"no binary beside {header_path}")
+    """The one file in the header's folder that shares its name up to the ending, as the format pairs
+    them: ``a.hdr`` or ``a.img.hdr`` beside ``a`` or ``a.img``. Of several the one that a second ending
+    in the header's own name asks for, else there must be only one."""
+    header = Path(header_path)
+    asked = header.name[: -len(header.suffix)]
+    beside = sorted(p for p in header.parent.iterdir() if p.is_file() and p != header and p.suffix.lower() not in (".hdr", ".txt", ".json", ".xml", ".png"))
+    found = [p for p in beside if p.name == asked] or [p for p in beside if p.stem == asked]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{len(found)} binaries beside {header_path}")
+    return found[0]
 
 
 class _Lines(InputPartition):
@@ -144,6 +154,15 @@ class EnviSource(DataSource):
         return EnviReader(self.options)
 
 
+def load_normalised(spark, header: str, scene: str = "scene", **options):
+    """The pixels of a cube under one scene id, scaled to 0 to 1."""
+    from pyspark.sql import functions as F
+
+    spark.dataSource.register(EnviSource)
+    pixels = spark.read.format("envi").options(**options).load(header)
+    return normalise(pixels.select(F.lit(scene).alias("scene_id"), "*"))
+
+
 def normalise(pixels):
     """All values moved and scaled to 0 to 1 over the whole cube."""
     from pyspark.sql import functions as F

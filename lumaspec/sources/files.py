@@ -48,6 +48,14 @@ def zip_members(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, member string, size long, corrupt boolean")
 
 
+def json_rows(df: DataFrame, key: str, column: str, schema: str) -> DataFrame:
+    """``<key>, readable, record``: JSON texts as structs; what can't be read has no record."""
+    kind = f"{schema}, corrupt_ string"
+    read = F.from_json(column, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_"})
+    ok = F.col("r").isNotNull() & F.col("r.corrupt_").isNull()
+    return df.select(key, read.alias("r")).select(key, ok.alias("readable"), F.when(ok, F.col("r").dropFields("corrupt_")).alias("record"))
+
+
 def spectral_table(spark: SparkSession, path: str, wavelength: str = "wavelength_nm") -> DataFrame:
     """A wide CSV of spectra as ``name, wavelengths, spectrum``, each sorted by wavelength."""
     wide = spark.read.option("header", True).option("inferSchema", True).csv(path)

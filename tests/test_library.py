@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumaspec.functions import spectral as S
-from lumaspec.model import nodata
-from lumaspec.operators import calibrate, detect, metrics, physics, simulate, spatial, stats
-from lumaspec.sources import files
-from lumaspec.sources.envi import EnviSource, parse_header
+from lumaspec.model import increasing, nodata, require
+from lumaspec.operators import calibrate, detect, evaluate, experiment, geometry, learn, metrics, physics, spatial, stats, unmix
+from lumaspec.sources import files, protocol
+from lumaspec.sources.envi import EnviSource, binary_of, load_normalised, parse_header
 from lumaspec.streaming.score import FrozenFilter, read_pixels, write_scores
 
 
@@ -122,15 +122,17 @@ def test_spectra(spark):
     assert _column(zero, nodata()).tolist() == [True, False]
 
 
-def test_simulated_scene_reaches_its_ratio_and_is_found(spark):
-    spec = simulate.specs(spark, [{"scene_id": "a", "snr_db": 30.0, "height": 48, "width": 48, "bands": 40}])
-    a = simulate.simulate(spec).orderBy("pixel_id").collect()
-    assert [r["spectrum"][:3] for r in a[:5]] == [r["spectrum"][:3] for r in simulate.simulate(spec).orderBy("pixel_id").take(5)]
-    px = simulate.simulate(spec)
-    scored = px.withColumn("score", detect.matched_filter(stats.background(px), physics.reporter(40)))
+def test_target_in_a_noisy_scene_is_found(spark):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0.1, 0.6, (40, 40, 1)) * np.array(physics.endmembers(30)["soil"]) + rng.normal(0, 0.003, (40, 40, 30))
+    t = np.array(physics.reporter(30))
+    x[:3, :5] += 0.15 * (t - x[:3, :5])
+    px = _pixels(spark, x)
+    scored = px.withColumn("score", detect.matched_filter(stats.background(px), t)).withColumn("label", (F.col("y") < 3) & (F.col("x") < 5))
     assert metrics.roc_auc(scored, ["scene_id"]).first()["auc"] > 0.85
+    assert px.select(physics.noise_sigma(F.lit(1.0), 20.0).alias("s")).first()["s"] == 0.1
     with pytest.raises(ValueError):
-        simulate.specs(spark, [{"scene_id": "a", "snr_db": float("nan")}])
+        physics.noise_sigma(F.lit(1.0), float("nan"))
 
 
 @pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
@@ -146,6 +148,18 @@ def test_envi_round_trip(spark, tmp_path, interleave):
     assert head.wavelengths == [400, 500, 600] and head.comments == {"made": "here"}
     with pytest.raises(ValueError):
         parse_header("ENVI\nsamples = 4\n")
+    whole = load_normalised(spark, str(tmp_path / "c.hdr")).orderBy("pixel_id").collect()
+    assert whole[0]["spectrum"][0] == 0.0 and whole[-1]["spectrum"][-1] == 1.0
+    described = (tmp_path / "c.hdr").read_text() + "description = { a cube }\n"
+    assert parse_header(described).fields["description"] == "a cube"
+    (tmp_path / "c.img").write_bytes((tmp_path / "c.img").read_bytes() + b"\1" * 32)
+    with pytest.raises(Exception, match="should have"):
+        spark.read.format("envi").load(str(tmp_path / "c.hdr")).count()
+    loose = spark.read.format("envi").option("strict", "false").load(str(tmp_path / "c.hdr")).orderBy("pixel_id").collect()
+    assert np.allclose([r["spectrum"] for r in loose], cube.reshape(-1, 3))
+    (tmp_path / "c.dat").write_bytes(b"")
+    with pytest.raises(FileNotFoundError):
+        binary_of(str(tmp_path / "c.hdr"))
 
 
 def test_manifest_states(spark):
@@ -210,3 +224,218 @@ def test_medians_hold_no_group_in_one_buffer(spark):
     a, m = x[:250], np.median(x[:250])
     assert np.allclose(got, np.sort((a - m) / (1.4826 * np.median(np.abs(a - m)))), atol=1e-12)
     assert np.allclose(list(metrics.quantiles(df, [], "v", [0.02, 0.98]).first()), np.quantile(x, [0.02, 0.98]), atol=1e-12)
+
+
+def test_areas_of_many_scores_are_right_and_repeat(spark):
+    n = 120_000
+    df = spark.range(n, numPartitions=7).selectExpr("id", "cast(id % 3 as int) as k", "cast(conv(substr(md5(cast(id as string)), 1, 8), 16, 10) as double) as score", "id % 5 = 0 as label")
+    df = df.unionByName(spark.createDataFrame([(n, None, 1.0, True), (n + 1, None, 0.0, False), (n + 2, None, 2.0, False)], df.schema))
+    rows = df.toPandas()
+    want = {}
+    for k, g in rows.groupby(rows["k"].fillna(-1).astype(int)):
+        ranks, y = g["score"].rank().to_numpy(), g["label"].to_numpy(bool)
+        want[k] = (ranks[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    for _ in range(2):  # the parts are cut by a sample; results must not be
+        got = {-1 if r["k"] is None else r["k"]: r["auc"] for r in metrics.roc_auc(df, ["k"]).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    curve = metrics.roc_curve(df, ["k"], "id").where("k is null").orderBy("id").collect()
+    assert [(r["fpr"], r["tpr"]) for r in curve] == [(0.5, 1.0), (1.0, 1.0), (0.5, 0.0)]
+    assert metrics.pd_at_far(df, ["k"], 0.0).where("k is null").first()["pd"] == 0.0
+    ranked = metrics.average_ranks(df.where("id < 1000"), ["k"], "score", "r", few=5)  # by a join
+    few = rows[rows["id"] < 1000].copy()
+    few["r"] = few.groupby("k")["score"].rank()
+    assert {r["id"]: r["r"] for r in ranked.collect()} == dict(zip(few["id"], few["r"], strict=True))
+
+
+def test_probabilities_outside_and_missing(spark):
+    rows = spark.createDataFrame([(None, 1), (float("nan"), 0), (-0.5, 0), (1.5, 1), (0.3, None)], "p double, y int")
+    got = metrics.reliability(rows, "p", "y", 2).orderBy("bin").collect()
+    assert [(r["count"], r["event_rate"]) for r in got] == [(1, 0.0), (1, 1.0)]
+    assert metrics.reliability(rows.withColumn("k", F.lit("a")), "p", "y", 2, ["k"]).count() == 2
+
+
+def test_temperature_at_its_bound_has_the_bias_of_the_bound(spark):
+    rows = spark.createDataFrame([(float(s), bool(s < 0)) for s in np.linspace(-3, 3, 61)] * 2 + [(0.5, True)] * 40, "s double, y boolean")
+    fit = calibrate.fit_temperature(rows, "s", "y")
+    assert math.isclose(fit.slope, math.exp(-10))
+    share = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    assert abs(rows.agg(F.avg(fit.apply(F.col("s")))).first()[0] - share) < 1e-9
+
+
+def test_group_fits_are_those_of_each_group(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, float(s), bool(rng.random() < 1 / (1 + math.exp(-(m * s + 0.3))))) for g, m in (("a", 0.8), ("b", -1.5), (None, 0.1)) for s in rng.normal(2, 3, 400)]
+    df = spark.createDataFrame(rows, "g string, s double, y boolean")
+    for r in evaluate.fit_platt_groups(df, ["g"], "s", "y").collect():
+        one = calibrate.fit_platt(df.where(F.col("g").eqNullSafe(F.lit(r["g"]))), "s", "y")
+        assert math.isclose(r["slope"], one.slope, rel_tol=1e-4) and math.isclose(r["bias"], one.bias, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_verdicts_limits_and_splits(spark):
+    v = spark.createDataFrame([(-1.0, -1.0, 0.95), (-1.0, 1.0, 0.95), (1.0, -1.0, 0.95), (-1.0, -1.0, 0.5), (None, 1.0, 0.9)], "e double, w double, c double")
+    assert [r[0] for r in v.select(evaluate.abundance_verdict(F.col("e"), F.col("w"), [F.col("c")])).collect()] == ["point_and_interval", "point_only", "interval_only", "point_only", "no_advantage"]
+    curve = spark.createDataFrame([("a", 0.1, level, pd, pd - 0.1) for level, pd in ((1, 0.5), (2, 0.95), (3, 0.99), (4, 1.0))] + [("b", 0.1, 1, 1.0, 1.0)], "s string, far double, level int, pd double, pd_low double")
+    real = spark.createDataFrame([("a", 0.1, 0.05), ("a", 0.1, 0.14), ("b", 0.1, 0.2)], "s string, far double, realized_far double")
+    got = {r["s"]: tuple(r)[2:] for r in evaluate.limit_summary(curve, real, ["s", "far"], "level", "far").collect()}
+    assert got == {"a": (True, 2, 4, 2, 4), "b": (False, 1, 1, None, None)}
+    rows = spark.createDataFrame([(c, evaluate.SPLITS[c % 3]) for c in range(9)] + [(4, "fit")], "c int, split string")
+    assert [tuple(r) for r in evaluate.in_several(rows, "c").collect()] == [(4, 2)]
+    means = spark.createDataFrame([("a", 3, 0.8), ("a", 5, 0.896), ("a", 60, 0.9)], "m string, k int, v double")
+    assert evaluate.smallest_sufficient(means, ["m"], "k", "v").first()["smallest"] == 5
+    assert [r[0] for r in spark.createDataFrame([(0.01, 0.99), (0.02, 1.0), (None, 1.0)], "m double, r double").select(evaluate.reproduced(F.col("m"), F.col("r"))).collect()] == [True, False, False]
+
+
+def test_levels_of_a_bootstrap(spark):
+    cases = [("x", 0, 1.0), ("x", 0, 1.0), ("x", 1, 3.0), ("y", 0, 5.0), ("y", 1, 7.0)]
+    df = spark.createDataFrame([(s, t, v, k) for k, (s, t, v) in enumerate(cases)], "s string, t int, v double, k int")
+    means = [r["mean"] for r in evaluate.hierarchical_bootstrap(df, "s", "t", "v", "k", 300).orderBy("replicate").collect()]
+    # two scenes are drawn: both x, one of each, or both y; strata keep their sizes
+    assert len(means) == 300 and {round(m, 9) for m in means} == {round(5 / 3, 9), 3.4, 6.0}
+    assert evaluate.hierarchical_bootstrap(df.where("false"), "s", "t", "v", "k", 5).count() == 0
+
+
+def test_turned_crops_and_colours(spark):
+    crop = geometry.TurnedCrop(9, 5, 100.0, 40.0, 90.0)
+    p = spark.createDataFrame([(4.0, 2.0), (0.0, 2.0)], "y double, x double")
+    y, x = crop.to_scene(F.col("y"), F.col("x"))
+    assert np.allclose([tuple(r) for r in p.select(y, x).collect()], [(104, 42), (104, 46)])
+    back = crop.from_scene(y, x)
+    assert np.allclose([tuple(r) for r in p.select(*back).collect()], [(4, 2), (0, 2)])
+    flat = geometry.TurnedCrop(9, 5, 100.0, 40.0, 0.0).polygon(spark.createDataFrame([(1, 0, 0, 9, 5)], "roi int, y0 int, x0 int, y1 int, x1 int")).orderBy("corner").collect()
+    assert [(r["y"], r["x"]) for r in flat] == [(100, 40), (100, 44), (108, 44), (108, 40)]
+    bands = spark.createDataFrame([(0, 440.0), (1, 460.0), (2, 650.0)], "band int, wavelength double")
+    assert geometry.nearest_band(bands, 450.0).first()[0] == 0
+    lit = spark.createDataFrame([(255, 255, 255), (0, 0, 0)], "r int, g int, b int").select(geometry.luminance_view(F.col("r"), F.col("g"), F.col("b"), 50.0).alias("v")).select("v.*").collect()
+    assert lit[0]["bright"] and math.isclose(lit[0]["strength"], 1.0) and lit[0]["level"] is None and tuple(lit[1]) == (False, None, 0)
+    cube = _pixels(spark, np.arange(1, 13, dtype=float).reshape(2, 2, 3))
+    seen = geometry.composite(cube, {"r": 0}, F.col("pixel_id") == 3, 0.0, 1.0, 1.0).orderBy("pixel_id").collect()
+    assert [round(r["r"], 9) for r in seen] == [0.0, 0.5, 1.0, 0.0]
+
+
+def test_more_spectra(spark):
+    one = spark.createDataFrame([(0, [0.2, 0.4, 0.8, 0.4])], "pixel_id int, s array<double>")
+    value = lambda c: np.array(one.select(c.alias("v")).first()["v"])
+    assert np.allclose(value(S.smooth_bands(F.col("s"), 4, 0.0)), [0.2, 0.4, 0.8, 0.4])
+    k = np.exp(-0.5 * (np.arange(-2, 3) / (1.5 / 2.3548)) ** 2)
+    assert np.allclose(value(S.smooth_bands(F.col("s"), 4, 1.5)), np.convolve(np.pad([0.2, 0.4, 0.8, 0.4], 2, mode="edge"), k / k.sum(), mode="valid"))
+    assert np.allclose(value(S.scaled_to(F.col("s"), F.lit(2.0))), [0.5, 1, 2, 1]) and np.allclose(value(S.scaled_to(F.transform("s", lambda v: v * 0.0), F.lit(2.0))), 0)
+    family = one.select(F.explode(S.shifted_and_tilted(F.col("s"), 4)).alias("f")).select("f.*").collect()
+    assert len(family) == 9 and np.allclose(family[4]["spectrum"], [0.2, 0.4, 0.8, 0.4])
+    assert np.allclose(next(f["spectrum"] for f in family if (f["shift"], f["tilt"]) == (1, 0.03)), np.array([0.2, 0.2, 0.4, 0.8]) * (1 + 0.03 * np.linspace(-1, 1, 4)))
+    with pytest.raises(Exception, match="reach beyond"):
+        one.select(S.resample_within(F.col("s"), S.literal([0, 1, 2, 3]), S.literal([0.5, 3.5]))).collect()
+    assert np.allclose(value(physics.without_baseline(F.col("s"))), np.maximum(np.array([0.2, 0.4, 0.8, 0.4]) - np.quantile([0.2, 0.4, 0.8, 0.4], 0.05), 0))
+    target = physics.synthetic_target(60)
+    assert max(target) == 1 and int(np.argmax(target)) == round(0.62 * 59)
+    assert np.allclose(value(physics.reflectance(F.col("s"), 0.5)), 0.5 * 10 ** -np.array([0.2, 0.4, 0.8, 0.4]))
+
+
+def test_null_and_ragged_spectra(spark):
+    px = spark.createDataFrame([("s", 0, [1.0, 2.0]), ("s", 1, None), ("s", 2, [3.0, 4.5])], "scene_id string, pixel_id long, spectrum array<double>")
+    bg = stats.background(px)
+    assert bg.n == 2 and np.allclose(bg.mean, [2, 3.25])
+    scores = [r[0] for r in px.orderBy("pixel_id").select(detect.mahalanobis(bg)).collect()]
+    assert scores[1] is None and scores[0] >= 0
+    with pytest.raises(Exception, match="as many bands"):
+        stats.background(px.unionByName(spark.createDataFrame([("s", 3, [1.0])], px.schema)).coalesce(1))
+
+
+def test_endmembers_ahead_along_the_reference_go(spark):
+    ref = np.array([0.0, 1.0, 0.0])
+    ends = np.array([[1.0, 0.2, 0.5], [1.0, 0.9, 0.5], [0.2, 0.3, 1.0]])
+    assert unmix.unlike_reference(ends, ref).tolist() == [False, True, True]  # the second lies ahead of the first by nothing but the reference
+    merged = unmix._merge(np.array([[1.0, 0.0], [0.999, 0.01], [0.0, 1.0]]), 0.005)
+    assert len(merged) == 2 and np.allclose(merged[0], [0.9995, 0.005])
+
+
+def test_learned_logits_members_and_balance(spark):
+    rows = [(k, float(k % 7), float(k % 3), k % 10 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "pixel_id long, a double, b double, y boolean")
+    assert learn.balanced(df, "y").groupBy("y").count().collect()[0]["count"] == 180 == learn.balanced(df, "y").where("y").count()
+    model = learn.fit_detector(df, ["a", "b"], "y", hidden=(3,), rounds=5)
+    both = learn.probability(model, learn.logits(model, df, ["a", "b"]), ["a", "b"], "p").collect()
+    assert np.allclose([r["p"] for r in both], [1 / (1 + math.exp(-r["logit"])) for r in both], atol=1e-9)
+    members = spark.createDataFrame([("x", -1.0), ("x", 2.0), ("y", 0.0)], "k string, logit double")
+    mean = (1 / (1 + math.e) + 1 / (1 + math.exp(-2))) / 2
+    assert {r["k"]: round(r["logit"], 9) for r in learn.ensemble(members, ["k"], "logit").collect()} == {"x": round(math.log(mean / (1 - mean)), 9), "y": 0.0}
+    fit = learn.fit_abundance(df.withColumn("t", F.col("a") * 2 + F.col("b") + 1), ["a", "b"], "t")
+    assert np.allclose(fit.coefficients.toArray(), [2, 1]) and math.isclose(fit.intercept, 1, abs_tol=1e-9)
+
+
+def test_protocols_listings_and_measured_spectra(spark, tmp_path):
+    import json
+
+    roi = lambda k, y0, y1, c: {"index": k, "top_left_yx": [y0, 0], "bottom_right_yx": [y1, 2], "concentration_um": c, "published_classification_score": 0.5}
+    whole = {"schema_version": 1, "sources": {"a": 1}, "primary_analysis": {"sample_name": "s", "crop_yx": [[10, 20], [5, 9]], "rotation_degrees": 3.5, "positive_threshold_um": 5, "rois": [roi(0, 0, 4, 1.0), roi(1, 4, 10, 9.0)]}}
+    def read(doc):
+        path = tmp_path / f"p{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(doc, indent=1))
+        return protocol.read_protocol(spark, str(path)).orderBy("roi").collect()
+    got = read(whole)
+    assert [(r["height"], r["width"], r["top"], r["left"], r["y1"], r["positive"]) for r in got] == [(10, 4, 10, 5, 4, False), (10, 4, 10, 5, 10, True)]
+    for fault in ({"schema_version": 2}, {"primary_analysis": whole["primary_analysis"] | {"rois": [roi(1, 0, 4, 1.0)]}}, {"primary_analysis": whole["primary_analysis"] | {"rois": [roi(0, 0, 11, 1.0)]}}):
+        with pytest.raises(Exception):
+            read(whole | fault)
+    (tmp_path / "m.json").write_text(json.dumps({"files": {"b.zip": {"size": 3, "checksum": "md5:1", "download_url": "u", "role": "x"}, "a.zip": {"size": 4}}}))
+    assert [(r["name"], r["size"]) for r in protocol.read_listing(spark, str(tmp_path / "m.json")).collect()] == [("a.zip", 4), ("b.zip", 3)]
+    (tmp_path / "a.csv").write_text("wavelength_nm,absorbance\n400,0.1\n402,0.3\n410,0.2\n")
+    curve = protocol.absorbance_at(spark, str(tmp_path / "a.csv"), S.literal([390.0, 401.0, 406.0, 500.0])).first()["absorbance"]
+    assert np.allclose(curve, [0.1, 0.2, 0.25, 0.2])
+    grid = spark.createDataFrame([(k, 0.4 + 0.0015 * k) for k in range(5)], "row int, value double")
+    values = spark.createDataFrame([("leaf", k, v) for k, v in enumerate((0.1, 0.2, -1.23e34, 0.4, 0.5))], "name string, row int, value double")
+    long = protocol.long_spectra([(grid, values)])
+    out = [(r["wavelength_nm"], round(r["leaf"], 9)) for r in protocol.wide_spectra(long, ["leaf"]).collect()]
+    assert [w for w, _ in out] == [400, 401, 402, 403, 404, 405, 406] and np.allclose([v for _, v in out], np.interp(np.arange(400, 407), [400, 401.5, 404.5, 406], [0.1, 0.2, 0.4, 0.5]))
+
+
+def test_archives_tables_and_sinks(spark, tmp_path):
+    import struct
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a.txt", "abc")
+        z.writestr("d/b.txt", "")
+    found = files.zip_members(spark.read.format("binaryFile").load(str(tmp_path / "z.zip"))).orderBy("member").collect()
+    assert [(r["member"], r["size"], r["corrupt"]) for r in found] == [("a.txt", 3, False), ("d/b.txt", 0, False)]
+    (tmp_path / "s.csv").write_text("wavelength_nm,leaf,soil\n500,0.5,\n400,0.25,0.1\n")
+    table = {r["name"]: (r["wavelengths"], r["spectrum"]) for r in files.spectral_table(spark, str(tmp_path / "s.csv")).collect()}
+    assert table == {"leaf": ([400.0, 500.0], [0.25, 0.5]), "soil": ([400.0], [0.1])}
+    cube = np.arange(24, dtype="<f8").reshape(2, 3, 4)
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+    array = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<iii", 2, 3, 4)) + element(1, b"cube") + element(9, cube.tobytes(order="F"))
+    (tmp_path / "c.mat").write_bytes(b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<HH", 0x0100, 0x4D49) + element(14, array))
+    got = files.mat_cube(spark, str(tmp_path / "c.mat"), "cube").orderBy("pixel_id").collect()
+    assert np.allclose([r["spectrum"] for r in got], cube.reshape(-1, 4)) and [(r["y"], r["x"]) for r in got][:4] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    rows = spark.createDataFrame([("a", 1 / 3), ("b", float("nan"))], "k string, v double")
+    files.write_csv(rows.where("k = 'a'"), str(tmp_path / "csv"))
+    assert "a,0.333333" in "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+    files.write_json(rows, str(tmp_path / "json"))
+    assert {r["k"]: r["v"] for r in spark.read.json(str(tmp_path / "json")).collect()} == {"a": 1 / 3, "b": None}
+    assert experiment.markdown(spark.createDataFrame([(2, "y"), (1, None)], "a int, b string"), "a").first()["report"] == "| a | b |\n|---|---|\n| 1 |  |\n| 2 | y |"
+    bad = files.json_rows(spark.createDataFrame([(1, '{"k": 2}'), (2, "{k"), (3, None)], "i int, j string"), "i", "j", "k long").orderBy("i").collect()
+    assert [(r["readable"], r["record"] and r["record"]["k"]) for r in bad] == [(True, 2), (False, None), (False, None)]
+
+
+def test_rates_by_window(spark):
+    from lumaspec.streaming.score import windowed_rates
+
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 3.0), ("2024-01-01 01:00:00", "a", 3.0)], "t string, k string, v double").withColumn("t", F.to_timestamp("t"))
+    got = windowed_rates(rows, "t", "k", "v", 2.0).orderBy("start").collect()
+    assert [(r["k"], r["n"], r["rate"]) for r in got] == [("a", 2, 0.5), ("a", 1, 1.0)]
+
+
+def test_rows_that_must_hold(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 2.0])], "k int, w array<double>")
+    assert require(df, F.col("k") > 0, "positive").count() == 2 and [r["k"] for r in increasing(df, "k", "w").collect()] == [2]
+    with pytest.raises(Exception, match="below two"):
+        require(df, F.col("k") < 2, "below two").collect()
+    lo, hi = experiment.oriented(F.lit(1.0), F.lit(2.0), False)
+    assert tuple(spark.range(1).select(lo, hi).first()) == (-2.0, -1.0)
+
+
+def test_shared_tables_and_their_end(spark, tmp_path):
+    from lumaspec import store
+
+    kept = store.cut(spark.range(3), "t")
+    assert kept.count() == 3 and store.discard_all(spark) >= 1 and store.discard_all(spark) == 0
