@@ -1,37 +1,5 @@
-"""Tables written in the shared folder of the cluster, to cut lineage."""
+"""Tables written in the shared folder of the cluster, as in the rest of the library."""
 
-from __future__ import annotations
+from ..store import cut, discard, discard_all, new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lumaspec-"))
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: what follows no longer
-    depends on the executors that computed it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a path of :func:`new_path` that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["cut", "discard", "discard_all", "new_path", "shared_dir"]

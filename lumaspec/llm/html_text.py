@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import cut
+from .html_layouts import FAMILIES, training_page
+
 # HTML's elements without content, without shown text, within a line, and end tags that may be left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -49,6 +52,20 @@ TOKEN_GROUPS = tuple(
     )
 )
 N_TOKENS = len(TOKEN_GROUPS)
+#: What the first words of a part say of it.
+HINTS = tuple(
+    re.compile(p, re.I)
+    for p in (
+        r"^\W*(\d+ )?(comment|kommentar|commentaire|comentario|discussion|repl(y|ies)\b|leave a (reply|comment)|responses?\b)",
+        r"^\W*(©|\(c\)|copyright|all rights|impressum)",
+        r"\bcookies?\b|^\W*notice\b",
+        r"^\W*(advert|sponsored|ad:|anzeige|publicit|publicidad)",
+        r"^\W*(related|popular|more from|categor|archive|tags\b|mehr zum thema|articles li|relacionad)",
+        r"^\W*(subscribe|search|sign up|log in|newsletter|anmelden|share|follow us|tweet|teilen|partager)",
+    )
+)
+N_HINTS = len(HINTS)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-label|aria-hidden|style|hidden|itemprop|data-lumaspec)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -81,22 +98,34 @@ def attribute_facts(attrs: str) -> tuple[tuple[int, ...], bool, str]:
 class Dom:
     """Nodes of one page in page order, and its text runs as (node, block, text)."""
 
-    __slots__ = ("parent", "tag", "facts", "runs", "own", "links", "signs", "words", "start", "inputs")
+    __slots__ = ("parent", "tag", "facts", "runs", "own", "links", "signs", "words", "start", "inputs", "anchors", "hints", "under", "_heading")
 
     def __init__(self, source: str):
         self.parent, self.tag, self.facts = [-1], ["body"], [((), False, "")]
-        self.runs, self.own, self.links, self.signs, self.words, self.start, self.inputs = [], [0], [0], [0], [0], [0], [0]
+        self.runs, self.own, self.links, self.signs, self.words, self.start, self.inputs, self.anchors = [], [0], [0], [0], [0], [0], [0], [0]
+        #: what a node's first words say, and what the heading before it says
+        self.hints, self.under, self._heading = [None], [()], ()
         self._parse(source)
 
     def _node(self, parent: int, tag: str, facts: tuple, chars: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.facts.append(facts)
-        for x in (self.own, self.links, self.signs, self.words, self.inputs):
+        for x in (self.own, self.links, self.signs, self.words, self.inputs, self.anchors):
             x.append(0)
         self.start.append(chars)
+        self.hints.append(None)
+        self.under.append(self._heading)
         return len(self.parent) - 1
 
+    def _hint(self, node: int, text: str) -> None:
+        found = tuple(k for k, p in enumerate(HINTS) if p.search(text[:60]))
+        if self.tag[node] in _HEADINGS:
+            self._heading = found
+        while node >= 0 and self.hints[node] is None:
+            self.hints[node] = found
+            node = self.parent[node]
+
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # element and the node that stands for it
         at, block, chars, unseen, linked, n = 0, 0, 0, 0, 0, len(source)
@@ -117,6 +146,8 @@ class Dom:
                     if linked:
                         self.links[node] += size
                     chars += size
+                    if self.hints[node] is None or self.tag[node] in _HEADINGS:
+                        self._hint(node, text)
                 else:
                     self.runs.append((stack[-1][1], block, " "))
             if not m:
@@ -170,18 +201,20 @@ class Dom:
             node = stack[-1][1]
             if not unseen and tag not in UNSEEN and (not inline or facts[0] or facts[1] or facts[2]):
                 node = self._node(node, tag, facts, chars)
+            if tag == "a" and not unseen:
+                self.anchors[node] += 1
             stack.append((tag, node))
             unseen += tag in UNSEEN
             linked += tag == "a"
 
 
-N_FEATURES = 20 + len(TAG_GROUPS) + 1 + N_TOKENS + N_TOKENS + 2 * (len(TAG_GROUPS) + 1)
+N_FEATURES = 34 + 2 * N_HINTS + len(TAG_GROUPS) + 1 + N_TOKENS + N_TOKENS + 2 * (len(TAG_GROUPS) + 1)
 
 
 def node_features(dom: Dom) -> np.ndarray:
     n = len(dom.parent)
     parent = np.asarray(dom.parent)
-    own = np.asarray([dom.own, dom.links, dom.words, dom.signs, dom.inputs, [1] * n, [t == "p" for t in dom.tag], [t == "li" for t in dom.tag]], float)
+    own = np.asarray([dom.own, dom.links, dom.words, dom.signs, dom.inputs, [1] * n, [t == "p" for t in dom.tag], [t == "li" for t in dom.tag], dom.anchors], float)
     total = own.copy()
     depth, kids, turn = np.zeros(n), np.zeros(n), np.zeros(n)
     rows, sums = dom.parent, total.T
@@ -193,7 +226,7 @@ def node_features(dom: Dom) -> np.ndarray:
         depth[k], turn[k] = depth[p] + 1, kids[p]
         kids[p] += 1
         same[p, dom.tag[k]] = same.get((p, dom.tag[k]), 0) + 1
-    text, links, words, signs, inputs, nodes, paras, items = total
+    text, links, words, signs, inputs, nodes, paras, items, anchors = total
     whole = max(text[0], 1.0)
     up = np.maximum(parent, 0)
     brothers = kids[up]
@@ -203,8 +236,29 @@ def node_features(dom: Dom) -> np.ndarray:
         depth, np.log1p(text), np.log1p(own[0]), links / safe, np.log1p(nodes), safe / nodes, signs / np.maximum(words, 1), text / np.maximum(words, 1),
         turn / np.maximum(brothers, 1), np.log1p(brothers), text / whole, text / np.maximum(text[up], 1), np.log1p(paras), np.log1p(items), inputs,
         np.log1p(np.maximum(rest, 0)), np.asarray([same.get((rows[k], dom.tag[k]), 1) for k in range(n)], float), np.asarray(dom.start) / whole,
-        np.asarray([f[1] for f in dom.facts], float), np.log1p(kids),
+        np.asarray([f[1] for f in dom.facts], float), np.log1p(kids), np.log1p(anchors), links / np.maximum(anchors, 1),
     ]
+    before, after = np.zeros(n, int), np.zeros(n, int)  # siblings; the root stands for none
+    latest: dict[int, int] = {}
+    for k in range(1, n):
+        before[k] = latest.get(rows[k], 0)
+        after[before[k]] = k
+        latest[rows[k]] = k
+    after[0] = 0
+    dense = links / safe
+    for near in (before, after):
+        there = near > 0
+        cols += [np.where(there, np.log1p(text[near]), -1), np.where(there, dense[near], -1), np.where(there, np.log1p(anchors[near]), -1)]
+    biggest = np.zeros(n)
+    np.maximum.at(biggest, up[1:], text[1:] - links[1:])
+    cols += [text[up] / whole, dense[up], np.log1p(paras[up]), np.log1p(anchors[up]), (text - links) / np.maximum(biggest[up], 1), np.log1p(own[0][up])]
+    hinted = np.zeros((2 * N_HINTS, n))
+    for k in range(n):
+        for h in dom.hints[k] or ():
+            hinted[h, k] = 1
+        for h in dom.under[k]:
+            hinted[N_HINTS + h, k] = 1
+    cols += list(hinted)
     groups = len(TAG_GROUPS) + 1
     tag = np.asarray([TAG_GROUP.get(t, groups - 1) for t in dom.tag])
     base = len(cols)
@@ -247,6 +301,20 @@ class NodeModel:
         return 2 * out
 
 
+def with_siblings(dom: Dom, odds: np.ndarray) -> np.ndarray:
+    """Log-odds halfway to the mean of a node's like siblings: of one parent, tag, tokens and hints, and
+    all mostly links or all mostly not, but for ``p``. A paragraph among paragraphs is seldom unlike
+    them."""
+    groups: dict[tuple, list[int]] = {}
+    for k in range(1, len(odds)):
+        kind = dom.parent[k], dom.tag[k], dom.facts[k][:2], dom.hints[k] or (), dom.tag[k] != "p" and 2 * dom.links[k] > dom.own[k], dom.own[k] > 0
+        groups.setdefault(kind, []).append(k)
+    out = odds.astype(float).copy()
+    for at in groups.values():
+        out[at] = (out[at] + out[at].mean()) / 2
+    return out
+
+
 def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
     """Nodes kept by the best choice in which every kept node's parent is kept."""
     gain = odds.astype(float).copy()
@@ -270,116 +338,7 @@ def kept_text(dom: Dom, keep: np.ndarray) -> str:
     return "\n".join(x for x in lines if x)
 
 
-# ---- training pages -------------------------------------------------------------------------
-
-_FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so".split()
-
-
-def _drop(kind: str, rng: random.Random, short, line, link) -> str:
-    """A piece of a page around the article, as ``kind`` says."""
-    no = 'data-lumaspec="0"'
-    pick = lambda *names: rng.choice(names)
-    links = lambda n: "".join(f'<li {no}><a href="/{k}">{link()}</a></li>' for k in range(n))
-    if kind == "nav":
-        inner = pick(f"<ul {no}>{links(rng.randint(3, 9))}</ul>", "".join(f'<a href="/{k}">{link()}</a> ' for k in range(rng.randint(3, 9))))
-        return pick(f"<nav {no}>{inner}</nav>", f'<div {no} class="{pick("menu", "navbar", "site-nav", "breadcrumbs", "main-menu")}">{inner}</div>', f'<ul {no} id="{pick("nav", "menu", "topnav")}">{links(6)}</ul>')
-    if kind == "header":
-        inner = pick(f"<h1 {no}>{short()}</h1>", f"<p {no}>{short()}</p>", f'<a href="/">{short()}</a>') + pick("", f"<p {no}>{short()}</p>")
-        return pick(f"<header {no}>{inner}</header>", f'<div {no} class="{pick("header", "masthead", "top-bar", "page-header", "site-head")}">{inner}</div>')
-    if kind == "footer":
-        inner = pick(f"&copy; {short()} &middot; {line()}", f"<p {no}>{line()}</p>", f"<p {no}>{short()}</p><ul {no}>{links(4)}</ul>")
-        return pick(f"<footer {no}>{inner}</footer>", f'<div {no} class="{pick("footer", "site-footer", "copyright", "legal")}">{inner}</div>')
-    if kind == "side":
-        inner = f"<h3 {no}>{short()}</h3>" + pick(f"<ul {no}>{links(5)}</ul>", f"<p {no}>{line()}</p><p {no}>{line()}</p>", f'<p {no}>{line()}</p><a href="/x">{short()}</a>')
-        return pick(f"<aside {no}>{inner}</aside>", f'<aside {no} class="sidebar">{inner}</aside>', f'<div {no} class="{pick("sidebar", "related", "widget", "right-rail", "recommended")}">{inner}</div>', f'<section {no} id="sidebar">{inner}</section>')
-    if kind == "ad":
-        inner = pick(line(), f"<p {no}>{line()}</p>", f'<a href="/buy">{short()}</a> {line()}')
-        return f'<{(t := pick("div", "div", "aside", "section", "p"))} {no} {pick("class", "class", "id")}="{pick("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "banner", "ad banner", "advertisement")}">{line() if t == "p" else inner}</{t}>'
-    if kind == "notice":
-        inner = pick(line(), f"<p {no}>{line()}</p>") + pick("", f"<button>{short()}</button>")
-        return f'<div {no} {pick("class", "id", "role")}="{pick("cookie-notice", "notice", "consent", "alert", "cookie-banner", "gdpr", "popup", "newsletter-modal")}">{inner}</div>'
-    if kind == "form":
-        inner = f"<label>{short()}</label><input name='q'>" + pick("", f"<p {no}>{line()}</p>") + f"<button>{short()}</button>"
-        return pick(f"<form {no}>{inner}</form>", f'<form {no} class="{pick("search", "newsletter", "subscribe", "login")}" action="/f">{inner}</form>', f'<div {no} class="newsletter">{inner}</div>')
-    if kind == "share":
-        return f'<div {no} class="{pick("share", "social", "share-bar", "follow-us")}"><ul {no}>{links(4)}</ul></div>'
-    if kind == "hidden":
-        return f'<div {no} {pick("hidden", "style=\"display:none\"", "aria-hidden=\"true\"")}><p {no}>{line()}</p></div>'
-    many = rng.randint(1, 6)
-    body = lambda: pick(f"<p {no}>{line()}</p>", f"<p {no}>{line()}</p><p {no}>{line()}</p>", line())
-    one = pick(lambda: f'<div {no} class="comment">{body()}</div>', lambda: f"<li {no}>{body()}</li>", lambda: f'<article {no} class="comment">{body()}</article>', lambda: f"<div {no}><b>{short()}</b>{body()}</div>")
-    head = pick("", f"<h2 {no}>{short()}</h2>", f"<h3 {no}>{short()}</h3>")
-    return pick(f'<section {no} id="comments">', f'<div {no} class="{pick("comments", "comment-list", "discussion", "replies")}">') + head + "".join(one() for _ in range(many)) + pick("</section>", "</div>")
-
-
-def training_page(rng: random.Random, texts: list[str]) -> str:
-    """A page laid out by rule around given texts; every element says whether it is main text."""
-    yes = 'data-lumaspec="1"'
-
-    def words(lo: int, hi: int) -> str:
-        found = rng.choice(texts).split() if texts and rng.random() < 0.9 else []
-        if not found:
-            found = rng.choices(_FILLER, k=hi)
-        at = rng.randrange(max(1, len(found) - lo))
-        return html_lib.escape(" ".join(found[at : at + rng.randint(lo, hi)]), quote=False)
-
-    short, line, link = lambda: words(1, 6), lambda: words(5, 30), lambda: words(1, 2)
-    drop = lambda *kinds: _drop(rng.choice(kinds), rng, short, line, link)
-
-    def para() -> str:
-        kind = rng.random()
-        text = words(1, 5) if rng.random() < 0.15 else words(6, 160)
-        if kind < 0.7:
-            return f"<p {yes}>{text}" + rng.choice(["</p>", "</p>", "</p>", ""])
-        if kind < 0.76:
-            return f'<p {yes}>{text} <a href="/r">{link()}</a> {words(3, 30)}</p>'
-        if kind < 0.81:
-            return f"<h2 {yes}>{short()}</h2>"
-        if kind < 0.86:
-            return f"<ul {yes}>" + "".join(f"<li {yes}>{words(2, 20)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
-        if kind < 0.9:
-            return f"<blockquote {yes}><p {yes}>{text}</p></blockquote>"
-        if kind < 0.93:
-            return f"<table {yes}><tr {yes}><td {yes}>{words(1, 4)}</td><td {yes}>{words(1, 4)}</td></tr><tr {yes}><td {yes}>{words(1, 4)}</td><td {yes}>{words(1, 4)}</td></tr></table>"
-        if kind < 0.95:
-            return f"<figure {yes}><img src='x'><figcaption {yes}>{words(2, 12)}</figcaption></figure>"
-        if kind < 0.97:
-            return f"<pre {yes}>{text}</pre>"
-        return f"<div {yes}>{text}</div>"
-
-    body = f"<h1 {yes}>{words(2, 12)}</h1>" if rng.random() < 0.85 else ""
-    if rng.random() < 0.1:
-        body = f"<header {yes}>{body or f'<h1 {yes}>{short()}</h1>'}</header>"
-    for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14])):
-        body += para()
-        if rng.random() < 0.07:
-            body += drop("ad", "side", "form", "share", "notice", "hidden")
-    if rng.random() < 0.1:
-        body += drop("comments")
-    name = rng.choice(["content", "post", "entry-content", "article-body", "story", "main", "page-content", "post-body"])
-    kind = rng.random()
-    if kind < 0.45:
-        main = f"<article {yes}>{body}</article>"
-    elif kind < 0.55:
-        main = f"<main {yes}>{body}</main>"
-    elif kind < 0.65:
-        main = f"<main {yes}><article {yes}>{body}</article></main>"
-    elif kind < 0.85:
-        main = f'<div {yes} {rng.choice(["class", "id"])}="{name}">{body}</div>'
-    elif kind < 0.92:
-        main = f"<section {yes}>{body}</section>"
-    elif kind < 0.97:
-        main = f"<div {yes}>{body}</div>"
-    else:
-        main = body
-    before = "".join(drop(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.45)
-    after = "".join(drop(k) for k in ("share", "side", "ad", "comments", "form", "notice", "hidden", "footer") if rng.random() < 0.35)
-    if rng.random() < 0.3:
-        before, main, after = before, f'<div {yes} class="{rng.choice(["wrapper", "container", "row", "layout", "page"])}">{drop("side", "nav", "ad")}{main}{after}</div>', drop("footer")
-    return f"<html><head><title>{short()}</title></head><body>{before}{main}{after}</body></html>"
-
-
-def fit_nodes(pages: DataFrame, sample_pages: int = 200, training_pages: int = 400, max_chars: int = 200_000, rounds: int = 12, depth: int = 5, seed: int = 11) -> NodeModel:
+def fit_nodes(pages: DataFrame, sample_pages: int = 200, training_pages: int = 1400, max_chars: int = 200_000, rounds: int = 20, depth: int = 6, seed: int = 11, families: tuple[str, ...] = FAMILIES) -> NodeModel:
     """Train on ``training_pages`` pages laid out by rule around texts of at most ``sample_pages``
     given pages (those of the least hashes, of at most ``max_chars`` characters each; equal pages
     count once). The hashes are ranked alone, so no page but the chosen ones leaves its task."""
@@ -393,18 +352,20 @@ def fit_nodes(pages: DataFrame, sample_pages: int = 200, training_pages: int = 4
     texts = []
     for row in some:
         dom = Dom(row["html"])
-        texts += [t for _, _, t in dom.runs if len(t) > 30]
-    texts = sorted(set(texts))
-    rng = random.Random(seed)
-    x, y = [], []
-    for _ in range(training_pages):
-        dom = Dom(training_page(rng, texts))
-        labels = np.asarray([{"1": 1, "0": 0}.get(f[2], -1) for f in dom.facts])
-        x.append(node_features(dom)[labels >= 0])
-        y.append(labels[labels >= 0])
-    flat_x = np.concatenate(x).astype(float)
-    table = pa.table({"f": pa.FixedSizeListArray.from_arrays(pa.array(flat_x.ravel()), N_FEATURES).cast(pa.list_(pa.float64())), "label": np.concatenate(y).astype(float)})
-    data = spark.createDataFrame(table).select(array_to_vector("f").alias("features"), "label").coalesce(2)
+        texts += [t for _, _, t in dom.runs if not t.isspace()]
+    texts = sorted(set(texts), key=lambda t: (-len(t), t))[: max(1, len(set(texts)) // 2)]  # sentences rather than labels
+
+    def lay_out(batches):
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                dom = Dom(training_page(random.Random(seed * 1_000_003 + number), texts, families))
+                labels = np.asarray([{"1": 1.0, "0": 0.0}.get(f[2], -1.0) for f in dom.facts])
+                x = node_features(dom)[labels >= 0]
+                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES, x.ravel())
+                yield pa.RecordBatch.from_arrays([lists, pa.array(labels[labels >= 0])], names=["f", "label"])
+
+    made = cut(spark.range(0, training_pages, 1, 4).mapInArrow(lay_out, "f array<float>, label double"), "html-training")
+    data = made.select(array_to_vector("f").alias("features"), "label").coalesce(2)
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(data)
 
     def flat(root):
@@ -427,6 +388,9 @@ def fit_nodes(pages: DataFrame, sample_pages: int = 200, training_pages: int = 4
     return NodeModel(tuple(flat(t._java_obj.rootNode()) for t in model.trees), tuple(model.treeWeights))
 
 
+LENIENT = 1.5  # added to log-odds where a page would else have no text
+
+
 def texts_of(sources: list[str], model: NodeModel) -> list[str]:
     doms = [Dom(s) for s in sources]
     if not doms:
@@ -435,7 +399,11 @@ def texts_of(sources: list[str], model: NodeModel) -> list[str]:
     odds = model.log_odds(np.concatenate(features))
     out, at = [], 0
     for dom, f in zip(doms, features, strict=True):
-        out.append(kept_text(dom, decode(dom.parent, odds[at : at + len(f)])))
+        own = with_siblings(dom, odds[at : at + len(f)])
+        text = kept_text(dom, decode(dom.parent, own))
+        if not text and sum(dom.own) > 2 * sum(dom.links):  # an article is likelier than none: what lies not far below even odds
+            text = kept_text(dom, decode(dom.parent, own + LENIENT))
+        out.append(text)
         at += len(f)
     return out
 
