@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import apply_atmosphere, dot_columns, interpolate_at, literal, srf_weights, transmittance, wavelengths
+from ..functions.spectral import apply_atmosphere, clip, dot_columns, interpolate, interpolate_at, literal, srf_weights, transmittance, wavelengths
 
 
 def _bell(x: float, centre: float, width: float) -> float:
@@ -66,6 +66,30 @@ def without_baseline(absorbance: Column, q: float = 0.05) -> Column:
     return F.transform(absorbance, lambda a: F.greatest(a - base, F.lit(0.0)))
 
 
+def measured_endmembers(table: DataFrame, to: Column) -> DataFrame:
+    """``name, spectrum``: measured reflectances (name, wavelengths, spectrum) at other wavelengths, held in 0 to 1."""
+    at = F.transform(to, lambda x: interpolate(x, F.col("wavelengths"), F.col("spectrum")))
+    return table.select("name", F.transform(at, lambda v: clip(v, 0.0, 1.0)).alias("spectrum"))
+
+
+def measured_absorbances(table: DataFrame, to: Column) -> DataFrame:
+    """``name, absorbance``: measured absorbances at other wavelengths, less their baselines."""
+    at = F.transform(to, lambda x: interpolate(x, F.col("wavelengths"), F.col("spectrum")))
+    return table.select("name", without_baseline(at).alias("absorbance"))
+
+
+def canonical(absorbances: DataFrame, name: str, members: list[str]) -> DataFrame:
+    """``name, absorbance``: the mean over members (hosts of one reporter), wavelength by wavelength."""
+    each = absorbances.where(F.col("name").isin(members)).select(F.posexplode("absorbance").alias("k", "a"))
+    mean = each.groupBy("k").agg(F.avg("a").alias("a"))
+    return mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "a"))), lambda p: p["a"]).alias("absorbance")).select(F.lit(name).alias("name"), "absorbance")  # as many as wavelengths
+
+
+def reporter_library(absorbances: DataFrame, baseline: float = 0.45) -> DataFrame:
+    """``name, spectrum``: absorbances seen on a flat background."""
+    return absorbances.select("name", reflectance(F.col("absorbance"), baseline).alias("spectrum"))
+
+
 def transfer(spectrum: str, native: Sequence[float], centres: Sequence[float], *, fwhm: float, shift_nm: float = 0.0, strength: float = 0.0, path: float = 0.0, gain: float = 1.0) -> Column:
     """A laboratory spectrum as a sensor sees it: shift, response, atmosphere, gain, in that order."""
     if centres[0] < native[0] - 1e-9 or centres[-1] > native[-1] + 1e-9:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import spectral as S
 from ..model import nodata, pixels_from_vectors
 from ..operators import detect, experiment, learn, metrics, physics, spatial, stats, unmix
+from ..store import cut
 
 LABEL = 3
 FAMILY = (3, 4, 5)
@@ -154,7 +155,7 @@ def robust_diag_distance(spark, d):
 
 
 def _features(px: DataFrame, named: dict[str, object], smooth: dict[str, tuple[str, float]]) -> DataFrame:
-    base = out = px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()])
+    base = out = cut(px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()]), "features")
     for name, (of, sigma) in smooth.items():
         map_ = spatial.gaussian_reflect(base.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name)
         out = out.join(map_, ["scene_id", "y", "x"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import spectral as S
 from ..model import nodata
-from ..operators import calibrate, evaluate, experiment, geometry, metrics
+from ..operators import calibrate, detect, evaluate, experiment, geometry, metrics, spatial, stats
 from ..sources import files, protocol
-from .cubes import _T, _cte, _target, cube
+from .cubes import _ACES, _MF_BASE, _RXS, _SAM, _T, _blur, _cte, _target, cube
 from .tables import _AFF, _L, _R, _S, _conformal, _lines, _paired, _r, _runs, _scored, _t
 
 
@@ -178,6 +180,25 @@ def evidence_check(spark, d):
     return protocol.check_evidence(entries, found, "row")
 
 
+def detector_table(spark, d):
+    """Four detectors side by side: areas, detection at a false-alarm rate, and their order."""
+    px = cube(spark, d)
+    bg, t = stats.background(px), _target(px)
+    each = {"ace": detect.ace(bg, t), "mf": detect.matched_filter(bg, t), "rx": detect.mahalanobis(bg), "sam": detect.spectral_angle(t)}
+    rows = px.select("gt", *[F.round(c, 9).alias(n) for n, c in each.items()]).unpivot(["gt"], list(each), "method", "score")
+    rows = store.cut(rows, "scores")
+    both = metrics.match(metrics.roc_auc(rows, ["method"], "score", "gt").select("method", "auc"), metrics.pd_at_far(rows, ["method"], 0.05, "score", "gt").select("method", "pd"), ["method"])
+    return _r(both.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("auc", 9)), "method"))))
+
+
+def limit_score(spark, d):
+    """The score of detection limits: the filter, smoothed over the scene, over its robust spread."""
+    px = cube(spark, d)
+    smooth = spatial.gaussian_reflect(px.withColumn("score", detect.matched_filter(stats.background(px), _target(px))).select("scene_id", "y", "x", "score"), 1.5)
+    z = calibrate.robust_standardise(store.cut(smooth, "scores"), ["scene_id"], "score")
+    return _r(z.select((F.col("y").cast("long") * 25 + F.col("x")).alias("vec_id"), "z"))
+
+
 def json_records(spark, d):
     """The values of the events' JSON properties as rows, with what can't be read told apart."""
     rows = files.json_rows(_t(spark, d, "events").where("event_type <> 'view'"), "event_id", "props", "k long")
@@ -239,6 +260,14 @@ select roi, corner, round(y * {_TURN[0]} + x * {_TURN[1]} + 353, 6) as y, round(
     "evidence_check": """with b as (select item_id as i, text from benchmark), z as (select count(*) as n from b where i % 13 = 0 or i = 0)
 select i as "row", case when i % 13 = 0 then 'item-0' else 'item-' || i end as id, case when i % 13 = 0 and n > 1 then 'id given twice' when i % 11 = 5 then 'status' when i % 7 = 3 then 'command' when i % 9 = 4 then 'limitations'
 when i % 5 = 1 then 'path leaves its root' when i % 6 = 2 then 'artifact missing' when i % 8 = 6 then 'checksum' else 'ok' end as state from b, z""",
+    "detector_table": _cte(*_MF_BASE, _RXS, _ACES, _SAM) + """, k as (select 'mf' as method, vec_id, round(score, 9) as score from mf union all select 'ace', vec_id, round(score, 9) from ac union all select 'rx', vec_id, round(score, 9) from rx union all select 'sam', vec_id, round(score, 9) from sam),
+g as (select method, score, label = 3 as gt from k join px using (vec_id)),
+r as (select method, gt, rank() over (partition by method order by score) + (count(*) over (partition by method, score) - 1) / 2.0::double as rk from g),
+a as (select method, (sum(case when gt then rk end) - count_if(gt) * (count_if(gt) + 1) / 2.0::double) / (count_if(gt)::double * count_if(not gt)) as auc from r group by method),
+t as (select method, score as threshold from (select method, score, row_number() over (partition by method order by score desc) as r, count(*) over (partition by method) as n from g where not gt) where r = floor(0.05::double * n) + 1),
+p as (select method, avg((score > threshold)::int::double) as pd from g join t using (method) where gt group by method)
+select method, round(auc, 6) as auc, round(pd, 6) as pd, (row_number() over (order by round(auc, 9) desc, method))::int as place from a join p using (method)""",
+    "limit_score": _cte(*_MF_BASE, _blur("mf", "bl", 1.5)) + ", m as (select median(score) as m from bl), s as (select m, median(abs(score - m)) as s from bl, m group by m) select vec_id, round((score - m) / greatest(1.4826::double * s, 1e-12), 6) as z from bl, s",
     "json_records": "select event_id, true as readable, (props::json->>'k')::bigint as k from events where event_type <> 'view'",
 }
 QUERIES = {
@@ -246,6 +275,6 @@ QUERIES = {
     for f in (
         case_splits, split_calibrated_intervals, calibration_by_source, hierarchical_bootstrap_ci, limit_summary, abundance_verdicts, smallest_sufficient, noise_by_label,
         reproduction_gate, distinct_cases, pixel_sample, case_seeds, other_method_pairs, pooled_reliability, physical_family, band_smoothing, target_scaling, rgb_composite,
-        roi_corners, scene_to_crop, luminance_threshold, evidence_check, json_records,
+        roi_corners, scene_to_crop, luminance_threshold, evidence_check, json_records, detector_table, limit_score,
     )
 }

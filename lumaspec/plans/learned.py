@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions import spectral as S
 from ..operators import detect, learn, spatial, stats, unmix
+from ..store import cut
 from .cubes import _target, cube
 
 _NAMES = ["mf", "ace", "mf_s", "mf_w", "ace_s"]
@@ -13,10 +16,10 @@ _NAMES = ["mf", "ace", "mf_s", "mf_w", "ace_s"]
 
 def _five(px):
     bg, t = stats.background(px), _target(px)
-    base = out = px.select("scene_id", "pixel_id", "y", "x", "gt", detect.matched_filter(bg, t).alias("mf"), detect.ace(bg, t).alias("ace"))
+    base = out = cut(px.select("scene_id", "pixel_id", "y", "x", "gt", detect.matched_filter(bg, t).alias("mf"), detect.ace(bg, t).alias("ace")), "features")
     for name, of, sigma in (("mf_s", "mf", 1.0), ("mf_w", "mf", 2.5), ("ace_s", "ace", 1.5)):
         out = out.join(spatial.gaussian_periodic(base.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name), ["scene_id", "y", "x"])
-    return learn.standardised(out, _NAMES, ["scene_id"])
+    return cut(learn.standardised(out, _NAMES, ["scene_id"]), "features")
 
 
 def pixel_features(spark, d):
@@ -43,5 +46,31 @@ def cluster_unmix(spark, d):
     return out.select(F.col("pixel_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def mlp_logits(spark, d):
+    px = _five(cube(spark, d))
+    out = learn.logits(learn.fit_detector(px, _NAMES, "gt"), px, _NAMES)
+    return out.select(F.col("pixel_id").alias("vec_id"), F.round("logit", 6).alias("logit"))
+
+
+def abundance_regression(spark, d):
+    """Abundances of an implanted target from the features of the mixed pixels."""
+    px = cube(spark, d).withColumn("a", (F.col("pixel_id") * 37 % 101) / F.lit(200.0))
+    mixed = px.withColumn("spectrum", S.implant(F.col("spectrum"), S.literal(_target(px)), F.col("a")))
+    rows = _five(mixed).join(px.select("pixel_id", "a"), "pixel_id")
+    out = learn.fit_abundance(rows, _NAMES, "a").transform(rows.withColumn("features", array_to_vector(F.array(*_NAMES))))
+    return out.select(F.col("pixel_id").alias("vec_id"), F.round(S.clip(F.col("prediction"), 0.0, 1.0), 6).alias("abundance"))
+
+
+def smoothed_gated_score(spark, d):
+    """The filter's quantile, damped by that of the reconstruction error, smoothed over the scene."""
+    px = cube(spark, d)
+    bg = stats.background(px)
+    both = cut(px.select("scene_id", "pixel_id", "y", "x", detect.matched_filter(bg, _target(px)).alias("score"), detect.pca_error(bg, 10).alias("odd")), "features")
+    q = learn.empirical_quantile(learn.empirical_quantile(both, ["scene_id"], "score", "q"), ["scene_id"], "odd", "p")
+    gated = q.select("scene_id", "y", "x", (F.col("q") * (0.5 + 0.5 * F.col("p"))).alias("score"))
+    out = spatial.gaussian_reflect(gated, 1.5)
+    return out.select((F.col("y").cast("long") * 25 + F.col("x")).alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (pixel_features, mlp_detector, mc_dropout_uncertainty, cluster_unmix)}
+QUERIES = {f.__name__: f for f in (pixel_features, mlp_detector, mc_dropout_uncertainty, cluster_unmix, mlp_logits, abundance_regression, smoothed_gated_score)}

@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,21 @@ def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Rows as JSON; NaN is written as null."""
     df.select(*[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").json(path)
+
+
+def svg_bars(df: DataFrame, name: str, value: str, low: str, high: str, width: int = 400, row: int = 22) -> DataFrame:
+    """One row ``svg``: bars with their intervals, by falling value, scaled to the largest upper bound.
+    For summaries of a few rows."""
+    top = df.agg(F.max(high).alias("top_"), F.count("*").alias("n_"))
+    place = F.row_number().over(Window.orderBy(F.desc(value), name)) - 1
+    rows = df.select(F.col(name).cast("string").alias("name_"), value, low, high, place.alias("at_")).crossJoin(F.broadcast(top))
+    x = lambda c: F.format_string("%.1f", F.lit(float(width)) * F.col(c) / F.greatest("top_", F.lit(1e-12)))
+    safe = F.replace(F.replace(F.replace("name_", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    y = F.col("at_") * row
+    bar = F.concat(
+        F.format_string('<g transform="translate(0 %d)"><text x="0" y="%d">', y, F.lit(row - 8)), safe, F.lit("</text>"), F.lit(f'<rect x="150" y="3" height="{row - 8}" width="'), x(value), F.lit('"/>'),
+        F.lit(f'<path transform="translate(150 {row // 2})" d="M'), x(low), F.lit(" 0H"), x(high), F.lit('"/></g>'),
+    )
+    all_ = rows.select("at_", "n_", bar.alias("bar_")).agg(F.max("n_").alias("n_"), F.sort_array(F.collect_list(F.struct("at_", "bar_"))).alias("b"))
+    head = F.format_string(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 160}" height="%d">', F.coalesce("n_", F.lit(0)) * row)
+    return all_.select(F.concat(head, F.array_join(F.transform("b", lambda p: p["bar_"]), ""), F.lit("</svg>")).alias("svg"))

@@ -23,6 +23,19 @@ class FrozenFilter:
         return scored.withColumn("detected", F.col("score") > F.lit(self.threshold))
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One JSON row under ``path``, in any store Spark knows."""
+        spark.createDataFrame([(list(self.weights), self.offset, self.threshold)], _MODEL).coalesce(1).write.json(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FrozenFilter:
+        row = spark.read.schema(_MODEL).json(path).first()
+        return FrozenFilter(tuple(row["weights"]), row["offset"], row["threshold"])
+
+
+_MODEL = "weights array<double>, offset double, threshold double"
+
+
 def read_pixels(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
 

@@ -425,6 +425,23 @@ def test_rates_by_window(spark):
     assert [(r["k"], r["n"], r["rate"]) for r in got] == [("a", 2, 0.5), ("a", 1, 1.0)]
 
 
+def test_measured_libraries_models_and_bars(spark, tmp_path):
+    table = spark.createDataFrame([("host a", [400.0, 410.0], [0.2, 1.4]), ("host b", [400.0, 410.0], [0.4, 0.0])], "name string, wavelengths array<double>, spectrum array<double>")
+    to = S.literal([390.0, 405.0, 410.0])
+    assert {r["name"]: [round(v, 9) for v in r["spectrum"]] for r in physics.measured_endmembers(table, to).collect()} == {"host a": [0.2, 0.8, 1.0], "host b": [0.4, 0.2, 0.0]}
+    absorbed = physics.measured_absorbances(table, to)
+    low = np.quantile([0.2, 0.8, 1.4], 0.05), np.quantile([0.4, 0.2, 0.0], 0.05)
+    want = np.mean([np.maximum(np.array([0.2, 0.8, 1.4]) - low[0], 0), np.maximum(np.array([0.4, 0.2, 0.0]) - low[1], 0)], 0)
+    mean = physics.canonical(absorbed, "reporter", ["host a", "host b"])
+    assert np.allclose(mean.first()["absorbance"], want)
+    assert np.allclose(physics.reporter_library(mean).first()["spectrum"], 0.45 * 10**-want)
+    model = FrozenFilter((0.5, -1.0), 0.25, 0.7)
+    model.save(spark, str(tmp_path / "model"))
+    assert FrozenFilter.load(spark, str(tmp_path / "model")) == model
+    svg = files.svg_bars(spark.createDataFrame([("a<b", 0.5, 0.4, 0.6), ("c", 0.9, 0.8, 1.0)], "m string, v double, l double, h double"), "m", "v", "l", "h").first()["svg"]
+    assert svg.startswith("<svg") and svg.endswith("</svg>") and svg.index(">c<") < svg.index("a&lt;b") and 'width="360.0"' in svg and "M320.0 0H400.0" in svg
+
+
 def test_rows_that_must_hold(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 2.0])], "k int, w array<double>")
     assert require(df, F.col("k") > 0, "positive").count() == 2 and [r["k"] for r in increasing(df, "k", "w").collect()] == [2]
