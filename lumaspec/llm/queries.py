@@ -149,5 +149,32 @@ from p left join f on p.payload_digest = f.payload_digest
 """
 
 
+_WRAP = "18446744073709551616::hugeint"
+
+
+def _times(a: str, k: int) -> str:
+    """A product modulo 2**64, by halves that fit DuckDB's widest integer."""
+    return f"(({a}) * {k % 2**32}::hugeint + ((({a}) * {k >> 32}::hugeint) % 4294967296::hugeint) * 4294967296::hugeint) % {_WRAP}"
+
+
+def _folded(a: str, n: int) -> str:
+    return f"xor(({a})::ubigint, (({a})::ubigint >> {n}))::hugeint"
+
+
+OP10 = f"""
+with recursive a as (select doc_id, coalesce(text, '') as text, ((coalesce(doc_id, 0)::hugeint + {0x9E3779B97F4A7C15}::hugeint) % {_WRAP} + {_WRAP}) % {_WRAP} as z from documents),
+b as (select doc_id, text, {_times(_folded("z", 30), 0xBF58476D1CE4E5B9)} as z from a), c as (select doc_id, text, {_times(_folded("z", 27), 0x94D049BB133111EB)} as z from b),
+k as (select doc_id, text, {_folded("z", 31)} as z from c),
+j as (
+  select n, doc_id, z, -1::bigint as here, 0::bigint as ahead from k, (select unnest([16, 17]) as n) union all
+  select n, doc_id, next, ahead, floor((ahead + 1) * (2147483648::double / ((next::ubigint >> 33)::double + 1)))::bigint from (select n, doc_id, ahead, ({_times("z", 2862933555777941757)} + 1) % {_WRAP} as next from j where ahead < n)
+), s as (select n, doc_id, max(here) as shard from j where ahead >= n group by n, doc_id
+), t as (select list(c order by x) as t from (select x, list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, {0xEDB88320}) else c >> 1 end, x) as c from (select unnest(range(256)) as x))
+), r as (select doc_id, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), {2**32 - 1}::bigint), {2**32 - 1})::bigint as text_crc32 from k, t)
+select k.doc_id, strlen(text)::bigint + 1 as size, text_crc32, 'key' as law, p.shard::int as shard, (row_number() over (partition by p.shard order by k.doc_id) - 1)::bigint as slot, q.shard::int as grown_shard
+from k join r on r.doc_id = k.doc_id join s p on p.doc_id = k.doc_id and p.n = 16 join s q on q.doc_id = k.doc_id and q.n = 17
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5, "op6_embedding_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_warc": OP9}
+    return {"op5_mixing": OP5, "op6_embedding_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_warc": OP9, "op10_sharding": OP10}
