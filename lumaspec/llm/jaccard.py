@@ -142,15 +142,14 @@ def rarity(docs: DataFrame, spec: Jaccard) -> np.ndarray:
         cells = np.zeros(1 << bits, np.int32)
         for batch in batches:
             waiting, held = [], 0
-            for data in _texts(batch, 0):
-                found = shingles(data, k) >> shift
-                waiting.append(found)
-                held += len(found)
-                if held > 1 << 18:
-                    cells += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << bits).astype(np.int32)
+            for data in [*_texts(batch, 0), None]:
+                if data is not None:
+                    waiting.append((shingles(data, k) >> shift).astype(np.int32))
+                    held += len(waiting[-1])
+                if held > 1 << 18 or (data is None and held):
+                    cell, n = np.unique(np.concatenate(waiting), return_counts=True)
+                    cells[cell] += n.astype(np.int32)
                     waiting, held = [], 0
-            if held:
-                np.add.at(cells, np.concatenate(waiting).astype(np.int64), 1)
         task = TaskContext.get().partitionId()
         for c in range(1 << (bits - _CHUNK_BITS)):
             part = cells[c << _CHUNK_BITS : (c + 1) << _CHUNK_BITS]
@@ -207,33 +206,36 @@ def document_sets(docs: DataFrame, spec: Jaccard) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
-_BITMAP = 1 << 24
-
-
-def _place(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(_BITMAP))
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids, found by a bitmap of hashed ids, so that few other texts move. It has eight
+    places for every id, from 2**20 to 2**28 (32 MB, which is the bound of what is broadcast)."""
+    places = 1 << int(np.clip(np.ceil(np.log2(8 * ids.count() + 1)), 20, 28))
 
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(places))
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids, found by a bitmap of hashed ids (2 MB at most), so that no other text moves."""
-    places = ids.select(_place("id").alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), F.pmod("p", F.lit(32768)).alias("bit"))
-    bits = bytearray(_BITMAP // 8)
-    for row in places.groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
+    marks = ids.select(place("id").alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), F.pmod("p", F.lit(32768)).alias("bit"))
+    bits = bytearray(places // 8)
+    for row in marks.groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
         bits[row["part"] * 4096 : (row["part"] + 1) * 4096] = row["bits"]
     known = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def run(batches):
-        table = np.unpackbits(np.frombuffer(known.value, np.uint8), bitorder="little").astype(bool)
+        table = np.frombuffer(known.value, np.uint8)
         for batch in batches:
-            yield pa.Table.from_batches([batch]).filter(pa.array(table[batch.column(2).to_numpy()])).select([0, 1]).combine_chunks().to_batches()[0] if table[batch.column(2).to_numpy()].any() else batch.slice(0, 0).select([0, 1])
+            p = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
 
-    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("p", _place("id"))
+    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("p", place("id"))
     return slim.mapInArrow(run, "id long, text string")
 
 
+_MEET = 4096
+
+
 def verified(pairs: DataFrame, docs: DataFrame, spec: Jaccard) -> DataFrame:
     """The pairs (a, b) whose texts are similar indeed."""
-    texts = cut(_rows_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))), "jaccard-texts")
+    texts = cut(_rows_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()), "jaccard-texts")
     k, percent = spec.words, spec.percent
 
     def run(batches):
@@ -250,8 +252,13 @@ def verified(pairs: DataFrame, docs: DataFrame, spec: Jaccard) -> DataFrame:
                     hits.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(b[hits])], names=["a", "b"])
 
+    # a document that stands in many pairs is met in parts of them
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / _MEET).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(crowd, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    two = two.join(crowd, "b", "left").select("b", "tb", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    joined = dealt.join(one, "a").join(two, ["b", "part"]).select("a", "b", "ta", "tb")
     return cut(joined.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
