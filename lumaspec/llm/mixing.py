@@ -87,14 +87,16 @@ def mix(docs: DataFrame, key: str = "doc_id", weights=(5, 2, 1), share: float =
             (F.col("low") + F.coalesce("bucket", F.lit(1 << LEVEL_BITS)) * width).alias("low"),
         )
         state = cut(state, "mix-state")
-    picked = F.col("whole") + F.when(F.col("hash") < F.col("low"), 1).otherwise(0)
+    # documents of size 0 lie under any threshold; they keep the limit, too
+    picked = F.least(F.col("whole") + F.when(F.col("hash") < F.col("low"), 1).otherwise(0), F.lit(int(limit)).cast("long"))
     return rows.join(state.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_"))).select(
         "doc_id", "source", "size", "source_size", "target", picked.alias("copies"), (picked * F.col("size")).alias("taken")
     )
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``. Nulls,
+    repeated rows and empty tables are as in :func:`mix`; columns may have any names."""
     plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("mix_copies_")).withColumnRenamed("doc_id", "mix_id_")
     joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id_")))
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -77,7 +77,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> Dat
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
-    """Write the rows of ``docs`` as Parquet in one folder per shard."""
+    """Write the rows of ``docs`` as Parquet in one folder per shard, with all their columns but one
+    called ``shard``, which the folders replace. A null key goes with key 0; an empty table writes none."""
 
     def shard_of(keys):
         import pandas as pd

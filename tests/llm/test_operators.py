@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lumaspec.llm import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, queries, sharding, token_rollup, tokenizing, warc
+from lumaspec.llm import cross_polytope, hnsw, html_layouts, html_text, jaccard, langid, mixing, packing, queries, sharding, token_rollup, tokenizing, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "Hello, World!! it's déjà vu."), (3, "Hello, World!! it's déjà vu."), (None, "x\ty z"), (5, "ΣΟΦΟΣ <|endoftext|> A'b <|EndOfText|>\r\nend"), (6, "word " * 9000)]
@@ -204,6 +204,36 @@ def test_mixing_of_odd_rows(docs):
     assert len(out) == 7 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert all(r["target"] <= 2 * r["source_size"] for r in out)
     assert "size" in mixing.take_mix(docs).columns
+    assert all(r["copies"] <= 2 for r in out) and mixing.mix(docs.where("false")).count() == 0 == mixing.take_mix(docs.where("false")).count()
+    blank = docs.selectExpr("doc_id", "text", "if(doc_id = 6, 'a', source) as source", "if(text is null or text = '', 1, 0) as blank")
+    many = blank.unionByName(blank.where("blank = 1").withColumn("doc_id", mixing.F.lit(77)).withColumn("text", mixing.F.lit(" ")))
+    assert max(r["count"] for r in mixing.take_mix(many).where("doc_id = 77").groupBy("doc_id").count().collect() or [{"count": 0}]) <= 2 * 2  # two rows of that id
+
+
+def test_sharding_against_a_scalar_version(spark, docs, tmp_path):
+    def scalar(key, shards):
+        z = (key + 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        z ^= z >> 31
+        b, j = -1, 0
+        while j < shards:
+            b = j
+            z = (z * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((z >> 33) + 1)))
+        return b
+
+    df = docs.unionByName(spark.createDataFrame([(k * 7919 - 10**12, "é" * (k % 5), "x", None, 0) for k in range(300)] + [(2**62, "long " * 200_000, "x", None, 0)], docs.schema))
+    rows = sharding.assign_shards(df).collect()
+    assert len(rows) == 308
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (scalar(r["doc_id"] or 0, 16), scalar(r["doc_id"] or 0, 17)) and r["law"] == "key"
+    sizes = {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows}
+    assert sizes == {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect()}
+    assert sharding.assign_shards(df.where("false")).count() == 0
+    sharding.write_shards(df, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 308 and all(r["shard"] == scalar(r["doc_id"] or 0, 16) for r in back.select("doc_id", "shard").collect())
 
 
 def test_records_survive_line_feeds_at_buffer_ends(spark):
@@ -450,7 +480,7 @@ def test_predictions_are_the_smallest_sizes(spark):
         plain = langid.letters(t)
         data, sizes = (" " + plain + " ").encode(), []
         for content in model.contents:
-            how = zstandard.ZstdCompressionParameters.from_level(12, dict_size=len(content), source_size=4096, write_content_size=0, write_dict_id=0, write_checksum=0)
+            how = zstandard.ZstdCompressionParameters.from_level(12, dict_size=len(content), source_size=4096, search_log=3, write_content_size=0, write_dict_id=0, write_checksum=0)
             zip_ = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             n = -(-len(data) // 4096)
             sizes.append(sum(len(zip_.compress(data[len(data) * k // n : len(data) * (k + 1) // n])) for k in range(n)))
@@ -496,6 +526,70 @@ def test_main_text_of_pages(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def node_model(spark):
+    """Trained without tables that place columns and without bare elements."""
+    page = spark.createDataFrame([(k, "u", f"<p>{' '.join(random.Random(k).choices(html_layouts._FILLER, k=90))}.</p>") for k in range(30)], "page_id long, url string, html string")
+    seen = tuple(f for f in html_layouts.FAMILIES if f not in ("table", "bare"))
+    return html_text.fit_nodes(page, training_pages=500, families=seen)
+
+
+def _labelled_text(source):
+    dom = html_text.Dom(source)
+    keep = np.ones(len(dom.parent), bool)
+    for k in range(1, len(keep)):
+        keep[k] = keep[dom.parent[k]] and dom.facts[k][2] != "0"
+    return html_text.kept_text(dom, keep)
+
+
+def test_layouts_that_were_not_trained_on(node_model):
+    from collections import Counter
+
+    for family, least in (("table", 0.9), ("bare", 0.85)):
+        rng, same, got, want = random.Random(23), 0, 0, 0
+        for _ in range(80):
+            page = html_layouts.training_page(rng, [], (family,))
+            a, b = (Counter(t.split()) for t in (_labelled_text(page), html_text.texts_of([re.sub(r' data-lumaspec="\d"', "", page)], node_model)[0]))
+            same, got, want = same + (a & b).total(), got + b.total(), want + a.total()
+        assert same / got > least and same / want > least, (family, same / got, same / want)
+
+
+def test_the_query_is_trees_and_decoding_page_by_page(spark, node_model):
+    """Against a plain version: every tree walked node by node, the best choice by recursion."""
+    rng = random.Random(24)
+    pages = [re.sub(r' data-lumaspec="\d"', "", html_layouts.training_page(rng, [])) for _ in range(12)] + ["<p>" + "many words, " * 60_000 + "</p>", "x < y & z", "<div" * 200]
+
+    def plain(source):
+        dom = html_text.Dom(source)
+        x, n = html_text.node_features(dom), len(dom.parent)
+        odds = []
+        for row in x:
+            total = 0.0
+            for (feature, threshold, left, right, value), weight in zip(node_model.trees, node_model.weights, strict=True):
+                at = 0
+                while feature[at] >= 0:
+                    at = left[at] if row[feature[at]] <= threshold[at] else right[at]
+                total += weight * value[at]
+            odds.append(2 * total)
+        odds = html_text.with_siblings(dom, np.array(odds))
+
+        def text(odds):
+            def best(k):
+                return odds[k] + sum(max(0.0, best(c)) for c in range(k + 1, n) if dom.parent[c] == k)
+
+            keep = [True] + [False] * (n - 1)
+            for k in range(1, n):
+                keep[k] = keep[dom.parent[k]] and best(k) > 0
+            return html_text.kept_text(dom, np.array(keep))
+
+        found = text(odds)
+        return found or (text(odds + html_text.LENIENT) if sum(dom.own) > 2 * sum(dom.links) else "")
+
+    df = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df, node_model).collect()}
+    assert got == {k: (t, len(t)) for k, t in enumerate(map(plain, pages))}
+
+
 def test_pipeline_stages_against_brute_force(spark):
     rng, words = random.Random(12), {"en": "the and of water stone house river green they with".split(), "de": "der und die wasser stein haus fluss grün nicht auch".split()}
     texts = [(lang, " ".join(rng.choices(words[lang], k=rng.randint(30, 60)))) for lang in words for _ in range(40)]
