@@ -16,18 +16,22 @@ from lumaspec.llm._store import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told clearly; a null or letterless text goes."""
     return langid.drop_rejected(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least doc_id of each component of documents with a similarity of 80 % over five-word shingles."""
     return jaccard.one_of_each(docs, jaccard.Jaccard(words=5, percent=80))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents until each source has its share of the words."""
     return mixing.take_mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives the token pieces of what is left, each with its sequence and place in it."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
