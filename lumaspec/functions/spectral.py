@@ -63,8 +63,9 @@ def resample_within(spectrum: Column, grid: Column, to: Column, tolerance: float
     return resample(spectrum, grid, held)
 
 
-def interpolate_at(values: Column, grid: Sequence[float], places: Sequence[float]) -> Column:
-    """:func:`interpolate` at fixed places of a fixed grid: their neighbours are found beforehand."""
+def neighbours(grid: Sequence[float], places: Sequence[float]) -> tuple[list[int], list[int], list[float], list[float]]:
+    """For each place the numbers (from 1) of the grid points around it, how far it lies past the
+    first, and how far they are apart; beyond the ends both are the end."""
     low, high, past, width = [], [], [], []
     for x in places:
         below = bisect.bisect_right(grid, x)
@@ -73,13 +74,23 @@ def interpolate_at(values: Column, grid: Sequence[float], places: Sequence[float
         high.append(below + 1 if inside else max(below, 1))
         past.append(x - grid[below - 1] if inside else 0.0)
         width.append(grid[below] - grid[below - 1] if inside else 1.0)
-    low, high, past, width = literal(low).cast("array<int>"), literal(high).cast("array<int>"), literal(past), literal(width)
+    return low, high, past, width
+
+
+def between(values: Column, count: int, low: Column, high: Column, past: Column, width: Column) -> Column:
+    """Values at ``count`` places given by :func:`neighbours`, as columns."""
 
     def one(i: Column) -> Column:
         first = F.element_at(values, F.element_at(low, i))
         return first + (F.element_at(values, F.element_at(high, i)) - first) * F.element_at(past, i) / F.element_at(width, i)
 
-    return F.transform(F.sequence(F.lit(1), F.lit(len(places))), one)
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), one)
+
+
+def interpolate_at(values: Column, grid: Sequence[float], places: Sequence[float]) -> Column:
+    """:func:`interpolate` at fixed places of a fixed grid: their neighbours are found beforehand."""
+    low, high, past, width = neighbours(grid, places)
+    return between(values, len(places), literal(low).cast("array<int>"), literal(high).cast("array<int>"), literal(past), literal(width))
 
 
 def shift_bands(spectrum: Column, bands: int, fraction: float) -> Column:

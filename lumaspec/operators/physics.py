@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import apply_atmosphere, clip, dot_columns, interpolate, interpolate_at, literal, srf_weights, transmittance, wavelengths
+from ..functions.spectral import apply_atmosphere, between, clip, dot_columns, interpolate, interpolate_at, literal, neighbours, srf_weights, transmittance, wavelengths
+from .experiment import grid
 
 
 def _bell(x: float, centre: float, width: float) -> float:
@@ -101,15 +102,23 @@ def transfer(spectrum: str, native: Sequence[float], centres: Sequence[float], *
     return F.transform(apply_atmosphere(seen, transmittance(centres, strength), path), lambda v: v * F.lit(gain))
 
 
-def transfer_family(df: DataFrame, spectrum: str, native: Sequence[float], centres: Sequence[float], fwhms, strengths, shifts) -> DataFrame:
-    """Every row under every setting: ``fwhm, strength, shift_nm, observed``."""
-    out = None
-    for f in fwhms:
-        for a in strengths:
-            for s in shifts:
-                part = df.select("*", F.lit(float(f)).alias("fwhm"), F.lit(float(a)).alias("strength"), F.lit(float(s)).alias("shift_nm"), transfer(spectrum, native, centres, fwhm=f, shift_nm=s, strength=a).alias("observed"))
-                out = part if out is None else out.unionByName(part)
-    return out
+_SETTINGS = "fwhm double, strength double, shift_nm double, low_ array<int>, high_ array<int>, past_ array<double>, width_ array<double>, rows_ array<array<double>>, tau_ array<double>"
+
+
+def transfer_family(df: DataFrame, spectrum: str, native: Sequence[float], centres: Sequence[float], fwhms, strengths, shifts, path: float = 0.0) -> DataFrame:
+    """Every row under every setting: ``fwhm, strength, shift_nm, observed``. Settings are a table whose
+    rows hold what they do (shift, response, atmosphere), joined to every spectrum."""
+    if centres[0] < native[0] - 1e-9 or centres[-1] > native[-1] + 1e-9:
+        raise ValueError("the sensor reaches beyond the spectrum")
+    made = [
+        (float(f), float(a), float(s), *neighbours(native, [x - s for x in native]), srf_weights(native, centres, f), transmittance(centres, a))
+        for f in fwhms for a in strengths for s in shifts
+    ]
+    each = grid(df, df.sparkSession.createDataFrame(made, _SETTINGS))
+    moved = between(F.col(spectrum), len(native), F.col("low_"), F.col("high_"), F.col("past_"), F.col("width_"))
+    seen = F.transform(F.array(moved), lambda m: F.transform("rows_", lambda row: dot_columns(row, m)))[0]
+    observed = F.zip_with(seen, "tau_", lambda v, t: v * t + F.lit(path) * (F.lit(1.0) - t))
+    return each.withColumn("observed", observed).drop("low_", "high_", "past_", "width_", "rows_", "tau_")
 
 
 def abundance(bumps, top: float = 1.0) -> Column:

@@ -89,6 +89,13 @@ def reproduction_gate(spark, d):
     return found.select("case_id", evaluate.reproduced(F.col("mae"), F.col("pearson_r"), 0.033, 0.0).alias("passed"))
 
 
+def clipped_abundance_errors(spark, d):
+    """Errors of predictions held in 0 to 1, over all rows and over those that hold some of the target."""
+    rows = _lines(spark, d).withColumn("q", S.clip(F.col("predicted") * 12 - 0.1, 0.0, 1.0)).withColumn("some", F.col("truth") > 0.02)
+    held = rows.where("some").groupBy("l_returnflag").agg(metrics.errors("q", "truth")["mae"].alias("target_mae"), metrics.pearson("q", "truth").alias("target_r"), F.count("*").alias("target_n"))
+    return _r(metrics.match(held, rows.groupBy("l_returnflag").agg(metrics.errors("q", "truth")["mae"].alias("mae")), ["l_returnflag"]))
+
+
 def distinct_cases(spark, d):
     return _runs(spark, d).select("scene", "snr").distinct().orderBy("scene", "snr")
 
@@ -238,6 +245,7 @@ select l_returnflag, case_id as "case", case when p and i then 'point_and_interv
     "smallest_sufficient": f"with {_R}, m as (select scene, method, seed as k, round(avg(auc), 9) as auc from runs group by all), f as (select *, max_by(auc, k) over (partition by scene, method) as top from m) select scene, method, min(case when auc >= top - 0.005::double then k end) as smallest from f group by all",
     "noise_by_label": _cte(_T) + "select label, round(sqrt(avg((0.15::double * (tm.t[e.b + 1] - e.v)) ** 2)) / 10 ** 0.5::double, 6) as noise_std from e, tm group by label",
     "reproduction_gate": f"with {_L}, g as (select case_id, round(avg(abs(predicted - truth)), 9) as mae, round(case when stddev_pop(predicted) < 1e-9 or stddev_pop(truth) < 1e-9 then 0 else covar_pop(predicted, truth) / (stddev_pop(predicted) * stddev_pop(truth)) end, 9) as r from l group by 1) select case_id, mae <= 0.033 and r >= 0 as passed from g",
+    "clipped_abundance_errors": f"with {_L}, q as (select l_returnflag, truth, greatest(0, least(1, predicted * 12 - 0.1::double))::double as q from l) select l_returnflag, round(avg(abs(q - truth)) filter (where truth > 0.02), 6) as target_mae, round(covar_pop(q, truth) filter (where truth > 0.02) / (stddev_pop(q) filter (where truth > 0.02) * stddev_pop(truth) filter (where truth > 0.02)), 6) as target_r, count_if(truth > 0.02)::bigint as target_n, round(avg(abs(q - truth)), 6) as mae from q group by 1",
     "distinct_cases": f"with {_R} select distinct scene, snr from runs",
     "pixel_sample": "select vec_id from embeddings order by md5(vec_id || ':5'), vec_id limit 120",
     "case_seeds": f"with {_R} select scene, method, snr, seed, (100000 + case scene when 'F' then 0 when 'O' then 10000 else 20000 end + snr * 100 + seed)::bigint as case_seed from runs",
@@ -274,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_splits, split_calibrated_intervals, calibration_by_source, hierarchical_bootstrap_ci, limit_summary, abundance_verdicts, smallest_sufficient, noise_by_label,
-        reproduction_gate, distinct_cases, pixel_sample, case_seeds, other_method_pairs, pooled_reliability, physical_family, band_smoothing, target_scaling, rgb_composite,
+        reproduction_gate, clipped_abundance_errors, distinct_cases, pixel_sample, case_seeds, other_method_pairs, pooled_reliability, physical_family, band_smoothing, target_scaling, rgb_composite,
         roi_corners, scene_to_crop, luminance_threshold, evidence_check, json_records, detector_table, limit_score,
     )
 }
