@@ -35,15 +35,18 @@ class LanguageModel:
     ``search_log`` bounds the level's search for matches: 3 tells held-out texts apart as well as the
     level's own 7, in three quarters of the time.
     The lead of the smallest size over the next must be ``min_bytes`` and ``min_margin`` of the text
-    at least."""
+    at least, and that size at most ``most_rate`` of the text and ``frame_bytes``: what every
+    dictionary fails to shorten is in none of the languages."""
 
     languages: tuple[str, ...]
     contents: tuple[bytes, ...]
     level: int = 12
     search_log: int = 3
     block_bytes: int = 4096
-    min_margin: float = 0.002
-    min_bytes: int = 5
+    min_margin: float = 0.0005
+    min_bytes: int = 3
+    most_rate: float = 0.55
+    frame_bytes: int = 25
 
     def sizes(self):
         """A function from an encoded text to its sizes under each dictionary."""
@@ -110,7 +113,7 @@ def predict_language(model: LanguageModel, text: str = "text") -> Column:
 
     Null texts, texts without a letter, and all texts of a model without languages are ``und`` with
     score 0, rejected. ``rejected`` is also true if the two smallest sizes differ by less than
-    ``min_bytes`` or ``min_margin`` of the text. The whole text counts, whatever its length.
+    ``min_bytes`` or ``min_margin`` of the text, or no dictionary shortens it well. The whole text counts, whatever its length.
     """
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -128,7 +131,7 @@ def predict_language(model: LanguageModel, text: str = "text") -> Column:
                 continue
             lead = np.partition(found, 1)[1] - found[best]
             margin = lead / len(data)
-            out.append((model.languages[best], float(1 - 0.5 * np.exp(-8 * margin * min(len(data), 400) / 20)), bool(lead < model.min_bytes or margin < model.min_margin)))
+            out.append((model.languages[best], float(1 - 0.5 * np.exp(-8 * margin * min(len(data), 400) / 20)), bool(lead < model.min_bytes or margin < model.min_margin or found[best] > model.most_rate * len(data) + model.frame_bytes)))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return F.pandas_udf(run, PREDICTION, F.PandasUDFType.SCALAR)(F.col(text))
