@@ -23,22 +23,30 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
     return [(o, w / total) for o, w in raw]
 
 
-def _sized(scores: DataFrame, value: str) -> DataFrame:
-    """``scene_id, y, x``, the value, and the scene's height, width and whether a value is missing. Sizes are sent to all tasks while they are few."""
-    slim = scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value))
-    bad = F.col(value).isNull() | F.isnan(value)
+def _sized(scores: DataFrame, *values: str) -> DataFrame:
+    """``scene_id, y, x``, the values, and the scene's height, width and whether a value is missing. Sizes are sent to all tasks while they are few."""
+    slim = scores.select("scene_id", "y", "x", *[F.col(v).cast("double").alias(v) for v in values])
+    bad = F.lit(False)
+    for v in values:
+        bad = bad | F.col(v).isNull() | F.isnan(v)
     sizes = slim.groupBy(F.col("scene_id").alias("scene_")).agg((F.max("y").cast("long") + 1).alias("h_"), (F.max("x").cast("long") + 1).alias("w_"), F.max(bad).alias("bad_"))
     return slim.join(small(sizes), F.col("scene_id").eqNullSafe(F.col("scene_"))).drop("scene_")
 
 
 def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score", tile: int = 256) -> DataFrame:
-    """``scene_id, y, x`` and the smoothed value; edges reflect with the edge pixel repeated.
+    """``scene_id, y, x`` and the smoothed value; edges reflect with the edge pixel repeated."""
+    return gaussian_maps(scores, {value: (value, sigma)}, tile)
+
+
+def gaussian_maps(scores: DataFrame, maps: dict[str, tuple[str, float]], tile: int = 256) -> DataFrame:
+    """``scene_id, y, x`` and a smoothed column per entry of ``maps`` (name to value and sigma), in one pass.
 
     Scenes are dealt into square tiles, each with the pixels that its edge needs from its
     neighbours, and a tile is smoothed along y and then x; no task holds a whole scene.
     """
-    taps = gaussian_taps(sigma)
-    radius = taps[-1][0]
+    taps = {name: gaussian_taps(sigma) for name, (_, sigma) in maps.items()}
+    radius = max(t[-1][0] for t in taps.values())
+    values = sorted({of for of, _ in maps.values()})
     side = max(tile, 4 * radius)  # a scene narrower than the radius, which reflects many times, is one tile
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -47,27 +55,30 @@ def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score", tile
             n, at = int(frame[size].iloc[0]), int(t) * side
             place[axis] = n, at, min(n, at + side), max(0, at - radius), min(n, at + side + radius)
         (h, top, bottom, y0, y1), (w, left, right, x0, x1) = place["y"], place["x"]
-        image = np.full((y1 - y0, x1 - x0), np.nan)
-        image[frame["y"] - y0, frame["x"] - x0] = frame[value]
-        for axis, size, first, last, start in ((0, h, top, bottom, y0), (1, w, left, right, x0)):
-            out = 0.0
-            for o, weight in taps:
-                at = np.mod(np.arange(first, last) + o, 2 * size)
-                at = np.where(at >= size, 2 * size - 1 - at, at)
-                out = out + weight * np.take(image, at - start, axis)
-            image = out
-        own = frame[frame["y"].between(top, bottom - 1) & frame["x"].between(left, right - 1)][["scene_id", "y", "x", value]].copy()
-        own[value] = image[own["y"] - top, own["x"] - left]
-        return own
-
-    sized = _sized(scores, value)
+        own = frame[frame["y"].between(top, bottom - 1) & frame["x"].between(left, right - 1)]
+        out_rows = own[["scene_id", "y", "x"]].copy()
+        for name, (of, _) in maps.items():
+            image = np.full((y1 - y0, x1 - x0), np.nan)
+            image[frame["y"] - y0, frame["x"] - x0] = frame[of]
+            for axis, size, first, last, start in ((0, h, top, bottom, y0), (1, w, left, right, x0)):
+                out = 0.0
+                for o, weight in taps[name]:
+                    at = np.mod(np.arange(first, last) + o, 2 * size)
+                    at = np.where(at >= size, 2 * size - 1 - at, at)
+                    out = out + weight * np.take(image, at - start, axis)
+                image = out
+            out_rows[name] = image[own["y"] - top, own["x"] - left]
+        return out_rows
+
+    sized = _sized(scores, *values)
 
     def tiles(axis: str, size: str):
         at = F.col(axis).cast("long")
         return F.explode(F.sequence(F.floor(F.greatest(at - radius, F.lit(0)) / side), F.floor(F.least(at + radius, F.col(size) - 1) / side)))
 
     dealt = sized.withColumn("ty_", tiles("y", "h_")).withColumn("tx_", tiles("x", "w_"))
-    return dealt.groupBy("scene_id", "ty_", "tx_").applyInPandas(run, scores.select("scene_id", "y", "x", F.col(value).cast("double").alias(value)).schema)
+    schema = scores.select("scene_id", "y", "x", *[F.lit(0.0).alias(name) for name in maps]).schema
+    return dealt.groupBy("scene_id", "ty_", "tx_").applyInPandas(run, schema)
 
 
 def _line_pass(df: DataFrame, axis: str, sigma: float, value: str, all_pixels: bool, longest: int) -> DataFrame:

@@ -155,11 +155,8 @@ def robust_diag_distance(spark, d):
 
 
 def _features(px: DataFrame, named: dict[str, object], smooth: dict[str, tuple[str, float]]) -> DataFrame:
-    base = out = cut(px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()]), "features")
-    for name, (of, sigma) in smooth.items():
-        map_ = spatial.gaussian_reflect(base.select("scene_id", "y", "x", of), sigma, of).withColumnRenamed(of, name)
-        out = out.join(map_, ["scene_id", "y", "x"])
-    return out
+    base = cut(px.select("scene_id", "pixel_id", "y", "x", *[c.alias(n) for n, c in named.items()]), "features")
+    return cut(base.join(spatial.gaussian_maps(base, smooth), ["scene_id", "y", "x"]), "features")
 
 
 def blind_features_zscore(spark, d):
