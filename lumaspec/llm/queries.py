@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, hnsw, html_text, jaccard, langid, mixing, packing, sharding, token_rollup, warc
+from . import bloom_lm, cross_polytope, hnsw, html_text, jaccard, langid, lexical, mixing, multi_index, packing, sharding, token_rollup, warc
 from ._store import cut, new_path
 
 
@@ -80,8 +80,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    values = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    return multi_index.hard_negatives(vectors.select("vec_id", values.alias("embedding"), label.alias("label")), "vec_id % 100 = 0")
+
+
+def op12_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.language_scores(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = (op1_html_extraction, op2_best_fit_packing, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_embedding_dedup, op7_language_id, op8_ngram_jaccard, op9_warc, op10_sharding)
+    found = (op1_html_extraction, op2_best_fit_packing, op3_token_counts, op4_nearest_neighbours, op5_mixing, op6_embedding_dedup, op7_language_id, op8_ngram_jaccard, op9_warc, op10_sharding, op11_hard_negatives, op12_bloom_lm, op13_ranked_search)
     return {f.__name__: f for f in found}
 
 
@@ -176,5 +191,35 @@ from k join r on r.doc_id = k.doc_id join s p on p.doc_id = k.doc_id and p.n = 1
 """
 
 
+OP11 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+), p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+  select p.anchor_id, positive_id, s.vec_id as negative_id, positive_score, s.score as negative_score,
+    (row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id))::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as ts from documents), b as (select distinct item_id, unnest({_TERMS}) as t from benchmark),
+k as (select count_if(len(ts) > 0)::bigint as docs, sum(len(ts))::bigint as total from d),
+p as (select r, t, count(*)::bigint as tf from (select r, unnest(ts) as t from d) where t in (select t from b) group by all),
+w as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from p, k group by t, docs),
+s as (select item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ts) * docs) // total))))::bigint as score
+  from b join p using (t) join w using (t) join d using (r), k group by item_id, doc_id, r),
+o as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5, "op6_embedding_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_warc": OP9, "op10_sharding": OP10}
+    return {"op5_mixing": OP5, "op6_embedding_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_warc": OP9, "op10_sharding": OP10, "op11_hard_negatives": OP11, "op13_ranked_search": OP13}
