@@ -8,13 +8,15 @@ Probabilities are smoothed from the lowest order up, each by a fixed weight of t
 
     p(w) = (c(w) + 1) / (N + V + 1),    p(w | v) = (c(v w) + prior p(w)) / (c(v) + prior).
 
-Words and n-grams are told apart by 62-bit hashes. All bits of an n-gram lie in one block of the
-filter; blocks are made by Spark, one group each, and gathered in segments of at most
-``segment_bytes``: what is broadcast is never larger. A filter of several segments takes a pass over
-the texts for each, with the levels found so far carried along as bytes.
+Words and n-grams are told apart by 62-bit hashes, which also deal them into buckets: one for every
+``bucket_bytes`` of text, so that a bucket is a group of bounded size, which one shuffle brings
+together. A bucket adds up its n-grams' counts, sets the bits of its own part of the filter, and
+keeps the counts of its words. Tasks are sent the filter in segments of at most ``segment_bytes``. A
+filter of several segments takes a pass over the texts for each, with the levels found so far
+carried along as bytes.
 
 Beside that score, every text has an exact one by words alone (``base_score``): the frequent
-words, at most 65,536 by their definition, are sent to all tasks, and all others are joined.
+words, at most 262,144 by their definition, are sent to all tasks, and all others are joined.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from ._store import cut
 from .jaccard import _mix
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
-_HEADS = 1 << 16
+_HEADS = 1 << 18
 _CHUNK = 1 << 22
 
 
@@ -57,12 +59,12 @@ class LogFilter:
     bits: int = 10
     probes: int = 6
     prior: float = 100.0
-    block_bits: int = 1 << 16
+    bucket_bytes: int = 1 << 18
     segment_bytes: int = 1 << 28
 
     def __post_init__(self) -> None:
-        if self.order < 1 or len(self.counts()) > 256 or self.block_bits & (self.block_bits - 1):
-            raise ValueError("an order of 1 or more, a base of 1.2 or more and a power of two as block are needed")
+        if self.order < 1 or len(self.counts()) > 256:
+            raise ValueError("an order of 1 or more and a base of 1.2 or more are needed")
 
     def levels(self, n: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(n) / math.log(self.base) + 1e-9).astype(np.int64)
@@ -72,15 +74,16 @@ class LogFilter:
         edges = [math.ceil(self.base**q - 1e-9) for q in range(int(63 * math.log(2) / math.log(self.base)) + 1)]
         return np.array([0.0] + [(a + max(a, b - 1)) / 2 for a, b in zip(edges, edges[1:], strict=False)])
 
-    def block(self, h: np.ndarray, blocks: int) -> np.ndarray:
-        return ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-
-    def places(self, h: np.ndarray, level: int):
-        """The bits of an event, one probe after the other, within the n-gram's block."""
+    def places(self, h: np.ndarray, level: int, size: np.ndarray | int):
+        """The bits of an event, one probe after the other, in a part of the filter of ``size`` bits."""
         z = _mix(h + np.uint64(level * int(_FOLD) & (1 << 64) - 1))
         first, step = z & np.uint64(0xFFFFFFFF), (z >> np.uint64(32)) | np.uint64(1)
         for k in range(self.probes):
-            yield ((first + np.uint64(k) * step) & np.uint64(self.block_bits - 1)).astype(np.int64)
+            yield ((first + np.uint64(k) * step) % np.asarray(size, np.uint64)).astype(np.int64)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 def training(key: str = "doc_id") -> Column:
@@ -133,13 +136,17 @@ def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray
     return out
 
 
-def count_grams(docs: DataFrame, how: LogFilter, text: str = "text") -> DataFrame:
-    """``h, n``: names and counts of all n-grams of the texts, and of their starts."""
+def count_grams(docs: DataFrame, how: LogFilter, buckets: int, text: str = "text") -> DataFrame:
+    """``bucket, h, n``: names and counts of all n-grams of the texts, and of their starts, added up in
+    each task as far as they are held there."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]):
         h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
+    def batch_of(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_bucket(h, buckets).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["bucket", "h", "n"])
+
     def run(batches):
         parts, held, texts = [], 0, 0
         for batch in batches:
@@ -154,35 +161,41 @@ def count_grams(docs: DataFrame, how: LogFilter, text: str = "text") -> DataFram
                 parts = [summed(parts)]
                 held = len(parts[0][0])
                 if held > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], names=["h", "n"])
+                    yield batch_of(*parts[0])
                     parts, held = [], 0
         if texts:
             parts.append((_tagged(np.array([_named(_START)], np.uint64), 0), np.array([texts])))
-            h, n = summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            yield batch_of(*summed(parts))
+
+    return docs.select(text).mapInArrow(run, "bucket int, h long, n long")
+
 
-    return docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+_BUCKETS = "bucket int, bits binary, starts long, words array<struct<h:long,n:long>>"
 
 
-def filter_blocks(counts: DataFrame, how: LogFilter, blocks: int) -> DataFrame:
-    """``block, bits``: the filter's blocks, each built from its own n-grams in one group of bounded size."""
+def filter_buckets(grams: DataFrame, how: LogFilter) -> DataFrame:
+    """``bucket, bits, starts, words``: each bucket's part of the filter, how many texts start there, and
+    the exact counts of its words."""
 
     def build(key, table):
-        h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        level, on = how.levels(n), np.zeros(how.block_bits, bool)
+        h, at = np.unique(table.column("h").to_numpy().view(np.uint64), return_inverse=True)
+        n = np.bincount(at, table.column("n").to_numpy()).astype(np.int64)
+        level, order = how.levels(n), h & np.uint64(3)
+        on = np.zeros(8 * max(8, -(-int(level.sum()) * how.bits // 8)), bool)
         for q in range(1, int(level.max()) + 1):
-            for place in how.places(h[level >= q], q):
+            for place in how.places(h[level >= q], q, len(on)):
                 on[place] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+        words = pa.StructArray.from_arrays([pa.array(h[order == 1].view(np.int64)), pa.array(n[order == 1])], names=["h", "n"])
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary()), "starts": pa.array([int(n[order == 0].sum())], pa.int64()), "words": words})
 
-    block = F.pmod(F.shiftrightunsigned("h", 20), F.lit(blocks)).alias("block")
-    return counts.select(block, "h", "n").groupBy("block").applyInArrow(build, "block long, bits binary")
+    return grams.groupBy("bucket").applyInArrow(build, _BUCKETS)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``tokens`` and ``kinds``: N and V. ``heads``: names and counts of the frequent words.
-    ``rest``: table of the others. ``filter``: table of blocks, of which there are ``blocks``."""
+    """``tokens``, ``kinds`` and ``starts``: N, V and the texts. ``heads``: names, in order, and counts of
+    the frequent words. ``rest``: table of the others. ``filter``: table of its buckets."""
 
     how: LogFilter
     tokens: int
@@ -191,29 +204,39 @@ class LanguageModel:
     heads: tuple[np.ndarray, np.ndarray]
     rest: DataFrame
     filter: DataFrame
-    blocks: int
+    buckets: int
+    segments: int
 
-    @property
-    def segments(self) -> int:
-        return max(1, -(-self.blocks * self.how.block_bits // (8 * self.how.segment_bytes)))
+    def segment(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of the buckets with the remainder ``k``, and the bit each begins at and its size, by
+        bucket; partition by partition, so that the driver holds them once."""
+        start, size, parts, at = np.zeros(self.buckets, np.int64), np.zeros(self.buckets, np.int64), [], 0
+        for r in self.filter.where(F.col("bucket") % self.segments == k).select("bucket", "bits").toLocalIterator():
+            start[r["bucket"]], size[r["bucket"]] = at, 8 * len(r["bits"])
+            at += 8 * len(r["bits"])
+            parts.append(np.frombuffer(r["bits"], np.uint8))
+        mine = slice(k, None, self.segments)
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), start[mine], size[mine]
 
 
 def fit_model(docs: DataFrame, how: LogFilter = LogFilter(), text: str = "text") -> LanguageModel:
-    """Counts of all n-grams of the texts (null: empty), written once, and the filter over them. No
-    rows give a model that knows nothing. Its frequent words are those that make up at least one in
-    65,536 tokens, which no more than as many can."""
-    counts = cut(count_grams(docs, how, text), "lm-counts")
-    word = F.col("h").bitwiseAND(F.lit(3)) == 1
-    level = F.floor(F.ln("n") / F.lit(math.log(how.base)) + F.lit(1e-9)) + 1
-    start = F.col("h").bitwiseAND(F.lit(3)) == 0
-    totals = counts.agg(F.sum(F.when(word, F.col("n"))), F.count_if(word), F.sum(level), F.sum(F.when(start, F.col("n")))).first()
-    tokens, kinds, events, starts = (int(v or 0) for v in totals)
-    blocks = max(1, -(-events * how.bits // how.block_bits))
+    """The filter over all n-grams of the texts (null: empty). No rows give a model that knows nothing.
+    Its frequent words are those that make up at least one in 262,144 tokens, which no more than as
+    many can."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, -(-size // how.bucket_bytes))
+    table = cut(filter_buckets(count_grams(docs, how, buckets, text), how), "lm-filter")
+    words = table.select(F.explode("words").alias("w")).select("w.h", "w.n")
+    starts, room = (int(v or 0) for v in table.agg(F.sum("starts"), F.sum(F.octet_length("bits"))).first())
+    tokens, kinds = (int(v or 0) for v in words.agg(F.sum("n"), F.count("*")).first())
+    segments = max(1, -(-room // how.segment_bytes))
+    while segments < buckets and table.groupBy(F.col("bucket") % segments).agg(F.sum(F.octet_length("bits")).alias("n")).agg(F.max("n")).first()[0] > how.segment_bytes:
+        segments += 1 + segments // 8
     often = F.col("n") * F.lit(_HEADS) >= F.lit(tokens)
-    top = counts.where(word & often).orderBy("h").collect()
-    heads = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(heads[0])
-    return LanguageModel(how, tokens, kinds, starts, (heads[0][order], heads[1][order]), counts.where(word & ~often), cut(filter_blocks(counts, how, blocks), "lm-filter"), blocks)
+    top = words.where(often).orderBy("h").toArrow().combine_chunks()
+    names, counts = (top.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(names.view(np.uint64))
+    return LanguageModel(how, tokens, kinds, starts, (names.view(np.uint64)[order], counts[order]), words.where(~often), table, buckets, min(segments, buckets))
 
 
 def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,25 +246,26 @@ def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_names[at] == names
 
 
-def probed(h: np.ndarray, bits: np.ndarray, how: LogFilter, blocks: int, segment: int, segments: int) -> np.ndarray:
-    """Levels of n-grams whose blocks lie in the segment, 0 for all others and for those without the
+def probed(h: np.ndarray, part: tuple[np.ndarray, np.ndarray, np.ndarray], how: LogFilter, buckets: int, segment: int = 0, segments: int = 1) -> np.ndarray:
+    """Levels of n-grams whose buckets lie in the segment, 0 for all others and for those without the
     first event: each next level is asked for those that have all events before it."""
     kinds, at = np.unique(h, return_inverse=True)
-    level = np.zeros(len(kinds), np.uint8)
-    block = how.block(kinds, blocks)
-    alive = np.flatnonzero((block % segments == segment) & (kinds != 0))
+    level, (bits, start, size) = np.zeros(len(kinds), np.uint8), part
+    bucket = _bucket(kinds, buckets)
+    mine = np.flatnonzero((bucket % segments == segment) & (kinds != 0))
+    start, size = (x[bucket[mine] // segments] for x in (start, size))
+    alive = np.flatnonzero(size > 0)
     q = 0
     while len(alive):
         q += 1
-        names, base = kinds[alive], (block[alive] // segments) * (how.block_bits // 8)
-        there = np.arange(len(alive))
-        for place in how.places(names, q):
-            p = place[there]
-            there = there[(bits[base[there] + (p >> 3)] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
+        there = alive
+        for place in how.places(kinds[mine[alive]], q, size[alive]):
+            p = start[there] + (place if len(there) == len(alive) else place[np.searchsorted(alive, there)])
+            there = there[(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
             if not len(there):
                 break
-        alive = alive[there]
-        level[alive] = q
+        alive = there
+        level[mine[alive]] = q
     return level[at]
 
 
@@ -268,7 +292,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
     don't matter, whatever their names."""
     spark, how, segments = docs.sparkSession, model.how, model.segments
     names, sums = model.heads
-    blocks, facts = model.blocks, (model.how, model.tokens, model.kinds, model.starts)
+    buckets, facts = model.buckets, (model.how, model.tokens, model.kinds, model.starts)
     floor = float(model.tokens + model.kinds + 1)
 
     def one(k: int, bits, last: bool):
@@ -280,7 +304,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
                     words, lengths = words_of(part.column(2).to_pylist())
                     found = grams(words, lengths, how.order)
                     ends = np.cumsum(lengths)
-                    levels = [probed(h, filled, how, blocks, k, segments) for h in found]
+                    levels = [probed(h, filled, how, buckets, k, segments) for h in found]
                     if k:  # each n-gram is in one segment
                         before = _unpacked(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8), lengths, how.order)
                         levels = [np.maximum(x, y) for x, y in zip(levels, before, strict=True)]
@@ -310,13 +334,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(F.col(f"`{key}`").alias("key"), training(f"`{key}`").alias("train"), F.col(f"`{text}`").alias("text"))
     for k in range(segments):
-        gathered = model.filter.where(F.col("block") % segments == k).collect()  # at most segment_bytes
-        bits = np.zeros(-(-model.blocks // segments) * (how.block_bits // 8), np.uint8)
-        for r in gathered:
-            at = (r["block"] // segments) * (how.block_bits // 8)
-            bits[at : at + how.block_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-        del gathered
-        last, sent = k == segments - 1, spark.sparkContext.broadcast(bits)
+        last, sent = k == segments - 1, spark.sparkContext.broadcast(model.segment(k))
         schema = f"row long, key {kind}, train boolean, n_tokens long, score double, head_tokens long, head_score double, rest array<struct<h:long,k:long>>" if last else f"key {kind}, train boolean, text string, levels binary"
         state = cut(state.mapInArrow(one(k, sent, last), schema), "lm-pass")
     rest = state.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.k").join(model.rest, "h")
