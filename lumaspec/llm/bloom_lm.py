@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import cut
-from .jaccard import _mix
+from .jaccard import _mix, word_hashes
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _HEADS = 1 << 18
@@ -79,7 +79,7 @@ class LogFilter:
         z = _mix(h + np.uint64(level * int(_FOLD) & (1 << 64) - 1))
         first, step = z & np.uint64(0xFFFFFFFF), (z >> np.uint64(32)) | np.uint64(1)
         for k in range(self.probes):
-            yield ((first + np.uint64(k) * step) % np.asarray(size, np.uint64)).astype(np.int64)
+            yield ((first + np.uint64(k) * step + np.uint64((k**3 - k) // 6)) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,17 +102,21 @@ def _chunks(column: pa.Array):
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words and ends (62 bits, the two lowest 01) and, per text, how many there are."""
-    flat: list[bytes] = []
-    lengths = np.empty(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        before = len(flat)
-        flat += (text or "").encode().lower().split()
-        flat.append(_END)
-        lengths[k] = len(flat) - before
-    codes, kinds = pd.factorize(np.array(flat, object))
-    names = np.fromiter((_named(w) for w in kinds), np.uint64, len(kinds))
-    return _tagged(names, 1)[codes], lengths
+    """Names of all words and ends (62 bits, the two lowest 01) and, per text, how many there are. Words
+    are named by :func:`jaccard.word_hashes`, all texts' bytes at once."""
+    data = [(t or "").encode() for t in texts]
+    ends = np.cumsum(np.fromiter((len(d) + 1 for d in data), np.int64, len(data)))
+    whole = b" ".join(data)
+    a = np.frombuffer(whole, np.uint8)
+    space = np.ones(len(a) + 1, bool)
+    space[1:] = (a == 32) | ((a >= 9) & (a <= 13))
+    counts = np.diff(np.searchsorted(np.flatnonzero(space[:-1] & ~space[1:]), np.concatenate(([0], ends))))
+    lengths = counts + 1
+    out = np.full(lengths.sum(), _named(_END), np.uint64)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(lengths) - 1] = False
+    out[word] = word_hashes(whole)
+    return _tagged(out, 1), lengths
 
 
 def _tagged(h: np.ndarray, order: int) -> np.ndarray:
@@ -141,7 +145,7 @@ def count_grams(docs: DataFrame, how: LogFilter, buckets: int, text: str = "text
     each task as far as they are held there."""
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]):
-        h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        at, h = pd.factorize(np.concatenate([p[0] for p in parts]))
         return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
     def batch_of(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -155,7 +159,8 @@ def count_grams(docs: DataFrame, how: LogFilter, buckets: int, text: str = "text
                 words, lengths = words_of(column.slice(a, b - a).to_pylist())
                 texts += b - a
                 h = np.concatenate(grams(words, lengths, how.order))
-                parts.append(np.unique(h[h != 0], return_counts=True))
+                codes, kinds = pd.factorize(h[h != 0])  # no order is needed, so nothing is sorted
+                parts.append((kinds, np.bincount(codes, minlength=len(kinds))))
                 held += len(parts[-1][0])
             if held > 1 << 22:
                 parts = [summed(parts)]
@@ -249,7 +254,7 @@ def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
 def probed(h: np.ndarray, part: tuple[np.ndarray, np.ndarray, np.ndarray], how: LogFilter, buckets: int, segment: int = 0, segments: int = 1) -> np.ndarray:
     """Levels of n-grams whose buckets lie in the segment, 0 for all others and for those without the
     first event: each next level is asked for those that have all events before it."""
-    kinds, at = np.unique(h, return_inverse=True)
+    at, kinds = pd.factorize(h)
     level, (bits, start, size) = np.zeros(len(kinds), np.uint8), part
     bucket = _bucket(kinds, buckets)
     mine = np.flatnonzero((bucket % segments == segment) & (kinds != 0))
@@ -315,10 +320,11 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
                     at, head = _find(names, words)
                     each = np.where(head, np.log10((sums[at] + 1) / floor) if len(names) else 0.0, 0.0)
                     texts = np.repeat(np.arange(len(lengths)), lengths)
-                    other, n = np.unique(np.stack((texts[~head], words[~head].view(np.int64))), axis=1, return_counts=True) if not head.all() else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
+                    code, kinds = pd.factorize(words[~head])
+                    other, n = np.unique(texts[~head] * max(len(kinds), 1) + code, return_counts=True)
                     rest = pa.ListArray.from_arrays(
-                        pa.array(np.searchsorted(other[0], np.arange(len(lengths) + 1)).astype(np.int32)),
-                        pa.StructArray.from_arrays([pa.array(other[1]), pa.array(n.astype(np.int64))], names=["h", "k"]),
+                        pa.array(np.searchsorted(other, np.arange(len(lengths) + 1) * max(len(kinds), 1)).astype(np.int32)),
+                        pa.StructArray.from_arrays([pa.array(kinds[other % max(len(kinds), 1)].view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "k"]),
                     )
                     yield pa.RecordBatch.from_arrays(
                         [
