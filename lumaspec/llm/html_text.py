@@ -126,8 +126,23 @@ class Dom:
             self.hints[node] = found
             node = self.parent[node]
 
+    @staticmethod
+    def _close(stack: list, opened: dict[str, list[int]], scopes: list[int], k: int) -> tuple[int, int]:
+        """Take elements from the stack's ``k``-th on away; how many were unseen, and how many links."""
+        unseen = linked = 0
+        for name, _ in stack[k:]:
+            opened[name].pop()
+            unseen += name in UNSEEN
+            linked += name == "a"
+        while scopes[-1] >= k:
+            scopes.pop()
+        del stack[k:]
+        return unseen, linked
+
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("body", 0)]  # element and the node that stands for it
+        opened: dict[str, list[int]] = {}  # where in the stack elements of a name are, so that no tag walks it
+        scopes: list[int] = [0]
         at, block, chars, unseen, linked, n = 0, 0, 0, 0, 0, len(source)
         find = _TAG.search
         while at < n:
@@ -159,15 +174,9 @@ class Dom:
             tag = tag.lower()
             if m[1]:
                 block += tag not in INLINE and tag not in UNSEEN
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        for name, _ in stack[k:]:
-                            unseen -= name in UNSEEN
-                            linked -= name == "a"
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES and tag in INLINE:
-                        break
+                if opened.get(tag) and not (tag in INLINE and scopes[-1] > opened[tag][-1]):
+                    closed = self._close(stack, opened, scopes, opened[tag][-1])
+                    unseen, linked = unseen - closed[0], linked - closed[1]
                 continue
             if tag in VOID:
                 if tag == "br":
@@ -180,17 +189,14 @@ class Dom:
             if tag in ("html", "body"):
                 continue
             ends = ("p",) if tag in CLOSES_P else SAME_ENDS.get(tag)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        for name, _ in stack[k:]:
-                            unseen -= name in UNSEEN
-                            linked -= name == "a"
-                        del stack[k:]
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in SCOPES:
-                        break
+            while ends:
+                k = max((opened[e][-1] for e in ends if opened.get(e)), default=0)
+                if not k or k < scopes[-1]:
+                    break
+                closed = self._close(stack, opened, scopes, k)
+                unseen, linked = unseen - closed[0], linked - closed[1]
+                if tag != "tr":
+                    break
             inline = tag in INLINE
             block += not inline and tag not in UNSEEN
             if tag in RAW:  # its text runs to its own end tag
@@ -203,6 +209,9 @@ class Dom:
                 node = self._node(node, tag, facts, chars)
             if tag == "a" and not unseen:
                 self.anchors[node] += 1
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append((tag, node))
             unseen += tag in UNSEEN
             linked += tag == "a"
