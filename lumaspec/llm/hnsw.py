@@ -205,17 +205,16 @@ def _scan(graph: Graph, q: np.ndarray, low: np.float32) -> list[np.ndarray]:
 
 
 def _widest(graph: Graph) -> int:
-    """A beam of this width looks at about as many rows as there are, all of them: it is done as a scan."""
-    return max(1, len(graph.x) // graph.links[0].shape[1])
+    """The widest beam: with the links of its rows it looks at about as many rows as there are."""
+    return max(64, len(graph.x) // graph.links[0].shape[1])
 
 
 def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, slack: float = 0.02) -> list[np.ndarray]:
     """Rows at least as near as ``low``: those that a beam finds, and those that links of rows at
-    most ``slack`` farther lead to. Queries of more such rows than the widest beam holds are scanned."""
+    most ``slack`` farther lead to, in graphs of every size. Queries of more such rows than the widest
+    beam holds are scanned."""
     x, links, n, out = graph.x, graph.links[0], len(graph.x), [np.empty(0, np.int64)] * len(q)
-    most, many = _widest(graph), []
-    if width >= most:
-        return _scan(graph, q, low)
+    most, many, width = _widest(graph), [], min(width, len(graph.x))
     batch = max(16, min(512, (1 << 25) // (n + 1)))
     for s in range(0, len(q), batch):
         some = q[s : s + batch]
@@ -267,13 +266,16 @@ def tune(graph: Graph, least: float, planted: int = 256, seed: int = 7) -> None:
 def linked(graph: Graph, q: np.ndarray, least: float, audit: int = 128) -> list[np.ndarray]:
     """Rows of the graph at least about as near as ``least`` to each query. The audit scans for
     ``audit`` queries with several links (for a row of the graph one is itself) and as many of all;
-    while it finds more than the searches, the beam is widened, for later calls, too."""
+    while it finds more than the searches, the beam is widened, for later calls, too. Only if it still
+    finds more beside the widest beam are all the queries scanned."""
     while True:
         out = _search(graph, q, _low(least), graph.width)
         several = np.flatnonzero([len(o) > 1 for o in out])
         probe = np.unique(np.concatenate([s[np.linspace(0, len(s) - 1, min(audit, len(s))).astype(int)] for s in (several, np.arange(len(q)))]))
-        if graph.width >= _widest(graph) or not any(len(np.setdiff1d(t, out[k])) for t, k in zip(_scan(graph, q[probe], _low(least)), probe, strict=True)):
+        if not any(len(np.setdiff1d(t, out[k])) for t, k in zip(_scan(graph, q[probe], _low(least)), probe, strict=True)):
             return out
+        if graph.width >= _widest(graph):
+            return _scan(graph, q, _low(least))
         graph.width *= 2
 
 
