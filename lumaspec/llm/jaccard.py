@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -326,11 +326,21 @@ def similar_documents(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame:
-    """The rows of ``docs``, with their columns, that stand for their component: its least doc_id.
-    Of rows that share a doc_id one stays, the least by its columns; rows without one all stay."""
-    kept = similar_documents(docs, spec).where("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct()
-    names = docs.columns
-    known = docs.where("doc_id is not null")
-    single = known.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row_"))
-    stay = single.join(kept, F.col("doc_id") == F.col("keep_"), "left_semi").select("row_.*")
-    return stay.unionAll(docs.where("doc_id is null"))
+    """The rows of ``docs``, with their columns of any type, that stand for their component: its least
+    doc_id. Of rows that share a doc_id one stays, that of the least digest of its columns; rows
+    without one all stay. Rows are brought together only where their ids repeat."""
+    kept = cut(similar_documents(docs, spec).where("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct(), "jaccard-kept")
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.count("*").alias("rows_")).where("rows_ > 1").select("id_")
+    several = cut(kept.join(several, F.col("keep_") == F.col("id_"), "left_semi"), "jaccard-several")
+    null = docs.where("doc_id is null")
+    if several.isEmpty():
+        return docs.join(kept, F.col("doc_id") == F.col("keep_"), "left_semi").unionAll(null)
+    single = docs.join(kept.join(several, "keep_", "left_anti"), F.col("doc_id") == F.col("keep_"), "left_semi")
+    name = "row_"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    again = docs.join(several, F.col("doc_id") == F.col("keep_"), "left_semi").withColumn(name, digest)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(name))  # each task passes on one row of an id
+    again = again.withColumn(name + "n", nth).where(F.col(name + "n") == 1).drop(name, name + "n")
+    return single.unionAll(again).unionAll(null)

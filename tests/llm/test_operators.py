@@ -97,6 +97,60 @@ def test_hadamard_and_graph_against_brute_force():
         assert set(order[near].tolist()) == set(np.flatnonzero(v[k].astype(np.float32) @ v.T.astype(np.float32) >= 0.9 - 1e-4).tolist())
 
 
+@pytest.mark.parametrize("n", [40, 83, 333, 2500])
+def test_graphs_of_every_size_are_searched_and_scans_only_audit(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 32))
+    v = np.concatenate((base[: n // 2], base[: n - n // 2] + 0.1 * rng.normal(size=(n - n // 2, 32))))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, order = hnsw.build(v)
+    hnsw.tune(graph, 0.9)
+    scanned, scan = [], hnsw._scan
+    monkeypatch.setattr(hnsw, "_scan", lambda g, q, low: scanned.append(len(q)) or scan(g, q, low))
+    got = hnsw.linked(graph, v, 0.9, audit=4)
+    assert sum(scanned) <= 8  # the audit's; a scan of the queries would be n
+    for k, near in enumerate(got):
+        assert set(order[near].tolist()) == set(np.flatnonzero(v[k] @ v.T >= 0.9 - 1e-4).tolist())
+
+
+def test_near_vectors_through_graphs_of_thousands(spark):
+    """Shards of 2000 vectors and more, by every pair of them."""
+    rng = np.random.default_rng(61)
+    v = rng.normal(size=(4600, 24))
+    v[3000:] = v[:1600] + rng.normal(size=(1600, 24)) * rng.uniform(0.02, 0.35, (1600, 1))
+    v = np.round(v, 6)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.triu(unit @ unit.T >= 0.9, 1)
+    links, up = near.sum(0) + near.sum(1), list(range(len(v)))
+    for a, b in zip(*np.nonzero(near), strict=True):
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    got = {r["vec_id"]: r for r in hnsw.near_vectors(df, shards=2).collect()}
+    assert links.sum() > 1500 and [got[k]["n_links"] for k in range(len(v))] == links.tolist()
+    root = lambda k: k if up[k] == k else root(up[k])
+    assert all(got[k]["component_id"] == root(k) for k in range(len(v)))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "x" + "</i>" * 200_000, "<i><table>" + "<b>" * 200_000 + "</i>" * 200_000, "<div><b>" * 100_000 + "</p>" * 200_000, "<p><span>" * 100_000, "<td><li>" * 100_000 + "</u>" * 100_000])
+def test_hostile_pages_are_parsed_in_line_with_their_length(page):
+    import time
+
+    began = time.process_time()
+    html_text.Dom(page)
+    assert time.process_time() - began < 5
+
+
+def test_unmatched_and_scoped_tags_close_what_they_should():
+    dom = html_text.Dom("<div><i>a<table><tr><td>b</i>c</td><td>d<tr><td>e</table>f</i>g</div><p>h<p>i</b>")
+    assert "".join(t for _, _, t in dom.runs) == "abcdefghi"
+    tags = [dom.tag[n] for n, _, t in dom.runs]
+    assert tags == ["div", "td", "td", "td", "td", "div", "div", "p", "p"]
+
+
 def test_every_row_of_a_graph_without_clusters_finds_itself():
     v = np.random.default_rng(16).normal(size=(6000, 48))
     v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
@@ -609,6 +663,17 @@ def test_pipeline_stages_against_brute_force(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "source_mixing", "best_fit_packing"]
 
 
+def test_rows_of_any_columns_stand_for_their_component(spark):
+    one = " ".join(f"a{k}" for k in range(60))
+    rows = [(1, one, {"x": 1}, 0), (1, one, {"x": 1}, 0), (1, one + " b", {"y": 2}, 0), (2, one, None, 1), (3, "other words of its own here", {}, 2), (None, one, {"z": 1}, 3), (None, one, {"z": 1}, 3)]
+    for some in (rows, [r for r in rows if r[0] != 1]):
+        df = spark.createDataFrame(some, "doc_id long, text string, facts map<string,int>, row_ int")
+        kept = jaccard.one_of_each(df)
+        got = [(r["doc_id"], r["row_"]) for r in kept.collect()]
+        assert kept.columns == df.columns and sorted(got, key=str) == sorted([(1, 0)] * (some == rows) + [(2, 1)] * (some != rows) + [(3, 2), (None, 3), (None, 3)], key=str)
+    assert jaccard.one_of_each(df.where("false")).count() == 0
+
+
 def test_texts_of_one_id_and_size_keep_their_own_copies(spark):
     one, two = ([f"{c}{k}" for k in range(100)] for c in "ab")
     rows = [(1, " ".join(one)), (1, " ".join(two)), (5, " ".join([*one[:99], "x"])), (6, " ".join([*two[:99], "y"]))]
