@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import dot, literal, norm
-from ..store import cut
-from .metrics import quantiles, small
-from .stats import Background, background, spectra
+from .stats import Background, background, robust_bands, spectra
 
 EPS = 1e-12
 
@@ -74,14 +72,9 @@ def spectral_angle(target, spectrum: str = "spectrum") -> Column:
 
 
 def diagonal_distance(pixels: DataFrame, spectrum: str = "spectrum") -> Column:
-    """Distance from the band medians in robust band widths, per pixel; medians by running sums over ranges of values."""
-    bands = pixels.select(F.posexplode(spectrum).alias("band", "v"))
-    middle = cut(quantiles(bands, ["band"], "v", [0.5]).withColumnRenamed("q0", "m"), "medians")
-    far = bands.join(small(middle), "band").select("band", "m", F.abs(F.col("v") - F.col("m")).alias("far"))
-    wide = quantiles(far, ["band", "m"], "far", [0.5]).select("band", "m", (F.lit(1.4826) * F.col("q0")).alias("s"))
-    rows = wide.orderBy("band").collect()  # one row per band
-    centre, scale = [r["m"] for r in rows], [max(r["s"], EPS) for r in rows]
-    z = F.zip_with(F.zip_with(spectrum, literal(centre), lambda v, m: v - m), literal(scale), lambda v, s: v / s)
+    """Distance from the band medians in robust band widths, per pixel."""
+    middle, wide = robust_bands(pixels, spectrum)
+    z = F.zip_with(F.zip_with(spectrum, literal(middle), lambda v, m: v - m), literal(np.maximum(wide, EPS)), lambda v, s: v / s)
     return F.aggregate(z, F.lit(0.0), lambda a, e: a + e * e)
 
 

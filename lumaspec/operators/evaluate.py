@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import cut
 from .calibrate import detection_limit
 from .experiment import hash_index
 from .metrics import match, running
@@ -106,34 +109,51 @@ def hash_sample(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFram
     return rows.withColumn("mark__", mark).orderBy("mark__", key).limit(most).drop("mark__")
 
 
-def fit_platt_groups(rows: DataFrame, keys: list[str], score: str, label: str, rounds: int = 12) -> DataFrame:
+def fit_platt_groups(rows: DataFrame, keys: list[str], score: str, label: str, rounds: int = 12, slopes: tuple[float, float] | None = None, few: int = 10_000) -> DataFrame:
     """``keys, slope, bias``: one logistic fit per group, all groups in each pass over the rows.
 
-    Newton steps on the score standardized within its group, each held to 4; groups are a table of
-    settings, at most ``10,000``, whose numbers are sent to all tasks between passes."""
+    Newton steps on the score standardized within its group, each held to 4. With ``slopes`` a slope
+    outside them is held at the nearer one and the bias fitted to that (a temperature, on log-odds).
+    Up to ``few`` groups' numbers are sent to all tasks between passes; beyond that they are a table
+    that is joined and written in each pass."""
     y, s = F.col(label).cast("double"), F.col(score)
     state = rows.groupBy(*keys).agg(F.avg(s).alias("m_"), F.stddev_pop(s).alias("d_"))
-    state = state.select(*keys, "m_", F.when(F.col("d_") > 1e-12, F.col("d_")).otherwise(1.0).alias("d_"), F.lit(0.0).alias("a_"), F.lit(0.0).alias("b_"))
-    schema, held = state.schema, state.limit(10_001).collect()
-    if len(held) > 10_000:
-        raise ValueError("more than 10,000 groups to fit")
-    for _ in range(rounds):
-        now = rows.sparkSession.createDataFrame(held, schema)
-        z = (s - F.col("m_")) / F.col("d_")
-        p = 1 / (1 + F.exp(-(z * F.col("a_") + F.col("b_"))))
-        g, h = p - y, p * (1 - p)
-        sums = match(rows, F.broadcast(now), keys).groupBy(*keys, "m_", "d_", "a_", "b_").agg(
-            F.avg(g * z).alias("ga"), F.avg(g).alias("gb"), (F.avg(h * z * z) + 1e-9).alias("haa"), F.avg(h * z).alias("hab"), (F.avg(h) + 1e-9).alias("hbb")
-        )
-        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
-        da = (F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det
-        db = (F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det
-        scale = F.least(F.lit(1.0), F.lit(4.0) / F.greatest(F.abs(da), F.abs(db), F.lit(1e-12)))
-        held = sums.select(*keys, "m_", "d_", (F.col("a_") - scale * da).alias("a_"), (F.col("b_") - scale * db).alias("b_")).collect()
-    done = rows.sparkSession.createDataFrame(held, schema)
+    state = cut(state.select(*keys, "m_", F.when(F.col("d_") > 1e-12, F.col("d_")).otherwise(1.0).alias("d_"), F.lit(0.0).alias("a_"), F.lit(0.0).alias("b_"), F.lit(False).alias("held_")), "groups")
+    schema, all_few = state.schema, state.limit(few + 1).count() <= few
+
+    def kept(df: DataFrame) -> DataFrame:
+        return F.broadcast(df.sparkSession.createDataFrame(df.collect(), schema)) if all_few else cut(df, "groups")
+
+    def steps(state: DataFrame) -> DataFrame:
+        for _ in range(rounds):
+            z = (s - F.col("m_")) / F.col("d_")
+            p = 1 / (1 + F.exp(-(z * F.col("a_") + F.col("b_"))))
+            g, h = p - y, p * (1 - p)
+            sums = match(rows, state, keys).groupBy(*keys, "m_", "d_", "a_", "b_", "held_").agg(
+                F.avg(g * z).alias("ga"), F.avg(g).alias("gb"), (F.avg(h * z * z) + 1e-9).alias("haa"), F.avg(h * z).alias("hab"), (F.avg(h) + 1e-9).alias("hbb")
+            )
+            det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+            da = F.when(F.col("held_"), 0.0).otherwise((F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det)
+            db = F.when(F.col("held_"), F.col("gb") / F.col("hbb")).otherwise((F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det)
+            scale = F.least(F.lit(1.0), F.lit(4.0) / F.greatest(F.abs(da), F.abs(db), F.lit(1e-12)))
+            state = kept(sums.select(*keys, "m_", "d_", (F.col("a_") - scale * da).alias("a_"), (F.col("b_") - scale * db).alias("b_"), "held_"))
+        return state
+
+    done = steps(kept(state))
+    if slopes:
+        slope = F.col("a_") / F.col("d_")
+        near = F.greatest(F.lit(slopes[0]), F.least(F.lit(slopes[1]), slope))
+        bounded = kept(done.select(*keys, "m_", "d_", (near * F.col("d_")).alias("a_"), F.when(near == slope, F.col("b_")).otherwise(0.0).alias("b_"), (near != slope).alias("held_")))
+        done = bounded if bounded.where("held_").isEmpty() else steps(bounded)
     return done.select(*keys, (F.col("a_") / F.col("d_")).alias("slope"), (F.col("b_") - F.col("a_") * F.col("m_") / F.col("d_")).alias("bias"))
 
 
+def fit_temperature_groups(rows: DataFrame, keys: list[str], logit: str, label: str, rounds: int = 12) -> DataFrame:
+    """``keys, slope, bias``: as :func:`fit_platt_groups`, with slopes (one over the temperature) from exp(-10)
+    to exp(10)."""
+    return fit_platt_groups(rows, keys, logit, label, rounds, (math.exp(-10), math.exp(10)))
+
+
 def apply_logistic(score: Column, slope: Column, bias: Column) -> Column:
     """The probability by a logistic model whose numbers are columns."""
     return 1 / (1 + F.exp(-(score * slope + bias)))

@@ -10,13 +10,18 @@ from .metrics import running
 LCG = (1103515245, 12345, 1 << 31)
 
 
-def grid(*dims: DataFrame) -> DataFrame:
-    """All combinations of tables of settings, each of at most 10,000 rows."""
+def grid(*dims: DataFrame, few: int = 10_000) -> DataFrame:
+    """All combinations of tables of settings. A table of at most ``few`` rows is sent to all tasks; a
+    longer one is dealt into blocks of about that many, and every combined row meets every block."""
     out = dims[0]
     for d in dims[1:]:
-        if d.limit(10_001).count() > 10_000:
-            raise ValueError("a table of settings has more than 10,000 rows")
-        out = out.crossJoin(F.broadcast(d))
+        n = d.count()
+        if n <= few:
+            out = out.crossJoin(F.broadcast(d))
+            continue
+        blocks = -(-n // few)
+        dealt = d.withColumn("block_", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]), F.lit(blocks)))
+        out = out.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block_").drop("block_")
     return out
 
 

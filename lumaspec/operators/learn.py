@@ -1,13 +1,8 @@
-"""Learned detectors over per-pixel features, by Spark ML, with dropout passes for uncertainty."""
+"""What learned detectors over per-pixel features need before and after training (:mod:`nets`)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import average_ranks, match
@@ -21,76 +16,14 @@ def standardised(df: DataFrame, features: list[str], keys: list[str], eps: float
     return out.drop(*[f"{p}_{f}" for f in features for p in "ms"])
 
 
-def balanced(df: DataFrame, label: str, most: int = 50) -> DataFrame:
-    """Rows with those of the rarer class repeated, so that both weigh about the same, at most ``most`` times."""
-    yes, n = df.agg(F.count_if(F.col(label)), F.count("*")).first()
-    rare = yes <= n - yes
-    times = max(1, min(most, round((n - yes) / yes if rare else yes / (n - yes)))) if 0 < yes < n else 1
-    return df.withColumn("copy_", F.explode(F.when(F.col(label) == F.lit(rare), F.sequence(F.lit(1), F.lit(times))).otherwise(F.array(F.lit(1))))).drop("copy_")
-
-
-def fit_detector(df: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (128, 128), rounds: int = 60, seed: int = 1):
-    """Spark ML's perceptron; it takes no weights, so the rarer class is repeated instead."""
-    data = balanced(df, label).select(array_to_vector(F.array(*features)).alias("features"), F.col(label).cast("double").alias("label"))
-    return MultilayerPerceptronClassifier(layers=[len(features), *hidden, 2], maxIter=rounds, seed=seed).fit(data)
-
-
-def probability(model, df: DataFrame, features: list[str], name: str = "probability") -> DataFrame:
-    scored = model.transform(df.withColumn("features", array_to_vector(F.array(*features))))
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction", *(["probability"] if name != "probability" else []))
-
-
-def logits(model, df: DataFrame, features: list[str], name: str = "logit") -> DataFrame:
-    """Adds the log-odds, as the difference of the two outputs before they become probabilities."""
-    scored = model.transform(df.withColumn("features", array_to_vector(F.array(*features))))
-    raw = vector_to_array("rawPrediction")
-    return scored.withColumn(name, raw[1] - raw[0]).drop("features", "rawPrediction", "prediction", "probability")
-
-
-def dropout_passes(model: MultilayerPerceptronClassificationModel, features: list[str], key: str, passes: int = 20, rate: float = 0.25) -> tuple[Column, Column]:
-    """Mean and deviation of the probability when hidden units are dropped at random, by a hash of
-    the row's key, so that reruns agree."""
-    layers, flat = list(model.getLayers()), np.asarray(model.weights.toArray())
-    mats, at = [], 0
-    for a, b in zip(layers, layers[1:], strict=False):
-        mats.append((flat[at : at + a * b].reshape(b, a, order="F"), flat[at + a * b : at + a * b + b]))
-        at += a * b + b
-
-    def run(ids: pd.Series, *cols: pd.Series) -> pd.DataFrame:
-        x, out = np.stack([c.to_numpy(float) for c in cols], 1), []
-        for t in range(passes):
-            h = x
-            for k, (w, b) in enumerate(mats[:-1]):
-                h = 1 / (1 + np.exp(-(h @ w.T + b)))
-                unit = np.arange(h.shape[1], dtype=np.uint64)
-                z = ids.to_numpy(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + unit * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(t * 7919 + k)
-                z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                h = h * ((z >> np.uint64(40)).astype(float) / (1 << 24) >= rate) / (1 - rate)
-            w, b = mats[-1]
-            z = h @ w.T + b
-            out.append(1 / (1 + np.exp(z[:, 0] - z[:, 1])))
-        out = np.stack(out)
-        return pd.DataFrame({"mean": out.mean(0), "std": out.std(0)})
-
-    both = F.pandas_udf(run, "mean double, std double", F.PandasUDFType.SCALAR)(F.col(key), *[F.col(f) for f in features])
-    return both["mean"], both["std"]
-
-
 def ensemble(df: DataFrame, keys: list[str], logit: str, eps: float = 1e-7) -> DataFrame:
     """``keys, logit`` of the mean of members' probabilities."""
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.avg(1 / (1 + F.exp(-F.col(logit))))))
     return df.groupBy(*keys).agg(p.alias("p")).select(*keys, F.ln(F.col("p") / (1 - F.col("p"))).alias("logit"))
 
 
-def fit_abundance(df: DataFrame, features: list[str], truth: str):
-    data = df.select(array_to_vector(F.array(*features)).alias("features"), F.col(truth).alias("label"))
-    return LinearRegression().fit(data)
-
-
 def empirical_quantile(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Adds rank / (n + 1) with shared ranks."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n_"))
     ranked = match(average_ranks(df, keys, value, "rank_"), n, keys)
     return ranked.withColumn(name, F.col("rank_") / (F.col("n_") + 1)).drop("rank_", "n_")
-
-

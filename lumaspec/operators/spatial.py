@@ -198,14 +198,18 @@ def gaussian_periodic(scores: DataFrame, sigma: float, value: str = "score", lon
     return df.select("scene_id", *[F.col(c).cast(kinds[c]).alias(c) for c in ("y", "x")], F.when(~F.col("bad_"), F.col(value)).alias(value))
 
 
-def lattice(pixels: DataFrame, height: int, width: int, most: int = 96) -> DataFrame:
-    """Every s-th pixel both ways, so that neither side keeps more than ``most``."""
+def lattice(pixels: DataFrame, height: int | None = None, width: int | None = None, most: int = 96) -> DataFrame:
+    """Every s-th pixel both ways, so that neither side keeps more than ``most``; the scene's own size
+    where none is given."""
+    if height is None or width is None:
+        height, width = (int(v or 0) + 1 for v in pixels.agg(F.max("y"), F.max("x")).first())
     s = max(1, -(-max(height, width) // most))
     return pixels.where((F.col("y") % s == 0) & (F.col("x") % s == 0))
 
 
 def roi_means(scores: DataFrame, boxes: DataFrame, value: str = "score") -> DataFrame:
-    """``roi, value, n`` over half-open boxes (roi, y0, x0, y1, x1), NaN left out. Boxes are a table
-    that the caller draws up; up to 10,000 are sent to all tasks."""
-    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-    return scores.where(~F.isnan(value)).join(small(boxes, 10_000), inside).groupBy("roi").agg(F.avg(value).alias(value), F.count("*").alias("n"))
+    """``roi, value, n`` over half-open boxes (roi, y0, x0, y1, x1), null and NaN values left out."""
+    from .relate import in_boxes
+
+    found = in_boxes(scores.where(~F.isnan(value)).select("y", "x", value), boxes)
+    return found.groupBy("roi").agg(F.avg(value).alias(value), F.count("*").alias("n"))

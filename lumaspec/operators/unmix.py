@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import dot, literal
+from ..functions.spectral import dot, dot_columns, literal, norm, scaled_to
 
 
 def least_squares(endmembers, spectrum: str = "spectrum") -> Column:
@@ -43,18 +43,16 @@ def _merge(means: np.ndarray, distance: float) -> np.ndarray:
     return np.stack([means[g].mean(0) for g in groups])
 
 
-def unlike_reference(endmembers: np.ndarray, reference, similar: float = 0.9) -> np.ndarray:
-    """Which of at most about a thousand endmembers stay: those that no other surpasses along the
-    reference by more than ``similar`` of the way between the two, endmembers over their peaks."""
-    e, r = np.asarray(endmembers, float), np.asarray(reference, float)
-    e = e / np.nanmax(e, axis=1, keepdims=True)
-    along = e @ r / np.linalg.norm(r)
-    square = (e * e).sum(1)
-    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * e @ e.T, 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ahead = (along[:, None] - along) / apart
-    np.fill_diagonal(ahead, 0)
-    return np.nanmax(ahead, axis=0) <= similar
+def ahead_of_others(endmembers: DataFrame, reference) -> DataFrame:
+    """``id, ahead``: of every endmember (id, spectrum) the largest cosine with the reference of the
+    difference from it to another, both over their peaks; null where there is no other. Endmembers are
+    a table of a few thousand rows at most; pairs are made over it alone."""
+    over = endmembers.select("id", scaled_to(F.col("spectrum"), F.lit(1.0)).alias("e"))
+    other = F.broadcast(over.select(F.col("id").alias("other"), F.col("e").alias("o")))
+    step = over.join(other, F.col("id") != F.col("other"), "left").select("id", F.zip_with("o", "e", lambda a, b: a - b).alias("step"))
+    size = norm(F.col("step")) * F.lit(float(np.linalg.norm(reference)))
+    cosine = F.when(size > 0, dot_columns(F.col("step"), literal(reference)) / size)
+    return step.groupBy("id").agg(F.max(cosine).alias("ahead"))
 
 
 def cluster_unmix(pixels: DataFrame, reference, clusters: int = 1000, components: int = 3, similar: float = 0.9, distance: float = 0.005, seed: int = 1) -> DataFrame:
@@ -67,7 +65,9 @@ def cluster_unmix(pixels: DataFrame, reference, clusters: int = 1000, components
     bands = labelled.select("cluster_", F.posexplode("spectrum").alias("band", "v")).groupBy("cluster_", "band").agg(F.avg("v").alias("v"))
     rows = bands.groupBy("cluster_").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "v"))), lambda s: s["v"]).alias("m")).orderBy("cluster_").collect()
     means, ref = np.array([r["m"] for r in rows]), np.asarray(reference, float)
-    keep = unlike_reference(means, ref, similar)
+    table = pixels.sparkSession.createDataFrame(list(enumerate(means.tolist())), "id long, spectrum array<double>")
+    gone = {r["id"] for r in ahead_of_others(table, ref).where(F.col("ahead") > similar).collect()}
+    keep = np.array([k not in gone for k in range(len(means))])
     means = _merge(means[keep] if keep.any() else means, distance)
     first = np.linalg.pinv(np.vstack([-ref, means]).T)[0]
     return labelled.withColumn("score", F.greatest(dot("spectrum", first), F.lit(0.0))).drop("vector_", "part_", "cluster_")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cubes, evaluation, learned, tables
+from . import cubes, evaluation, learned, places, scenes, tables
 
-_PARTS = (cubes, tables, learned, evaluation)
+_PARTS = (cubes, tables, learned, evaluation, scenes, places)
 
 
 def queries() -> dict:

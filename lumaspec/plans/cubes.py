@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral as S
 from ..model import nodata, pixels_from_vectors
-from ..operators import detect, experiment, learn, metrics, physics, spatial, stats, unmix
+from ..operators import detect, experiment, geometry, learn, metrics, physics, spatial, stats, unmix
 from ..store import cut
 
 LABEL = 3
@@ -39,11 +39,13 @@ def background_covariance(spark, d):
 
 def matched_filter(spark, d):
     px = cube(spark, d)
-    return _scored(px, detect.matched_filter(stats.background(px), _target(px)))
+    bg, (t,) = stats.background_and_targets(px, [LABEL])
+    return _scored(px, detect.matched_filter(bg, t))
 
 
 def _mf(px: DataFrame) -> DataFrame:
-    return px.withColumn("score", detect.matched_filter(stats.background(px), _target(px)))
+    bg, (t,) = stats.background_and_targets(px, [LABEL])
+    return px.withColumn("score", detect.matched_filter(bg, t))
 
 
 def matched_filter_auc(spark, d):
@@ -62,7 +64,8 @@ def rx_topk(spark, d):
 
 def ace(spark, d):
     px = cube(spark, d)
-    return _scored(px, detect.ace(stats.background(px), _target(px)))
+    bg, (t,) = stats.background_and_targets(px, [LABEL])
+    return _scored(px, detect.ace(bg, t))
 
 
 def subspace_rank1(spark, d):
@@ -72,7 +75,7 @@ def subspace_rank1(spark, d):
 
 def subspace_family_full(spark, d):
     px = cube(spark, d)
-    return _scored(px, detect.subspace(stats.background(px, floor=1e-12), [_target(px, k) for k in FAMILY]))
+    return _scored(px, detect.subspace(*stats.background_and_targets(px, list(FAMILY), floor=1e-12)))
 
 
 def spectral_angle(spark, d):
@@ -170,8 +173,7 @@ def blind_features_zscore(spark, d):
 
 def family_features(spark, d):
     px = cube(spark, d)
-    bg = stats.background(px, floor=1e-12)
-    family = [_target(px, k) for k in FAMILY]
+    bg, family = stats.background_and_targets(px, list(FAMILY), floor=1e-12)
     f = _features(px, {"mf": detect.matched_filter(stats.background(px), np.mean(family, 0)), "sub": detect.subspace(bg, family), "rx": detect.mahalanobis(bg)}, {"mf_s": ("mf", 1.5), "sub_s": ("sub", 1.5), "rx_s": ("rx", 1.5)})
     names = ["mf", "mf_s", "sub", "sub_s", "rx", "rx_s"]
     z = learn.standardised(f, names, ["scene_id"], 0.0)
@@ -248,7 +250,7 @@ def ucls_abundance(spark, d):
 
 
 def lattice_sample(spark, d):
-    return spatial.lattice(cube(spark, d), 480, 300).select(F.col("pixel_id").alias("vec_id"), "y", "x")
+    return spatial.lattice(cube(spark, d), most=8).select(F.col("pixel_id").alias("vec_id"), "y", "x")
 
 
 def roi_mean_score(spark, d):
@@ -307,16 +309,8 @@ def reporter_response(spark, d):
 
 def rotated_crop(spark, d):
     """Scores in a crop turned by 15 degrees, bilinear between pixels; null outside."""
-    px = _mf(cube(spark, d)).select("y", "x", "score")
-    c, s = float(np.cos(np.radians(15.0))), float(np.sin(np.radians(15.0)))
-    places = spark.range(8 * 10).select(F.expr("cast(id div 10 as int)").alias("v"), F.expr("cast(id % 10 as int)").alias("u"))
-    places = places.withColumn("fy", 9.5 + (F.col("v") - 3.5) * c + (F.col("u") - 4.5) * s).withColumn("fx", 12.0 - (F.col("v") - 3.5) * s + (F.col("u") - 4.5) * c)
-    corners = places.select("v", "u", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("o"), "fy", "fx")
-    y0, x0 = F.floor("fy"), F.floor("fx")
-    wy, wx = F.col("fy") - y0, F.col("fx") - x0
-    corners = corners.select("v", "u", (y0 + F.col("o.i")).cast("int").alias("y"), (x0 + F.col("o.j")).cast("int").alias("x"), (F.when(F.col("o.i") == 1, wy).otherwise(1 - wy) * F.when(F.col("o.j") == 1, wx).otherwise(1 - wx)).alias("w"))
-    got = corners.join(px, ["y", "x"], "left").groupBy("v", "u").agg(F.sum(F.col("w") * F.col("score")).alias("s"), F.count("score").alias("n"))
-    return got.select("v", "u", F.round(F.when(F.col("n") == 4, F.col("s")), 6).alias("score"))
+    out = geometry.turned_crop(_mf(cube(spark, d)).select("scene_id", "y", "x", "score"), geometry.TurnedCrop(8, 10, 6.0, 7.5, 15.0))
+    return out.select(F.col("y").alias("v"), F.col("x").alias("u"), F.round("score", 6).alias("score"))
 
 
 # ---- SQL -------------------------------------------------------------------------------------
@@ -429,7 +423,7 @@ select vec_id, label as best_label from (select *, row_number() over (partition
     "implant_linear": _IMPLANT("0.0"),
     "implant_bilinear": _IMPLANT("0.5"),
     "target_rms_noise_sigma": _cte(_T) + "select round(sqrt(avg((a * (m - v)) ** 2)) / 10 ** 0.5::double, 6) as sigma, count(*)::bigint as n from (select e.v, tm.t[e.b + 1] as m, (e.vec_id * 37 % 101) / 200.0::double as a from e, tm) where a > 0.2",
-    "lattice_sample": _cte() + "select vec_id, y::int as y, x::int as x from px where y % 5 = 0 and x % 5 = 0",
+    "lattice_sample": _cte() + "select vec_id, y::int as y, x::int as x from px, (select greatest(1, (greatest(max(y) + 1, max(x) + 1) + 7) // 8) as step from px) where y % step = 0 and x % step = 0",
     "roi_mean_score": _cte(_T, _SAM) + ", b(roi, y0, x0, y1, x1) as (values (0, 0, 0, 5, 5), (1, 5, 5, 12, 20), (2, 10, 0, 20, 25)) select roi, round(avg(score), 6) as score, count(*)::bigint as n from sam join px using (vec_id) join b on y >= y0 and y < y1 and x >= x0 and x < x1 group by roi",
     "false_color": _cte() + ", q as (select quantile_cont(s[45], 0.02::double) r0, quantile_cont(s[45], 0.98::double) r1, quantile_cont(s[29], 0.02::double) g0, quantile_cont(s[29], 0.98::double) g1, quantile_cont(s[13], 0.02::double) b0, quantile_cont(s[13], 0.98::double) b1 from px) select vec_id, round(greatest(0, least(1, (s[45] - r0) / greatest(r1 - r0, 1e-12))), 6)::double as r, round(greatest(0, least(1, (s[29] - g0) / greatest(g1 - g0, 1e-12))), 6)::double as g, round(greatest(0, least(1, (s[13] - b0) / greatest(b1 - b0, 1e-12))), 6)::double as b from px, q",
     "blind_features_zscore": _cte(_inverse(_FLOOR), _RXS, "m as materialized (select b, median(v) as m from e group by b), d as materialized (select b, m, greatest(1.4826::double * median(abs(v - m)), 1e-12) as s from e join m using (b) group by b, m), dg as materialized (select vec_id, sum(((v - m) / s) ** 2) as score from e join d using (b) group by vec_id)", _blur("rx", "r1", 1.5), _blur("rx", "r3", 3.0), _blur("dg", "d1", 1.5), "f as materialized (select rx.vec_id, rx.score as rx, r1.score as rx_s, r3.score as rx_w, dg.score as diag, d1.score as diag_s, rx.score - r3.score as local from rx join r1 using (vec_id) join r3 using (vec_id) join dg using (vec_id) join d1 using (vec_id))") + _z(["rx", "rx_s", "rx_w", "diag", "diag_s", "local"], "f"),

@@ -137,7 +137,8 @@ def band_smoothing(spark, d):
 def target_scaling(spark, d):
     """Spectra with their peak at the cube's mean, by value and by absolute value."""
     px = cube(spark, d)
-    level = px.select(F.explode("spectrum").alias("v")).agg(F.avg("v").alias("level"), F.avg(F.abs("v")).alias("size"))
+    size = F.transform("spectrum", lambda v: F.abs(v))
+    level = px.agg(F.avg(S.mean(F.col("spectrum"))).alias("level"), F.avg(S.mean(size)).alias("size"))
     both = metrics.match(px, level, [])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e)
     return _r(both.select(F.col("pixel_id").alias("vec_id"), total(S.scaled_to(F.col("spectrum"), F.col("level"))).alias("by_peak"), total(S.scaled_to(F.col("spectrum"), F.col("size"), True)).alias("by_size")))
@@ -146,9 +147,11 @@ def target_scaling(spark, d):
 def rgb_composite(spark, d):
     """Bands nearest to 650, 550 and 450 nm, stretched, with a gamma."""
     px = cube(spark, d)
-    grid = px.select(F.posexplode("spectrum").alias("band", "v")).select("band", (F.lit(400.0) + F.col("band") * (600.0 / 63)).alias("wavelength")).distinct()
-    bands = {n: geometry.nearest_band(grid, w).first()["band"] for n, w in (("r", 650.0), ("g", 550.0), ("b", 450.0))}
-    return _r(geometry.composite(px, bands, nodata()).select(F.col("pixel_id").alias("vec_id"), *bands))
+    grid = spark.createDataFrame(list(enumerate(S.wavelengths(64))), "band int, wavelength double")
+    wanted = {"r": 650.0, "g": 550.0, "b": 450.0}
+    near = grid.agg(*[F.min_by("band", F.struct(F.abs(F.col("wavelength") - w), F.col("band"))).alias(n) for n, w in wanted.items()]).first()
+    bands = near.asDict()
+    return _r(geometry.composite(px, bands, F.forall(F.array(*[F.col("spectrum")[k] for k in bands.values()]), lambda v: v == 0)).select(F.col("pixel_id").alias("vec_id"), *bands))
 
 
 _CROP = geometry.TurnedCrop(107, 9, 300.0, 120.0, 12.5)
@@ -167,8 +170,7 @@ def scene_to_crop(spark, d):
 
 def luminance_threshold(spark, d):
     at = lambda k: F.least(F.lit(255.0), F.abs(F.element_at("spectrum", k + 1)) * 255)
-    view = cube(spark, d).select(F.col("pixel_id").alias("vec_id"), geometry.luminance_view(at(44), at(28), at(12), 12.0).alias("v"))
-    return _r(view.select("vec_id", "v.bright", "v.strength", "v.level"))
+    return cube(spark, d).select(F.col("pixel_id").alias("vec_id"), geometry.at_least_luminance(at(44), at(28), at(12), 12.0).alias("bright"))
 
 
 def evidence_check(spark, d):
@@ -264,7 +266,7 @@ select vec_id, band::int as band, round(list_sum(list_transform(range(9), lambda
 p as (select roi, corner::int as corner, (case when corner in (0, 1) then y0 else y1 end) - 53.0::double as y, (case when corner in (0, 3) then x0 else x1 end) - 4.0::double as x from b, (select unnest(range(4)) as corner))
 select roi, corner, round(y * {_TURN[0]} + x * {_TURN[1]} + 353, 6) as y, round(x * {_TURN[0]} - y * {_TURN[1]} + 124, 6) as x from p""",
     "scene_to_crop": f"select vec_id, round((y - 53) * {_TURN[0]} - (x - 4) * {_TURN[1]} + 53, 6) as v, round((x - 4) * {_TURN[0]} + (y - 53) * {_TURN[1]} + 4, 6) as u from (select vec_id, (vec_id // 25)::double as y, (vec_id % 25)::double as x from embeddings)",
-    "luminance_threshold": _cte() + ", q as (select vec_id, least(255, abs(s[45]) * 255) * 0.2126::double + least(255, abs(s[29]) * 255) * 0.7152::double + least(255, abs(s[13]) * 255) * 0.0722::double as light from px) select vec_id, light >= 12 * 2.55::double as bright, case when light >= 12 * 2.55::double then round(least(1, (light - 12 * 2.55::double) / (255 - 12 * 2.55::double)), 6) end as strength, case when light < 12 * 2.55::double then floor(light * 0.42::double + 0.5::double)::int end as level from q",
+    "luminance_threshold": _cte() + ", q as (select vec_id, least(255, abs(s[45]) * 255) * 0.2126::double + least(255, abs(s[29]) * 255) * 0.7152::double + least(255, abs(s[13]) * 255) * 0.0722::double as light from px) select vec_id, light / 255.0::double * 100.0::double >= 12 as bright from q",
     "evidence_check": """with b as (select item_id as i, text from benchmark), z as (select count(*) as n from b where i % 13 = 0 or i = 0)
 select i as "row", case when i % 13 = 0 then 'item-0' else 'item-' || i end as id, case when i % 13 = 0 and n > 1 then 'id given twice' when i % 11 = 5 then 'status' when i % 7 = 3 then 'command' when i % 9 = 4 then 'limitations'
 when i % 5 = 1 then 'path leaves its root' when i % 6 = 2 then 'artifact missing' when i % 8 = 6 then 'checksum' else 'ok' end as state from b, z""",

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions import spectral as S
-from ..operators import detect, learn, spatial, stats, unmix
+from ..operators import detect, learn, nets, spatial, stats, unmix
 from ..store import cut
 from .cubes import _target, cube
 
@@ -26,16 +25,23 @@ def pixel_features(spark, d):
     return _five(cube(spark, d)).select(F.col("pixel_id").alias("vec_id"), *[F.round(n, 6).alias(n) for n in _NAMES])
 
 
+def _detector(px):
+    return nets.fit_classifier(px, _NAMES, "gt", "pixel_id")
+
+
+def _values(px):
+    return px.withColumn("values", F.array(*_NAMES))
+
+
 def mlp_detector(spark, d):
     px = _five(cube(spark, d))
-    out = learn.probability(learn.fit_detector(px, _NAMES, "gt"), px, _NAMES, "p")
-    return out.select(F.col("pixel_id").alias("vec_id"), F.round("p", 6).alias("probability"))
+    return px.select(F.col("pixel_id").alias("vec_id"), F.round(nets.probability(_detector(px)), 6).alias("probability"))
 
 
 def mc_dropout_uncertainty(spark, d):
     px = _five(cube(spark, d))
-    mean, std = learn.dropout_passes(learn.fit_detector(px, _NAMES, "gt"), _NAMES, "pixel_id")
-    return px.select(F.col("pixel_id").alias("vec_id"), F.round(mean, 6).alias("mean"), F.round(std, 6).alias("std"))
+    mean, std = nets.passes(_detector(px), "values", "pixel_id")
+    return _values(px).select(F.col("pixel_id").alias("vec_id"), F.round(mean, 6).alias("mean"), F.round(std, 6).alias("std"))
 
 
 def cluster_unmix(spark, d):
@@ -48,8 +54,7 @@ def cluster_unmix(spark, d):
 
 def mlp_logits(spark, d):
     px = _five(cube(spark, d))
-    out = learn.logits(learn.fit_detector(px, _NAMES, "gt"), px, _NAMES)
-    return out.select(F.col("pixel_id").alias("vec_id"), F.round("logit", 6).alias("logit"))
+    return px.select(F.col("pixel_id").alias("vec_id"), F.round(nets.logit(_detector(px)), 6).alias("logit"))
 
 
 def abundance_regression(spark, d):
@@ -57,8 +62,35 @@ def abundance_regression(spark, d):
     px = cube(spark, d).withColumn("a", (F.col("pixel_id") * 37 % 101) / F.lit(200.0))
     mixed = px.withColumn("spectrum", S.implant(F.col("spectrum"), S.literal(_target(px)), F.col("a")))
     rows = _five(mixed).join(px.select("pixel_id", "a"), "pixel_id")
-    out = learn.fit_abundance(rows, _NAMES, "a").transform(rows.withColumn("features", array_to_vector(F.array(*_NAMES))))
-    return out.select(F.col("pixel_id").alias("vec_id"), F.round(S.clip(F.col("prediction"), 0.0, 1.0), 6).alias("abundance"))
+    net = nets.fit_regressor(rows, _NAMES, "a", "pixel_id")
+    guess = nets.outputs(net, "values")[0]
+    return _values(rows).select(F.col("pixel_id").alias("vec_id"), F.round(S.clip(guess, 0.0, 1.0), 6).alias("abundance"))
+
+
+def _odd(px):
+    """How badly a network trained on the scene alone makes a pixel anew."""
+    return nets.reconstruction_error(nets.fit_autoencoder(px, *stats.robust_bands(px)))
+
+
+def autoencoder_error(spark, d):
+    px = cube(spark, d)
+    return px.select(F.col("pixel_id").alias("vec_id"), F.round(_odd(px), 6).alias("error"))
+
+
+def _gated(px):
+    scored = cut(px.select("scene_id", "pixel_id", "y", "x", detect.matched_filter(stats.background(px), _target(px)).alias("score"), _odd(px).alias("odd")), "features")
+    q = learn.empirical_quantile(learn.empirical_quantile(scored, ["scene_id"], "score", "q"), ["scene_id"], "odd", "p")
+    return q.withColumn("score", F.col("q") * (0.5 + 0.5 * F.col("p")))
+
+
+def autoencoder_gated_score(spark, d):
+    """The filter's quantile, damped by that of the autoencoder's error."""
+    return _gated(cube(spark, d)).select(F.col("pixel_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def autoencoder_smoothed_score(spark, d):
+    out = spatial.gaussian_reflect(_gated(cube(spark, d)).select("scene_id", "y", "x", "score"), 1.5)
+    return out.select((F.col("y").cast("long") * 25 + F.col("x")).alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def smoothed_gated_score(spark, d):
@@ -73,4 +105,4 @@ def smoothed_gated_score(spark, d):
 
 
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (pixel_features, mlp_detector, mc_dropout_uncertainty, cluster_unmix, mlp_logits, abundance_regression, smoothed_gated_score)}
+QUERIES = {f.__name__: f for f in (pixel_features, mlp_detector, mc_dropout_uncertainty, cluster_unmix, mlp_logits, abundance_regression, smoothed_gated_score, autoencoder_error, autoencoder_gated_score, autoencoder_smoothed_score)}

@@ -305,8 +305,8 @@ def test_turned_crops_and_colours(spark):
     assert [(r["y"], r["x"]) for r in flat] == [(100, 40), (100, 44), (108, 44), (108, 40)]
     bands = spark.createDataFrame([(0, 440.0), (1, 460.0), (2, 650.0)], "band int, wavelength double")
     assert geometry.nearest_band(bands, 450.0).first()[0] == 0
-    lit = spark.createDataFrame([(255, 255, 255), (0, 0, 0)], "r int, g int, b int").select(geometry.luminance_view(F.col("r"), F.col("g"), F.col("b"), 50.0).alias("v")).select("v.*").collect()
-    assert lit[0]["bright"] and math.isclose(lit[0]["strength"], 1.0) and lit[0]["level"] is None and tuple(lit[1]) == (False, None, 0)
+    lit = spark.createDataFrame([(255, 255, 255), (0, 0, 0), (None, 0, 0)], "r int, g int, b int").select(geometry.at_least_luminance(F.col("r"), F.col("g"), F.col("b"), 50.0)).collect()
+    assert [r[0] for r in lit] == [True, False, None]
     cube = _pixels(spark, np.arange(1, 13, dtype=float).reshape(2, 2, 3))
     seen = geometry.composite(cube, {"r": 0}, F.col("pixel_id") == 3, 0.0, 1.0, 1.0).orderBy("pixel_id").collect()
     assert [round(r["r"], 9) for r in seen] == [0.0, 0.5, 1.0, 0.0]
@@ -343,25 +343,15 @@ def test_null_and_ragged_spectra(spark):
 def test_endmembers_ahead_along_the_reference_go(spark):
     ref = np.array([0.0, 1.0, 0.0])
     ends = np.array([[1.0, 0.2, 0.5], [1.0, 0.9, 0.5], [0.2, 0.3, 1.0]])
-    assert unmix.unlike_reference(ends, ref).tolist() == [False, True, True]  # the second lies ahead of the first by nothing but the reference
+    table = spark.createDataFrame(list(enumerate(ends.tolist())), "id long, spectrum array<double>")
+    ahead = {r["id"]: r["ahead"] for r in unmix.ahead_of_others(table, ref).collect()}
+    e = ends / ends.max(1, keepdims=True)
+    assert math.isclose(ahead[0], 1.0) and all(math.isclose(ahead[k], max((e[j] - e[k]) @ ref / np.linalg.norm(e[j] - e[k]) for j in range(3) if j != k)) for k in range(3))
+    assert unmix.ahead_of_others(table.where("id = 1"), ref).first()["ahead"] is None
     merged = unmix._merge(np.array([[1.0, 0.0], [0.999, 0.01], [0.0, 1.0]]), 0.005)
     assert len(merged) == 2 and np.allclose(merged[0], [0.9995, 0.005])
 
 
-def test_learned_logits_members_and_balance(spark):
-    rows = [(k, float(k % 7), float(k % 3), k % 10 == 0) for k in range(200)]
-    df = spark.createDataFrame(rows, "pixel_id long, a double, b double, y boolean")
-    assert learn.balanced(df, "y").groupBy("y").count().collect()[0]["count"] == 180 == learn.balanced(df, "y").where("y").count()
-    model = learn.fit_detector(df, ["a", "b"], "y", hidden=(3,), rounds=5)
-    both = learn.probability(model, learn.logits(model, df, ["a", "b"]), ["a", "b"], "p").collect()
-    assert np.allclose([r["p"] for r in both], [1 / (1 + math.exp(-r["logit"])) for r in both], atol=1e-9)
-    members = spark.createDataFrame([("x", -1.0), ("x", 2.0), ("y", 0.0)], "k string, logit double")
-    mean = (1 / (1 + math.e) + 1 / (1 + math.exp(-2))) / 2
-    assert {r["k"]: round(r["logit"], 9) for r in learn.ensemble(members, ["k"], "logit").collect()} == {"x": round(math.log(mean / (1 - mean)), 9), "y": 0.0}
-    fit = learn.fit_abundance(df.withColumn("t", F.col("a") * 2 + F.col("b") + 1), ["a", "b"], "t")
-    assert np.allclose(fit.coefficients.toArray(), [2, 1]) and math.isclose(fit.intercept, 1, abs_tol=1e-9)
-
-
 def test_protocols_listings_and_measured_spectra(spark, tmp_path):
     import json
 
