@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: ENVI's codes of number types.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
@@ -111,37 +112,80 @@ class _Lines(InputPartition):
 
 
 class EnviReader(DataSourceReader):
+    """Reads the lines, samples and bands that are asked for and no other bytes of the cube."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.header = parse_header(Path(self.path).read_text())
         self.binary = options.get("binary") or str(binary_of(self.path))
         self.parts = int(options.get("partitions", "8"))
+        lines, samples, bands = self.header.shape
+        self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else list(range(bands))
+        if any(not 0 <= b < bands for b in self.bands):
+            raise ValueError(f"bands are from 0 to {bands - 1}")
+        self.ranges = {"y": (0, lines), "x": (0, samples)}
         if options.get("strict", "true").lower() == "true":
             want = int(np.prod(self.header.shape)) * self.header.dtype.itemsize + self.header.number("header offset", 0)
             if Path(self.binary).stat().st_size != want:
                 raise ValueError(f"{self.binary} should have {want} bytes")
 
+    def pushFilters(self, filters):
+        """Comparisons of y and x with numbers narrow what is read. All filters are left to Spark, too."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            if name in self.ranges:
+                low, high = self.ranges[name]
+                if isinstance(f, In) and f.value and all(v is not None for v in f.value):
+                    low, high = max(low, math.ceil(min(f.value))), min(high, math.floor(max(f.value)) + 1)
+                elif isinstance(value, (int, float)) and math.isfinite(value):
+                    if isinstance(f, (EqualTo, EqualNullSafe, GreaterThanOrEqual)):
+                        low = max(low, math.ceil(value))
+                    elif isinstance(f, GreaterThan):
+                        low = max(low, math.floor(value) + 1)
+                    if isinstance(f, (EqualTo, EqualNullSafe, LessThanOrEqual)):
+                        high = min(high, math.floor(value) + 1)
+                    elif isinstance(f, LessThan):
+                        high = min(high, math.ceil(value))
+                self.ranges[name] = low, max(low, high)
+            yield f
+
     def partitions(self):
-        lines = self.header.shape[0]
-        step = max(1, -(-lines // self.parts))
-        return [_Lines(a, min(lines, a + step)) for a in range(0, lines, step)]
+        first, last = self.ranges["y"]
+        step = max(1, -(-(last - first) // self.parts))
+        return [_Lines(a, min(last, a + step)) for a in range(first, last, step)] or [_Lines(first, first)]
 
-    def read(self, part):
+    def _line(self, file, y: int) -> np.ndarray:
+        """Samples by bands of one line."""
         h, (lines, samples, bands) = self.header, self.header.shape
-        order = {"bsq": (bands, lines, samples), "bil": (lines, bands, samples), "bip": (lines, samples, bands)}[h.interleave]
-        data = np.memmap(self.binary, h.dtype, "r", h.number("header offset", 0), order)
-        for y in range(part.first, part.last):
-            line = {"bsq": lambda: data[:, y, :].T, "bil": lambda: data[y].T, "bip": lambda: data[y]}[h.interleave]()
-            flat = pa.array(np.ascontiguousarray(line, float).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(samples) + y * samples), pa.array(np.full(samples, y, np.int32)), pa.array(np.arange(samples, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(samples + 1, dtype=np.int32) * bands), flat)],
-                names=["pixel_id", "y", "x", "spectrum"],
-            )
+        left, right = self.ranges["x"]
+        start, item = h.number("header offset", 0), h.dtype.itemsize
+
+        def values(at: int, count: int) -> np.ndarray:
+            file.seek(start + at * item)
+            return np.frombuffer(file.read(count * item), h.dtype)
+
+        if h.interleave == "bip":
+            return values((y * samples + left) * bands, (right - left) * bands).reshape(-1, bands)[:, self.bands]
+        place = (lambda b: (b * lines + y) * samples) if h.interleave == "bsq" else (lambda b: (y * bands + b) * samples)
+        return np.stack([values(place(b) + left, right - left) for b in self.bands], 1)
+
+    def read(self, part):
+        samples, (left, right) = self.header.shape[1], self.ranges["x"]
+        if left >= right or part.first >= part.last:
+            return
+        x = np.arange(left, right)
+        with open(self.binary, "rb") as file:
+            for y in range(part.first, part.last):
+                flat = pa.array(np.ascontiguousarray(self._line(file, y), float).ravel())
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(self.bands))
+                yield pa.RecordBatch.from_arrays([pa.array(x + y * samples), pa.array(np.full(len(x), y, np.int32)), pa.array(x.astype(np.int32)), pa.ListArray.from_arrays(ends, flat)], names=["pixel_id", "y", "x", "spectrum"])
 
 
 class EnviSource(DataSource):
-    """Options: ``path`` (the header), ``binary``, ``partitions``, ``strict``. Paths are those of a file
-    system that every executor mounts."""
+    """Options: ``path`` (the header), ``binary``, ``partitions``, ``strict`` and ``bands`` (numbers from 0,
+    with commas; all if there are none). Where ``spark.sql.python.filterPushdown.enabled`` is set,
+    filters on y and x choose what is read. Paths are those of a file system that every executor mounts."""
 
     @classmethod
     def name(cls) -> str:
