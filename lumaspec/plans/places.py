@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spectral as S
 from ..operators import evaluate, geometry, metrics, noise, relate
+from ..sources import publication
 from ..store import cut
 from .cubes import cube
 from .scenes import _A, _CELLS, _HOSTS, _KERNEL, _filtered, _list, _moved, _smooth, _weights
@@ -117,6 +119,32 @@ def temperature_by_source(spark, d):
     return _r(held.groupBy("source").agg(metrics.nll("q", "y").alias("nll"), metrics.brier("q", "y").alias("brier")), 5)
 
 
+def _documents(spark, d):
+    """``scene, report``: a nested JSON per scene, of each method's lead over the mean of all methods."""
+    from .tables import _runs
+
+    runs = _runs(spark, d)
+    lead = F.col("auc") - F.avg("auc").over(Window.partitionBy("scene", "snr", "seed"))
+    each = runs.withColumn("lead", F.round(lead, 9)).groupBy("scene", "method").agg(F.round(F.avg("lead"), 9).alias("mean"), F.round(F.stddev_pop("lead") / F.sqrt(F.count("*")), 9).alias("e"), F.count("*").alias("runs"))
+    each = each.select("scene", "method", F.struct("mean", F.round(F.col("mean") - 2 * F.col("e"), 9).alias("ci_low"), F.round(F.col("mean") + 2 * F.col("e"), 9).alias("ci_high")).alias("auc"), "runs")
+    whole = each.groupBy("scene").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", F.struct("auc", "runs"))))).alias("comparison"), F.sum("runs").alias("runs"))
+    return whole.select("scene", F.to_json(F.struct("comparison", F.struct("runs", F.lit(True).alias("passed")).alias("gate"), F.array(F.lit("a.b"), F.lit(None).cast("string")).alias("notes")), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def result_leaves(spark, d):
+    return _r(publication.leaves(_documents(spark, d), "scene", "report").drop("value"))
+
+
+_METHODS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def publication_rows(spark, d):
+    """A table of leads by scene and method, some turned, with single values and one that isn't there."""
+    wanted = [publication.Entry(f"{scene} {m}", scene, f"comparison.{m}.auc", turned=m == "5-LOW") for scene in "FOP" for m in _METHODS]
+    wanted += [publication.Entry(f"runs {scene}", scene, "gate.runs", single=True) for scene in "FOP"] + [publication.Entry("gate", "F", "gate.passed", single=True), publication.Entry("nowhere", "F", "comparison.none.auc")]
+    return _r(publication.entries(publication.leaves(_documents(spark, d), "scene", "report"), "scene", wanted))
+
+
 # ---- SQL -------------------------------------------------------------------------------------
 
 _PX = "px0 as materialized (select vec_id, vec_id // 25 as y, vec_id % 25 as x, embedding::double[] as s, label from embeddings)"
@@ -141,7 +169,24 @@ au as (select sensor, level, seed, (sum(case when gt then rk end) - count_if(gt)
 runs as materialized (select sensor, level, far, seed, avg((z > t)::int) as pd, any_value(auc) as auc, count(*)::bigint as positives from sc join th using (sensor) join au using (sensor, level, seed) where part = 'evaluate' and gt group by sensor, level, far, seed)"""
 )
 
+_LEADS = (
+    "runs as (select o_orderstatus as scene, o_orderpriority as method, (o_custkey % 4 * 5)::double as snr, o_custkey % 6 as seed, round(avg(o_totalprice) / 500000, 9) as auc from orders group by all), "
+    "ld as (select scene, method, round(auc - avg(auc) over (partition by scene, snr, seed), 9) as lead from runs), "
+    "ag as (select scene, method, round(avg(lead), 9) as mean, round(stddev_pop(lead) / sqrt(count(*)), 9) as e, count(*) as runs from ld group by all), "
+    "iv as (select scene, method, mean, round(mean - 2 * e, 9) as ci_low, round(mean + 2 * e, 9) as ci_high, runs from ag), tt as (select scene, sum(runs) as runs from iv group by scene)"
+)
+
 SQL = {
+    "result_leaves": f"""with {_LEADS}, l as (
+  select scene, 'comparison.' || method || '.auc.' || part as path, v::double as number, null::varchar as t from (unpivot iv on mean, ci_low, ci_high into name part value v)
+  union all select scene, 'comparison.' || method || '.runs', runs::double, runs::varchar from iv union all select scene, 'gate.runs', runs::double, runs::varchar from tt
+  union all select scene, 'gate.passed', 1.0, 'true' from tt union all select scene, 'notes.0', null, 'a.b' from tt union all select scene, 'notes.1', null, null from tt)
+select scene, path, round(number, 6) as number from l""",
+    "publication_rows": f"""with {_LEADS}, w as (select *, (row_number() over (order by scene, method) - 1)::int as place from iv)
+select place, scene || ' ' || method as name, round(case when method = '5-LOW' then -mean else mean end, 6) as estimate, round(case when method = '5-LOW' then -ci_high else ci_low end, 6) as low, round(case when method = '5-LOW' then -ci_low else ci_high end, 6) as high,
+  ci_low <= 0 and ci_high >= 0 as crosses_zero, case when case when method = '5-LOW' then -ci_high else ci_low end > 0 then 'advantage' when case when method = '5-LOW' then -ci_low else ci_high end < 0 then 'disadvantage' else 'inconclusive' end as verdict, scene || ':comparison.' || method || '.auc' as source from w
+union all select (14 + row_number() over (order by scene))::int, 'runs ' || scene, runs::double, null, null, null, 'value', scene || ':gate.runs' from tt
+union all select 18, 'gate', 1.0, null, null, null, 'value', 'F:gate.passed' union all select 19, 'nowhere', null, null, null, null, 'missing', 'F:comparison.none.auc'""",
     "bracketing_join": f"""with {_PX}, k as (select vec_id, 400.0::double + b * (600.0::double / 63) as nm, v as value from (select vec_id, unnest(range(64)) as b, unnest(s) as v from px0)),
 q as (select vec_id, unnest([390.0, 400.0, 523.7, 610.0, 760.05, 999.0, 1010.0]::double[]) as nm from px0),
 b as (select q.vec_id, q.nm, k.nm as x0, k.value as y0 from q asof left join k on q.vec_id = k.vec_id and q.nm >= k.nm),
@@ -164,4 +209,4 @@ li as (select sensor, far, min(case when p >= 0.5 then level end) as nominal_cro
 rm as (select sensor, far, avg(realized_far) as r, avg(realized_far) <= far as ok from real group by sensor, far)
 select sensor, far, ok as budget_valid, nominal_crossing, conservative_crossing, case when ok then nominal_crossing end as nominal_limit, case when ok then conservative_crossing end as conservative_limit, round(r, 6) as realized_far from li join rm using (sensor, far)""",
 }
-QUERIES = {f.__name__: f for f in (bracketing_join, last_and_next_event, means_in_boxes, means_in_turned_boxes, turned_cube, shared_noise, detection_limit_runs, detection_limits, temperature_by_source)}
+QUERIES = {f.__name__: f for f in (bracketing_join, last_and_next_event, means_in_boxes, means_in_turned_boxes, turned_cube, shared_noise, detection_limit_runs, detection_limits, temperature_by_source, result_leaves, publication_rows)}

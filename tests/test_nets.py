@@ -171,7 +171,7 @@ def test_versions_of_a_network_side_by_side_in_batch_and_stream(spark, tmp_path)
 
 def test_quantiles_of_bands_without_sorting(spark):
     rng = np.random.default_rng(8)
-    x = np.round(rng.normal(size=(9000, 3)) * [1, 1e-9, 1e9], 2 if False else 12)
+    x = np.round(rng.normal(size=(9000, 3)) * [1, 1e-9, 1e9], 12)
     x[:6000, 0] = 1.25  # more of one value than are gathered
     x[:20, 2] = np.nan
     df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,), ([None, 1.0, 2.0],)], "spectrum array<double>")
