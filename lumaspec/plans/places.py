@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spectral as S
-from ..operators import evaluate, geometry, metrics, noise, relate
+from ..operators import evaluate, geometry, metrics, noise, relate, scenes, stats
 from ..sources import publication
 from ..store import cut
 from .cubes import cube
-from .scenes import _A, _CELLS, _HOSTS, _KERNEL, _filtered, _list, _moved, _smooth, _weights
+from .scenes import _A, _ACE, _CELLS, _HOSTS, _KERNEL, _filtered, _list, _moved, _smooth, _weights
 
 
 def _r(df, digits: int = 6):
@@ -145,6 +145,16 @@ def publication_rows(spark, d):
     return _r(publication.entries(publication.leaves(_documents(spark, d), "scene", "report"), "scene", wanted))
 
 
+def split_predictions(spark, d):
+    """What methods say of every mixed pixel that holds some of the target, beside the truth, by split."""
+    px = cube(spark, d).withColumn("truth", (F.col("pixel_id") * 37 % 101) / F.lit(200.0))
+    t = stats.mean_spectrum(px, F.col("label") == 3)
+    mixed = px.withColumn("spectrum", S.implant(F.col("spectrum"), S.literal(t), F.col("truth"))).withColumn("split", evaluate.split_of(F.col("pixel_id")))
+    methods = [scenes.Method("matched_filter", "matched_filter", "t"), scenes.Method("ace", "ace", "t"), scenes.Method("angle", "angle", "t")]
+    scored = scenes.score_methods(mixed, {"t": [t]}, methods, ["pixel_id", "split", "truth"]).where("truth > 0.02")
+    return _r(scored.withColumnRenamed("pixel_id", "vec_id").unpivot(["vec_id", "split", "truth"], [m.name for m in methods], "method", "raw"))
+
+
 # ---- SQL -------------------------------------------------------------------------------------
 
 _PX = "px0 as materialized (select vec_id, vec_id // 25 as y, vec_id % 25 as x, embedding::double[] as s, label from embeddings)"
@@ -177,6 +187,12 @@ _LEADS = (
 )
 
 SQL = {
+    "split_predictions": f"""with recursive {_PX}, kn as (select list(m order by b) as t from (select b, avg(v) as m from (select unnest(range(1, 65)) as b, unnest(s) as v from px0 where label = 3) group by b)),
+px as materialized (select vec_id, 'one' as cell, t, (vec_id * 37 % 101) / 200.0::double as truth, list_transform(range(1, 65), lambda i: s[i] + (vec_id * 37 % 101) / 200.0::double * (t[i] - s[i])) as s from px0, kn),
+""" + ",\n".join((_CELLS, "cells as (select cell, any_value(t) as t from px group by cell)", _weights("w1", "t"), _filtered("mf", "w1"), _ACE)) + """,
+a as (select vec_id, 'matched_filter' as method, score as raw from mf union all select vec_id, 'ace', score from ac
+  union all select vec_id, 'angle', list_dot_product(s, t) / ((sqrt(list_dot_product(s, s)) + 1e-12) * (sqrt(list_dot_product(t, t)) + 1e-12)) from px)
+select vec_id, ['fit', 'calibrate', 'evaluate'][vec_id % 3 + 1] as split, truth, method, round(raw, 6) as raw from a join px using (vec_id) where truth > 0.02""",
     "result_leaves": f"""with {_LEADS}, l as (
   select scene, 'comparison.' || method || '.auc.' || part as path, v::double as number, null::varchar as t from (unpivot iv on mean, ci_low, ci_high into name part value v)
   union all select scene, 'comparison.' || method || '.runs', runs::double, runs::varchar from iv union all select scene, 'gate.runs', runs::double, runs::varchar from tt
@@ -209,4 +225,4 @@ li as (select sensor, far, min(case when p >= 0.5 then level end) as nominal_cro
 rm as (select sensor, far, avg(realized_far) as r, avg(realized_far) <= far as ok from real group by sensor, far)
 select sensor, far, ok as budget_valid, nominal_crossing, conservative_crossing, case when ok then nominal_crossing end as nominal_limit, case when ok then conservative_crossing end as conservative_limit, round(r, 6) as realized_far from li join rm using (sensor, far)""",
 }
-QUERIES = {f.__name__: f for f in (bracketing_join, last_and_next_event, means_in_boxes, means_in_turned_boxes, turned_cube, shared_noise, detection_limit_runs, detection_limits, temperature_by_source, result_leaves, publication_rows)}
+QUERIES = {f.__name__: f for f in (bracketing_join, last_and_next_event, means_in_boxes, means_in_turned_boxes, turned_cube, shared_noise, detection_limit_runs, detection_limits, temperature_by_source, result_leaves, publication_rows, split_predictions)}
