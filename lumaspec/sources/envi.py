@@ -129,27 +129,6 @@ class EnviReader(DataSourceReader):
             if Path(self.binary).stat().st_size != want:
                 raise ValueError(f"{self.binary} should have {want} bytes")
 
-    def pushFilters(self, filters):
-        """Comparisons of y and x with numbers narrow what is read. All filters are left to Spark, too."""
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            value = getattr(f, "value", None)
-            if name in self.ranges:
-                low, high = self.ranges[name]
-                if isinstance(f, In) and f.value and all(v is not None for v in f.value):
-                    low, high = max(low, math.ceil(min(f.value))), min(high, math.floor(max(f.value)) + 1)
-                elif isinstance(value, (int, float)) and math.isfinite(value):
-                    if isinstance(f, (EqualTo, EqualNullSafe, GreaterThanOrEqual)):
-                        low = max(low, math.ceil(value))
-                    elif isinstance(f, GreaterThan):
-                        low = max(low, math.floor(value) + 1)
-                    if isinstance(f, (EqualTo, EqualNullSafe, LessThanOrEqual)):
-                        high = min(high, math.floor(value) + 1)
-                    elif isinstance(f, LessThan):
-                        high = min(high, math.ceil(value))
-                self.ranges[name] = low, max(low, high)
-            yield f
-
     def partitions(self):
         first, last = self.ranges["y"]
         step = max(1, -(-(last - first) // self.parts))
@@ -182,10 +161,35 @@ class EnviReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(x + y * samples), pa.array(np.full(len(x), y, np.int32)), pa.array(x.astype(np.int32)), pa.ListArray.from_arrays(ends, flat)], names=["pixel_id", "y", "x", "spectrum"])
 
 
+class PruningEnviReader(EnviReader):
+    """Spark refuses a reader that takes filters unless it is set to offer them."""
+
+    def pushFilters(self, filters):
+        """Comparisons of y and x with numbers narrow what is read. All filters are left to Spark, too."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            if name in self.ranges:
+                low, high = self.ranges[name]
+                if isinstance(f, In) and f.value and all(v is not None for v in f.value):
+                    low, high = max(low, math.ceil(min(f.value))), min(high, math.floor(max(f.value)) + 1)
+                elif isinstance(value, (int, float)) and math.isfinite(value):
+                    if isinstance(f, (EqualTo, EqualNullSafe, GreaterThanOrEqual)):
+                        low = max(low, math.ceil(value))
+                    elif isinstance(f, GreaterThan):
+                        low = max(low, math.floor(value) + 1)
+                    if isinstance(f, (EqualTo, EqualNullSafe, LessThanOrEqual)):
+                        high = min(high, math.floor(value) + 1)
+                    elif isinstance(f, LessThan):
+                        high = min(high, math.ceil(value))
+                self.ranges[name] = low, max(low, high)
+            yield f
+
+
 class EnviSource(DataSource):
     """Options: ``path`` (the header), ``binary``, ``partitions``, ``strict`` and ``bands`` (numbers from 0,
-    with commas; all if there are none). Where ``spark.sql.python.filterPushdown.enabled`` is set,
-    filters on y and x choose what is read. Paths are those of a file system that every executor mounts."""
+    with commas; all if there are none), and ``pruning``: with it, and with
+    ``spark.sql.python.filterPushdown.enabled`` set, filters on y and x choose what is read. Paths are those of a file system that every executor mounts."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,15 +199,21 @@ class EnviSource(DataSource):
         return "pixel_id long, y int, x int, spectrum array<double>"
 
     def reader(self, schema):
-        return EnviReader(self.options)
+        return (PruningEnviReader if self.options.get("pruning", "false").lower() == "true" else EnviReader)(self.options)
+
+
+def load_cube(spark, header: str, **options):
+    """The pixels of a cube; filters on y and x choose what is read where Spark is set to offer them."""
+    spark.dataSource.register(EnviSource)
+    offered = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("envi").options(pruning=offered, **options).load(header)
 
 
 def load_normalised(spark, header: str, scene: str = "scene", **options):
     """The pixels of a cube under one scene id, scaled to 0 to 1."""
     from pyspark.sql import functions as F
 
-    spark.dataSource.register(EnviSource)
-    pixels = spark.read.format("envi").options(**options).load(header)
+    pixels = load_cube(spark, header, **options)
     return normalise(pixels.select(F.lit(scene).alias("scene_id"), "*"))
 
 

@@ -93,7 +93,7 @@ class _Counted:
 @pytest.mark.parametrize("filters, lines, samples", [([], (0, 12), (0, 7)), ([GreaterThanOrEqual(("y",), 3), LessThan(("y",), 5)], (3, 5), (0, 7)), ([EqualTo(("y",), 4), GreaterThan(("x",), 1), LessThanOrEqual(("x",), 4.5)], (4, 5), (2, 5)), ([In(("y",), (2, 6)), EqualTo(("pixel_id",), 3)], (2, 7), (0, 7)), ([GreaterThan(("y",), 40)], (0, 0), (0, 7))])
 def test_filters_read_their_lines_and_samples_alone(cube, monkeypatch, order, filters, lines, samples):
     d, x = cube
-    reader = envi.EnviReader({"path": str(d / f"{order}.hdr"), "partitions": "3", "bands": "1,3"})
+    reader = envi.PruningEnviReader({"path": str(d / f"{order}.hdr"), "partitions": "3", "bands": "1,3"})
     assert list(reader.pushFilters(filters)) == filters  # Spark holds rows against them all the same
     files, plain = [], builtins.open
     monkeypatch.setattr(builtins, "open", lambda *a, **k: files.append(_Counted(plain(*a, **k))) or files[-1])
@@ -106,12 +106,12 @@ def test_filters_read_their_lines_and_samples_alone(cube, monkeypatch, order, fi
 
 def test_filters_reach_the_source(spark, cube):
     d, x = cube
-    spark.dataSource.register(envi.EnviSource)
+    assert envi.load_cube(spark, str(d / "bil.hdr"), partitions=12).where("y >= 10 and x = 6").count() == 2
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        df = spark.read.format("envi").options(partitions=12).load(str(d / "bil.hdr")).where("y >= 10 and x = 6")
+        df = envi.load_cube(spark, str(d / "bil.hdr"), partitions=12).where("y >= 10 and x = 6")
         assert df.rdd.getNumPartitions() == 2 and [r["spectrum"] for r in df.orderBy("y").collect()] == x[10:, 6].tolist()
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     with pytest.raises(Exception):
-        spark.read.format("envi").options(bands="9").load(str(d / "bil.hdr")).count()
+        envi.load_cube(spark, str(d / "bil.hdr"), bands="9").count()
