@@ -21,7 +21,7 @@ _BEFORE_SIGN = f"([{_LETTERS}])([,.!?:;%*#$&])"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _PROBES = ("It's a word, and (two) more: 12,5 % of x-y!", "  Déjà vu...\n\n\tÜber 3.14   fin. ", "a,b.c;d 'll I'll you've «q» ½ 字字 éå,", "x\r\n y  z - -- ,,.. !?")
 _CHUNK_CHARS = 1 << 22
-_CACHE_WORDS = 350_000  # in each of two generations
+_CACHE_WORDS = 200_000  # in each of two generations
 _CACHE_CHARS = 100
 
 
