@@ -41,7 +41,8 @@ def gaussian_reflect(scores: DataFrame, sigma: float, value: str = "score", tile
 def gaussian_maps(scores: DataFrame, maps: dict[str, tuple[str, float]], tile: int = 256) -> DataFrame:
     """``scene_id, y, x`` and a smoothed column per entry of ``maps`` (name to value and sigma), in one pass.
 
-    Scenes are dealt into square tiles, each with the pixels that its edge needs from its
+    A pixel that isn't there (a last row need not be full) is 0 in either direction; one that is null or
+    NaN makes what it reaches null. Scenes are dealt into square tiles, each with the pixels that its edge needs from its
     neighbours, and a tile is smoothed along y and then x; no task holds a whole scene.
     """
     taps = {name: gaussian_taps(sigma) for name, (_, sigma) in maps.items()}
@@ -57,8 +58,10 @@ def gaussian_maps(scores: DataFrame, maps: dict[str, tuple[str, float]], tile: i
         (h, top, bottom, y0, y1), (w, left, right, x0, x1) = place["y"], place["x"]
         own = frame[frame["y"].between(top, bottom - 1) & frame["x"].between(left, right - 1)]
         out_rows = own[["scene_id", "y", "x"]].copy()
+        there = np.zeros((y1 - y0, x1 - x0), bool)
+        there[frame["y"] - y0, frame["x"] - x0] = True
         for name, (of, _) in maps.items():
-            image = np.full((y1 - y0, x1 - x0), np.nan)
+            image = np.zeros(there.shape)
             image[frame["y"] - y0, frame["x"] - x0] = frame[of]
             for axis, size, first, last, start in ((0, h, top, bottom, y0), (1, w, left, right, x0)):
                 out = 0.0
@@ -66,7 +69,7 @@ def gaussian_maps(scores: DataFrame, maps: dict[str, tuple[str, float]], tile: i
                     at = np.mod(np.arange(first, last) + o, 2 * size)
                     at = np.where(at >= size, 2 * size - 1 - at, at)
                     out = out + weight * np.take(image, at - start, axis)
-                image = out
+                image = out if axis else np.where(there[top - y0 : bottom - y0], out, 0.0)
             out_rows[name] = image[own["y"] - top, own["x"] - left]
         return out_rows
 
@@ -77,7 +80,7 @@ def gaussian_maps(scores: DataFrame, maps: dict[str, tuple[str, float]], tile: i
         return F.explode(F.sequence(F.floor(F.greatest(at - radius, F.lit(0)) / side), F.floor(F.least(at + radius, F.col(size) - 1) / side)))
 
     dealt = sized.withColumn("ty_", tiles("y", "h_")).withColumn("tx_", tiles("x", "w_"))
-    schema = scores.select("scene_id", "y", "x", *[F.lit(0.0).alias(name) for name in maps]).schema
+    schema = scores.select("scene_id", "y", "x", *[F.lit(None).cast("double").alias(name) for name in maps]).schema
     return dealt.groupBy("scene_id", "ty_", "tx_").applyInPandas(run, schema)
 
 

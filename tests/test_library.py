@@ -215,6 +215,38 @@ def test_smoothing_in_pieces_is_that_of_the_whole(spark):
     assert np.allclose(_smoothed(turned, 6, 21), want.T, atol=1e-12, equal_nan=True)  # long rows
 
 
+def _passes_with_gaps(image, there, axes, kernel):
+    """Smoothed along the axes in turn, a missing pixel being 0 in either."""
+    out = np.where(there, image, 0.0)
+    for axis in axes:
+        out = np.where(there, np.moveaxis(np.tensordot(kernel(image.shape[axis]), out, (1, axis)), 0, axis), 0.0)
+    return np.where(there, out, np.nan)
+
+
+def _reflecting(n, sigma):
+    k = np.zeros((n, n))
+    for row in range(n):
+        for o, w in spatial.gaussian_taps(sigma):
+            at = (row + o) % (2 * n)
+            k[row, at if at < n else 2 * n - 1 - at] += w
+    return k
+
+
+def test_a_last_row_that_is_not_full_is_smoothed(spark):
+    image = np.random.default_rng(6).normal(size=(21, 6))
+    there = np.ones((21, 6), bool)
+    there[20, 2:] = there[7, 4] = False
+    cells = [("s", y, x, float(image[y, x])) for y, x in np.argwhere(there).tolist()]
+    df = spark.createDataFrame(cells, "scene_id string, y int, x int, score double").withColumn("scene_id", F.lit("s"))
+    df = df.withColumn("score", F.coalesce("score", F.lit(0.0)))  # neither column may be null, as with a cube's scores
+    want = _passes_with_gaps(image, there, (0, 1), lambda n: _reflecting(n, 0.8))
+    for tile in (8, 256):
+        assert np.allclose(_smoothed(spatial.gaussian_reflect(df, 0.8, tile=tile), 21, 6), want, atol=1e-13, equal_nan=True), tile
+    holed = df.withColumn("score", F.when((F.col("y") > 0) | (F.col("x") > 0), F.col("score")))
+    got = _smoothed(spatial.gaussian_reflect(holed, 0.8), 21, 6)
+    assert np.isnan(got[0, 0]) and np.allclose(got[8:], want[8:], atol=1e-13, equal_nan=True)
+
+
 def test_medians_hold_no_group_in_one_buffer(spark):
     x = np.random.default_rng(5).integers(0, 40, 301) / 7
     df = spark.createDataFrame([("a" if k < 250 else "b", float(v)) for k, v in enumerate(x)] + [("a", None)], "g string, v double").repartition(3)
