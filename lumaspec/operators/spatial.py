@@ -183,18 +183,21 @@ def _long_pass(df: DataFrame, axis: str, sigma: float, value: str, all_pixels: b
     return found.join(sizes, F.col("s_").eqNullSafe(F.col("t_"))).select(F.col("s_").alias("scene_id"), "y", "x", value, "own_", "bad_", "h_", "w_")
 
 
-def gaussian_periodic(scores: DataFrame, sigma: float, value: str = "score", longest: int = 1 << 20) -> DataFrame:
+def gaussian_periodic(scores: DataFrame, sigma: float, value: str = "score", longest: int = 1 << 20, carried: bool = True) -> DataFrame:
     """As :func:`gaussian_reflect`, with edges that meet, by the transfer function in frequency.
 
     The function ends at the highest frequency, so that the kernel falls with the square of the
     distance only and can't be cut: lines are transformed whole, along x and then y. Tasks take
     bands of lines of about ``longest`` pixels; a line longer than that is transformed in two steps
     over groups of about its root. A missing pixel is 0; one that is null or NaN makes its scene null.
+    What the first pass gives to a missing pixel goes into the second one unless ``carried`` is false:
+    then it is 0 again, and y comes first.
     """
     sized = _sized(scores, value)
     most = scores.agg(F.max("y").cast("long") + 1, F.max("x").cast("long") + 1).first()
     df = sized.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.when(F.col("bad_"), 0.0).otherwise(F.col(value)).alias(value), F.lit(True).alias("own_"), "bad_", "h_", "w_")
-    for axis, size, top, rest in (("x", "w_", most[1], True), ("y", "h_", most[0], False)):
+    x, y = ("x", "w_", most[1]), ("y", "h_", most[0])
+    for axis, size, top, rest in ((*x, True), (*y, False)) if carried else ((*y, False), (*x, False)):
         short = _line_pass(df.where(F.col(size) <= longest), axis, sigma, value, rest, longest)
         df = short.unionByName(_long_pass(df.where(F.col(size) > longest), axis, sigma, value, rest)) if (top or 0) > longest else short
     kinds = dict(scores.dtypes)

@@ -247,6 +247,17 @@ def test_a_last_row_that_is_not_full_is_smoothed(spark):
     assert np.isnan(got[0, 0]) and np.allclose(got[8:], want[8:], atol=1e-13, equal_nan=True)
 
 
+def test_missing_pixels_carry_nothing_between_passes(spark):
+    image = np.random.default_rng(7).normal(size=(21, 6))
+    there = np.ones((21, 6), bool)
+    there[20, 2:] = there[7, 4] = False
+    df = spark.createDataFrame([("s", y, x, float(image[y, x])) for y, x in np.argwhere(there).tolist()], "scene_id string, y int, x int, score double")
+    kernel = lambda n: np.fft.ifft(np.fft.fft(np.eye(n), axis=0) * np.exp(-2 * np.pi**2 * np.fft.fftfreq(n)[:, None] ** 2), axis=0).real
+    want = _passes_with_gaps(image, there, (0, 1), kernel)
+    for longest in (1 << 20, 10):
+        assert np.allclose(_smoothed(spatial.gaussian_periodic(df, 1.0, longest=longest, carried=False), 21, 6), want, atol=1e-12, equal_nan=True), longest
+
+
 def test_medians_hold_no_group_in_one_buffer(spark):
     x = np.random.default_rng(5).integers(0, 40, 301) / 7
     df = spark.createDataFrame([("a" if k < 250 else "b", float(v)) for k, v in enumerate(x)] + [("a", None)], "g string, v double").repartition(3)
