@@ -120,7 +120,7 @@ def other_method_pairs(spark, d):
 
 def pooled_reliability(spark, d):
     rows = _scored(spark, d).withColumn("kind", F.col("doc_id") % 3)
-    return _r(metrics.reliability(rows, "p", "y", 5, ["kind"]))
+    return _r(metrics.reliability(rows, "p", "y", 5, ["kind"], metrics.scaled_index))
 
 
 def physical_family(spark, d):

@@ -247,6 +247,12 @@ def test_a_last_row_that_is_not_full_is_smoothed(spark):
     assert np.isnan(got[0, 0]) and np.allclose(got[8:], want[8:], atol=1e-13, equal_nan=True)
 
 
+def test_edges_that_no_double_states(spark):
+    rows = spark.createDataFrame([(0.6, 1), (0.59, 0), (0.8, 1), (1.0, 0), (0.2, 1)], "p double, y int")
+    got = {r["bin"]: r["count"] for r in metrics.reliability(rows, "p", "y", 5, index=metrics.scaled_index).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 2}
+
+
 def test_missing_pixels_carry_nothing_between_passes(spark):
     image = np.random.default_rng(7).normal(size=(21, 6))
     there = np.ones((21, 6), bool)
