@@ -134,10 +134,24 @@ def turned_crop(pixels: DataFrame, crop: TurnedCrop, value: str = "score", tile:
     return needed.groupBy("scene_id", "ty", "tx").cogroup(tiles.groupBy("of", "oy", "ox")).applyInArrow(gather, f"scene_id string, y int, x int, `{value}` {kind}")
 
 
-#: Weights of red, green and blue in luminance (Rec. 709).
+#: Weights of red, green and blue in luminance (Rec. 709), and what muted grey keeps of it.
 LUMINANCE = (0.2126, 0.7152, 0.0722)
+MUTED = 0.42
 
 
 def at_least_luminance(red: Column, green: Column, blue: Column, threshold: float) -> Column:
     """Whether the luminance of colours from 0 to 255 reaches a threshold from 0 to 100."""
     return (red * LUMINANCE[0] + green * LUMINANCE[1] + blue * LUMINANCE[2]) / 255.0 * 100.0 >= threshold
+
+
+def luminance_view(red: Column, green: Column, blue: Column, threshold: float) -> Column:
+    """``bright, strength, level`` of colours from 0 to 255: whether the luminance reaches the
+    threshold (0 to 100), how far beyond it lies from 0 to 1, and the muted grey of the rest."""
+    light = red * LUMINANCE[0] + green * LUMINANCE[1] + blue * LUMINANCE[2]
+    cut = threshold * 2.55
+    bright = light >= cut
+    return F.struct(
+        bright.alias("bright"),
+        F.when(bright, F.least(F.lit(1.0), (light - cut) / F.lit(max(1.0, 255 - cut)))).alias("strength"),
+        F.when(~bright, F.floor(light * MUTED + 0.5).cast("int")).alias("level"),
+    )

@@ -247,6 +247,17 @@ def test_a_last_row_that_is_not_full_is_smoothed(spark):
     assert np.isnan(got[0, 0]) and np.allclose(got[8:], want[8:], atol=1e-13, equal_nan=True)
 
 
+def test_luminance_tells_the_strength_and_the_grey(spark):
+    lit = spark.createDataFrame([(255, 255, 255), (100, 100, 100), (0, 0, 0), (None, 0, 0)], "r int, g int, b int")
+    got = [r["v"] for r in lit.select(geometry.luminance_view(F.col("r"), F.col("g"), F.col("b"), 20.0).alias("v")).collect()]
+    assert [v["bright"] for v in got] == [True, True, False, None]
+    assert math.isclose(got[0]["strength"], 1.0) and math.isclose(got[1]["strength"], 49 / 204) and got[0]["level"] is None
+    assert got[2]["strength"] is None and got[2]["level"] == 0
+    import __spark_entry__ as e
+
+    assert e.queries()["luminance_threshold"](spark, "/root/testdata/sf0.001").columns == ["vec_id", "bright", "strength", "level"]
+
+
 def test_edges_that_no_double_states(spark):
     rows = spark.createDataFrame([(0.6, 1), (0.59, 0), (0.8, 1), (1.0, 0), (0.2, 1)], "p double, y int")
     got = {r["bin"]: r["count"] for r in metrics.reliability(rows, "p", "y", 5, index=metrics.scaled_index).collect()}
