@@ -38,7 +38,8 @@ from .jaccard import _mix, word_hashes
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _HEADS = 1 << 18
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
+_ROWS = 1 << 18
 
 
 def _named(word: bytes) -> int:
@@ -140,16 +141,26 @@ def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray
     return out
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Names and their counts added up over all parts, a sixteenth of the names at a time; empties the list."""
+    h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    parts.clear()
+    share, out = (h >> np.uint64(58)).astype(np.uint8) & 15, []
+    for k in range(16):
+        mine = np.flatnonzero(share == k)
+        at, kinds = pd.factorize(h[mine])
+        out.append((kinds, np.bincount(at, n[mine], len(kinds)).astype(np.int64)))
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
+
+
 def count_grams(docs: DataFrame, how: LogFilter, buckets: int, text: str = "text") -> DataFrame:
     """``bucket, h, n``: names and counts of all n-grams of the texts, and of their starts, added up in
     each task as far as they are held there."""
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]):
-        at, h = pd.factorize(np.concatenate([p[0] for p in parts]))
-        return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    def batch_of(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(_bucket(h, buckets).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["bucket", "h", "n"])
+    def batches_of(names: np.ndarray, counts: np.ndarray):
+        for a in range(0, len(names), _ROWS):
+            h, n = names[a : a + _ROWS], counts[a : a + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(h, buckets).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["bucket", "h", "n"])
 
     def run(batches):
         parts, held, texts = [], 0, 0
@@ -163,14 +174,14 @@ def count_grams(docs: DataFrame, how: LogFilter, buckets: int, text: str = "text
                 parts.append((kinds, np.bincount(codes, minlength=len(kinds))))
                 held += len(parts[-1][0])
             if held > 1 << 22:
-                parts = [summed(parts)]
+                parts = [_summed(parts)]
                 held = len(parts[0][0])
                 if held > 1 << 21:
-                    yield batch_of(*parts[0])
+                    yield from batches_of(*parts.pop())
                     parts, held = [], 0
         if texts:
             parts.append((_tagged(np.array([_named(_START)], np.uint64), 0), np.array([texts])))
-            yield batch_of(*summed(parts))
+            yield from batches_of(*_summed(parts))
 
     return docs.select(text).mapInArrow(run, "bucket int, h long, n long")
 

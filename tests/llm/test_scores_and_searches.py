@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -206,3 +207,15 @@ def test_cells_come_by_falling_bounds_and_few_are_visited(spark):
     for _, bound in codes.visits(x[7]):
         visited += bound >= third
     assert visited < len(codes.cells) / 2  # the window is certified before most cells
+
+
+def test_adding_up_counts_takes_little_memory():
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 1 << 64, 1 << 20, np.uint64)
+    parts = [(names[: 1 << 19], np.full(1 << 19, 2)), (names, np.ones(1 << 20, np.int64))]
+    tracemalloc.start()
+    h, n = bloom_lm._summed(parts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == 1 << 20 and dict(zip(h.tolist(), n.tolist())) == dict(zip(names.tolist(), [3] * (1 << 19) + [1] * (1 << 19)))
+    assert most < 64 << 20, most
