@@ -12,7 +12,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +116,10 @@ def predict_language(model: LanguageModel, text: str = "text") -> Column:
     ``min_bytes`` or ``min_margin`` of the text, or no dictionary shortens it well. The whole text counts, whatever its length.
     """
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pa.Array) -> pa.Array:
         sizes, out = model.sizes(), []
-        for whole in texts:
+        for value in texts:  # one text at a time is a Python string
+            whole = value.as_py()
             plain = letters(whole) if whole is not None and model.languages else ""
             if not _LETTER.search(plain):
                 out.append((UNKNOWN, 0.0, True))
@@ -132,9 +133,10 @@ def predict_language(model: LanguageModel, text: str = "text") -> Column:
             lead = np.partition(found, 1)[1] - found[best]
             margin = lead / len(data)
             out.append((model.languages[best], float(1 - 0.5 * np.exp(-8 * margin * min(len(data), 400) / 20)), bool(lead < model.min_bytes or margin < model.min_margin or found[best] > model.most_rate * len(data) + model.frame_bytes)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+        columns = [[r[k] for r in out] for k in range(3)]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["lang_pred", "score", "rejected"])
 
-    return F.pandas_udf(run, PREDICTION, F.PandasUDFType.SCALAR)(F.col(text))
+    return F.arrow_udf(run, PREDICTION)(F.col(text))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -48,9 +48,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int
     def run(batches):
         words, count, base = shared(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in text_chunks(texts):
-                ids, ends = words.encode([t or "" for t in texts[low:high]])
+            docs_of = batch.column(0).to_pylist()
+            for low, high, texts in text_chunks(batch.column(1)):
+                ids, ends = words.encode(texts)
                 rows, at = [], 0
                 for doc_id, end in zip(docs_of[low:high], ends.tolist(), strict=True):
                     whole = np.append(ids[at:end], np.uint32(eos)).astype("<u4")

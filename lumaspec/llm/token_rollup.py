@@ -50,9 +50,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text"
     def run(batches):
         counters = [shared(path, special_tokens=False) for path in tokenizers.values()]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for low, high in text_chunks(texts):
-                part = [t or "" for t in texts[low:high]]
+            for low, high, part in text_chunks(batch.column(batch.num_columns - 1)):
                 rest = batch.slice(low, high - low).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*rest, *[pa.array(c.counts(part), pa.int64()) for c in counters]], names=[*kept, *names])
 

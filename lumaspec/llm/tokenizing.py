@@ -20,7 +20,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BEFORE_SIGN = f"([{_LETTERS}])([,.!?:;%*#$&])"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _PROBES = ("It's a word, and (two) more: 12,5 % of x-y!", "  Déjà vu...\n\n\tÜber 3.14   fin. ", "a,b.c;d 'll I'll you've «q» ½ 字字 éå,", "x\r\n y  z - -- ,,.. !?")
-_CHUNK_CHARS = 1 << 22
+_CHUNK_CHARS = 1 << 20
 _CACHE_WORDS = 200_000  # in each of two generations
 _CACHE_CHARS = 100
 
@@ -158,14 +158,15 @@ def shared(path: str, special_tokens: bool = True) -> WordTokenizer:
     return _SHARED[key]
 
 
-def text_chunks(texts: list[str | None]):
-    """Ranges of rows of about four million characters, one row at least; null texts are empty."""
+def text_chunks(column: pa.Array):
+    """``low, high, texts`` over ranges of rows of about a million characters, one row at least; null
+    texts are empty. Only one range's texts are Python strings at a time, and after each the memory that
+    Arrow keeps for later goes back: a worker that is used again would hold it through other stages."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
     at, held = 0, 0
-    for k, t in enumerate(texts):
-        size = len(t or "")
+    for k, size in enumerate([*sizes, _CHUNK_CHARS + 1]):
         if k > at and held + size > _CHUNK_CHARS:
-            yield at, k
+            yield at, k, [t or "" for t in column.slice(at, k - at).to_pylist()]
+            pa.default_memory_pool().release_unused()
             at, held = k, 0
         held += size
-    if at < len(texts):
-        yield at, len(texts)

@@ -1,6 +1,7 @@
 """Brute force, round trips and odd rows for the text operators."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -38,6 +39,40 @@ def test_word_cache_gives_the_tokenizers_ids(name, special):
     assert cached.ids([]) == [] and cached.counts([]).tolist() == []
 
 
+def test_chunks_of_text_are_whole_and_bounded():
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 700_000, "b" * 400_000, "c" * 2_000_000, "d", None]
+    for column in (pa.array(texts), pa.array(["x", *texts]).slice(1)):
+        found = list(tokenizing.text_chunks(column))
+        assert [t for _, _, part in found for t in part] == [t or "" for t in texts]
+        assert [low for low, _, _ in found] + [7] == [0, *[high for _, high, _ in found]]
+        assert all(high - low == 1 or sum(map(len, part)) <= 1 << 20 for low, high, part in found) and len(found) == 4
+    assert list(tokenizing.text_chunks(pa.array([], pa.string()))) == []
+
+
+def test_tokenizing_holds_little_at_a_time():
+    """What Python holds at most beside a batch of 43 MB, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = f"""
+import tracemalloc
+import pyarrow as pa
+from lumaspec.llm import tokenizing
+words = tokenizing.shared({TOKENIZER!r})
+column = pa.array(["the whole of a text is cut, word by word; " * 100] * 10_000)
+tracemalloc.start()
+n = sum(len(words.encode(texts)[0]) for _, _, texts in tokenizing.text_chunks(column))
+assert n == 12_000_000
+print(tracemalloc.get_traced_memory()[1] / 1e6)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=root)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 30
+
+
 def test_tokenizers_of_another_kind_encode_whole_texts(tmp_path):
     import json
 
