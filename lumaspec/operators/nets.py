@@ -2,7 +2,7 @@
 sums of their rows' gradients, and the driver takes one step of Adam.
 
 Rows are written once, dealt by a hash of their key into batches that are folders of their own, so a
-step reads its batch alone. A row's dropout depends on its key, the step, the layer and the unit by
+step reads its batch alone, and into files for at least 32 tasks. A row's dropout depends on its key, the step, the layer and the unit by
 a counter hash: the forward and the backward pass agree and reruns do, wherever rows lie.
 """
 
@@ -23,6 +23,7 @@ from ..store import new_path
 from .stats import spectra
 
 _TREE = 64
+_PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -181,7 +182,9 @@ def train(rows: DataFrame, net: Net, kind: str, how: Training = Training(), posi
     fit = rows.select(F.col("key").cast("long").alias("key"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
     none = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull())
     fit = fit.where(F.col("key").isNotNull() & none("x") & none("y")).withColumn("batch_", F.pmod(F.xxhash64("key"), F.lit(how.batches)))
-    fit.write.partitionBy("batch_").parquet(path)
+    # a table of few numbers a row is one small file else, and every step one task
+    dealt = fit.repartition(max(_PARTS, spark.sparkContext.defaultParallelism), "key").sortWithinPartitions("batch_", "key")
+    dealt.write.partitionBy("batch_").parquet(path)
     if spark.read.schema(fit.schema).parquet(path).isEmpty():
         return net, []
     batches = [spark.read.schema(fit.schema).parquet(path).where(F.col("batch_") == b).select("key", "x", "y") for b in range(how.batches)]

@@ -183,3 +183,18 @@ def test_quantiles_of_bands_without_sorting(spark):
     assert stats.band_quantiles(df.where("false"), [0.5]).shape == (1, 0)
     one = stats.band_quantiles(spark.createDataFrame([([-0.0, float("inf")],), ([0.0, float("-inf")],)], "spectrum array<double>"), [0.0, 1.0])
     assert one[:, 0].tolist() == [0, 0] and one[:, 1].tolist() == [-math.inf, math.inf]
+
+
+def test_every_step_is_shared_by_the_tasks(spark, monkeypatch):
+    """Rows that lie in one file are dealt over the cluster, and reruns give the same network."""
+    seen, plain = [], nets._summed
+
+    def spy(rows, tasks, *rest):
+        seen.append(tasks)
+        return plain(rows, tasks, *rest)
+
+    monkeypatch.setattr(nets, "_summed", spy)
+    rows = spark.range(2000).coalesce(1).select(F.col("id").alias("key"), F.array(F.sin("id"), F.cos("id")).alias("x"), F.array((F.sin("id") > 0).cast("double")).alias("y"))
+    nets_ = [nets.train(rows, Net.start([2, 4, 1], 1, dropout=0.25), "logistic", Training(steps=4, batches=2))[0] for _ in range(2)]
+    assert min(seen) >= spark.sparkContext.defaultParallelism > 1
+    assert np.allclose(nets_[0].flat(), nets_[1].flat(), rtol=0, atol=1e-12)
