@@ -19,13 +19,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._memory import handled
 from ._store import cut
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -116,10 +116,10 @@ def _texts(batch: pa.RecordBatch, column: int):
         yield value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def _merged(frame: pd.DataFrame) -> np.ndarray:
+def _merged(table: pa.Table) -> np.ndarray:
     total = np.zeros(1 << _CHUNK_BITS, np.int64)
-    for width, data in zip(frame["width"], frame["counts"], strict=True):
-        total += np.frombuffer(zlib.decompress(data), f"<u{width}")
+    for width, data in zip(table.column("width"), table.column("counts"), strict=True):
+        total += np.frombuffer(zlib.decompress(data.as_py()), f"<u{width}")
     return total
 
 
@@ -128,6 +128,41 @@ def _packed(counts: np.ndarray) -> tuple[int, bytes]:
     return width, zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
+def _tally(batches, bits: int, words: int):
+    """``chunk, counts`` of the chunks in which cells of ``bits`` bits have shingles of the batches' texts.
+    A cell has a byte; what goes over it, whole 256s, is kept apart: one row for 256 shingles at most."""
+    shift, cells = np.uint64(64 - bits), np.zeros(1 << bits, np.uint8)
+    over = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+
+    def count(batch):
+        waiting, held = [], 0
+        for data in [*_texts(batch, 0), None]:
+            if data is not None:
+                waiting.append((shingles(data, words) >> shift).astype(np.int32))
+                held += len(waiting[-1])
+            if held > 1 << 18 or (data is None and held):
+                cell, n = np.unique(np.concatenate(waiting), return_counts=True)
+                n += cells[cell]
+                cells[cell] = n & 255
+                full = n > 255
+                over.append((cell[full], n[full] >> 8))
+                waiting, held = [], 0
+        return ()
+
+    for _ in handled(batches, count):
+        pass
+    where, more = map(np.concatenate, zip(*over, strict=True))
+    order = np.argsort(where, kind="stable")
+    where, more = where[order], more[order]
+    ends = np.searchsorted(where, np.arange((1 << (bits - _CHUNK_BITS)) + 1) << _CHUNK_BITS)
+    for c, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        part = cells[c << _CHUNK_BITS : (c + 1) << _CHUNK_BITS]
+        if high > low or part.any():
+            part = part.astype(np.int64)
+            np.add.at(part, where[low:high] & ((1 << _CHUNK_BITS) - 1), more[low:high] << 8)
+            yield c, part
+
+
 def rarity(docs: DataFrame, spec: Jaccard) -> np.ndarray:
     """How common the shingles of each hash cell are over all documents, as twice the logarithm.
 
@@ -136,36 +171,24 @@ def rarity(docs: DataFrame, spec: Jaccard) -> np.ndarray:
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(size / 50 + 1)), _CHUNK_BITS, 24))
-    shift, k = np.uint64(64 - bits), spec.words
+    k = spec.words
 
     def count(batches):
-        cells = np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            waiting, held = [], 0
-            for data in [*_texts(batch, 0), None]:
-                if data is not None:
-                    waiting.append((shingles(data, k) >> shift).astype(np.int32))
-                    held += len(waiting[-1])
-                if held > 1 << 18 or (data is None and held):
-                    cell, n = np.unique(np.concatenate(waiting), return_counts=True)
-                    cells[cell] += n.astype(np.int32)
-                    waiting, held = [], 0
         task = TaskContext.get().partitionId()
-        for c in range(1 << (bits - _CHUNK_BITS)):
-            part = cells[c << _CHUNK_BITS : (c + 1) << _CHUNK_BITS]
-            if part.any():
-                width, data = _packed(part)
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([task // 32], pa.int32()), pa.array([width], pa.int32()), pa.array([data])], names=["chunk", "part", "width", "counts"])
+        for c, part in _tally(batches, bits, k):
+            width, data = _packed(part)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([task // 32], pa.int32()), pa.array([width], pa.int32()), pa.array([data])], names=["chunk", "part", "width", "counts"])
 
-    def some(key, frame):
-        width, data = _packed(_merged(frame))
-        return pd.DataFrame({"chunk": [key[0]], "width": [width], "counts": [data]})
+    def some(key, table):
+        width, data = _packed(_merged(table))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "width": pa.array([width], pa.int32()), "counts": pa.array([data], pa.binary())})
 
-    def last(key, frame):
-        return pd.DataFrame({"chunk": [key[0]], "level": [(2 * np.log2(_merged(frame) + 1)).astype(np.uint8).tobytes()]})
+    def last(key, table):
+        level = (2 * np.log2(_merged(table) + 1)).astype(np.uint8).tobytes()
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level], pa.binary())})
 
     tasks = docs.select("text").mapInArrow(count, "chunk int, part int, width int, counts binary")
-    sums = tasks.groupBy("chunk", "part").applyInPandas(some, "chunk int, width int, counts binary").groupBy("chunk").applyInPandas(last, "chunk int, level binary")
+    sums = tasks.groupBy("chunk", "part").applyInArrow(some, "chunk int, width int, counts binary").groupBy("chunk").applyInArrow(last, "chunk int, level binary")
     levels = np.zeros(1 << bits, np.uint8)
     for row in sums.toLocalIterator():
         levels[row["chunk"] << _CHUNK_BITS : (row["chunk"] + 1) << _CHUNK_BITS] = np.frombuffer(row["level"], np.uint8)
@@ -183,7 +206,8 @@ def document_sets(docs: DataFrame, spec: Jaccard) -> DataFrame:
     def run(batches):
         table = levels.value
         shift = np.uint64(64 - int(np.log2(len(table))))
-        for batch in batches:
+
+        def work(batch):
             for at in range(0, batch.num_rows, 1024):
                 part, rows, prefixes = batch.slice(at, 1024), [], []
                 for data in _texts(part, 1):
@@ -203,6 +227,8 @@ def document_sets(docs: DataFrame, spec: Jaccard) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols, lists], names=["doc_id", "n", "fa", "fb", "pa", "pb", "common", "prefix"])
 
+        return handled(batches, work)
+
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
@@ -222,10 +248,13 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         table = np.frombuffer(known.value, np.uint8)
-        for batch in batches:
+
+        def work(batch):
             p = batch.column(2).to_numpy()
             yield batch.select([0, 1]).filter(pa.array((table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
 
+        return handled(batches, work)
+
     slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("p", place("id"))
     return slim.mapInArrow(run, "id long, text string")
 
@@ -240,7 +269,9 @@ def verified(pairs: DataFrame, docs: DataFrame, spec: Jaccard) -> DataFrame:
 
     def run(batches):
         last, known = None, None
-        for batch in batches:
+
+        def work(batch):
+            nonlocal last, known
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             hits = []
             for i, (ta, tb) in enumerate(zip(_texts(batch, 2), _texts(batch, 3), strict=True)):
@@ -252,6 +283,8 @@ def verified(pairs: DataFrame, docs: DataFrame, spec: Jaccard) -> DataFrame:
                     hits.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(b[hits])], names=["a", "b"])
 
+        return handled(batches, work)
+
     # a document that stands in many pairs is met in parts of them
     crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / _MEET).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))

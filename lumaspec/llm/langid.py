@@ -95,7 +95,8 @@ def fit_languages(docs: DataFrame, where: Column, docs_per_language: int = 400,
     counts = {r["lang"]: r["n"] for r in found.collect()}
     if not counts:
         return LanguageModel((), (), **options)
-    limits = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, docs_per_language / n))) for lang, n in counts.items()], "lang string, limit_ long")
+    # an Arrow table needs no Python worker, as a list would: those stay beside the ones of the functions
+    limits = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(counts, pa.string()), "limit_": pa.array([int((1 << 30) * min(1.0, docs_per_language / n)) for n in counts.values()], pa.int64())}))
     sample = rows.join(F.broadcast(limits), "lang").where("hash < limit_").orderBy("lang", "hash", "text").collect()
     names = tuple(sorted(counts, key=lambda x: (-counts[x], x)))  # ties go to the more frequent
     contents = []
@@ -134,6 +135,7 @@ def predict_language(model: LanguageModel, text: str = "text") -> Column:
             margin = lead / len(data)
             out.append((model.languages[best], float(1 - 0.5 * np.exp(-8 * margin * min(len(data), 400) / 20)), bool(lead < model.min_bytes or margin < model.min_margin or found[best] > model.most_rate * len(data) + model.frame_bytes)))
         columns = [[r[k] for r in out] for k in range(3)]
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["lang_pred", "score", "rejected"])
 
     return F.arrow_udf(run, PREDICTION)(F.col(text))

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import handled
 from ._store import cut
 from .tokenizing import shared, text_chunks
 
@@ -47,7 +48,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int
 
     def run(batches):
         words, count, base = shared(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in batches:
+
+        def work(batch):
+            nonlocal count
             docs_of = batch.column(0).to_pylist()
             for low, high, texts in text_chunks(batch.column(1)):
                 ids, ends = words.encode(texts)
@@ -64,6 +67,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, eos: int
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
+        return handled(batches, work)
+
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 

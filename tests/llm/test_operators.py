@@ -8,10 +8,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lumaspec.llm import cross_polytope, hnsw, html_layouts, html_text, jaccard, langid, mixing, packing, queries, sharding, token_rollup, tokenizing, warc
+from lumaspec.llm import _memory, cross_polytope, hnsw, html_layouts, html_text, jaccard, langid, mixing, packing, queries, sharding, token_rollup, tokenizing, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "Hello, World!! it's déjà vu."), (3, "Hello, World!! it's déjà vu."), (None, "x\ty z"), (5, "ΣΟΦΟΣ <|endoftext|> A'b <|EndOfText|>\r\nend"), (6, "word " * 9000)]
@@ -73,6 +74,62 @@ print(tracemalloc.get_traced_memory()[1] / 1e6)
     assert float(out.stdout) < 30
 
 
+def test_batches_are_let_go_before_the_next():
+    import weakref
+
+    seen = []
+
+    def batches():
+        for k in range(3):
+            assert all(r() is None for r in seen)
+            batch = pa.record_batch({"a": [k]})
+            seen.append(weakref.ref(batch))
+            out, batch = batch, None
+            yield out
+            del out
+
+    assert list(_memory.handled(batches(), lambda batch: [batch.column(0)[0].as_py()])) == [0, 1, 2] and len(seen) == 3
+    assert list(_memory.handled([], list)) == []
+
+
+def test_counting_shingles_takes_a_byte_a_cell():
+    """Memory and counts of a process of its own, without pandas; one word is in more texts than a byte can count."""
+    import subprocess
+    import sys
+
+    code = """
+import sys, tracemalloc
+import numpy as np
+import pyarrow as pa
+from lumaspec.llm import jaccard, langid, mixing, packing
+assert "pandas" not in sys.modules
+texts = ["same"] * 3000 + [f"w{k % 300}" for k in range(3000)] + ["", None]
+batches = [pa.record_batch({"text": pa.array(texts[k : k + 1000])}) for k in range(0, len(texts), 1000)]
+for bits in (16, 24):
+    tracemalloc.start()
+    found = np.zeros(1 << bits, np.int64)
+    tracemalloc.reset_peak()
+    for c, part in jaccard._tally(batches, bits, 5):
+        at = np.flatnonzero(part)
+        found[(c << 16) + at] += part[at]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6 - found.nbytes / 1e6
+    tracemalloc.stop()
+    cells = np.concatenate([jaccard.shingles((t or "").encode(), 5) for t in texts]) >> np.uint64(64 - bits)
+    cell, n = np.unique(cells, return_counts=True)
+    assert found.sum() == 6000 and (found[cell.astype(np.int64)] == n).all() and n.max() >= 3000
+    assert peak < 45, peak
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=root)
+    assert out.returncode == 0, out.stderr
+
+
+def test_learning_languages_takes_no_plain_python_worker(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "en") for k in range(9)], "doc_id long, text string, lang string").localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert langid.fit_languages(docs, langid.F.lit(True)).languages == ("en",)
+
+
 def test_tokenizers_of_another_kind_encode_whole_texts(tmp_path):
     import json
 
