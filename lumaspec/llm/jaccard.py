@@ -232,17 +232,23 @@ def document_sets(docs: DataFrame, spec: Jaccard) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids, found by a bitmap of hashed ids, so that few other texts move. It has eight
-    places for every id, from 2**20 to 2**28 (32 MB, which is the bound of what is broadcast)."""
+def _marks(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A bitmap of hashed ids, as rows ``part, bits`` of 4096 bytes, and its places. It has eight places
+    for every id, from 2**20 to 2**28 (32 MB, which is the bound of what is broadcast)."""
     places = 1 << int(np.clip(np.ceil(np.log2(8 * ids.count() + 1)), 20, 28))
+    marks = ids.select(_place(column, places).alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), F.pmod("p", F.lit(32768)).alias("bit"))
+    return marks.groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), places
+
+
+def _place(column: str, places: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(places))
 
-    def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(places))
 
-    marks = ids.select(place("id").alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), F.pmod("p", F.lit(32768)).alias("bit"))
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids, found by a bitmap of hashed ids, so that few other texts move."""
+    marks, places = _marks(ids, "id")
     bits = bytearray(places // 8)
-    for row in marks.groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
+    for row in marks.toLocalIterator():
         bits[row["part"] * 4096 : (row["part"] + 1) * 4096] = row["bits"]
     known = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
@@ -255,7 +261,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         return handled(batches, work)
 
-    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("p", place("id"))
+    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("p", _place("id", places))
     return slim.mapInArrow(run, "id long, text string")
 
 
@@ -361,19 +367,27 @@ def similar_documents(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame
 def one_of_each(docs: DataFrame, spec: Jaccard | None = None) -> DataFrame:
     """The rows of ``docs``, with their columns of any type, that stand for their component: its least
     doc_id. Of rows that share a doc_id one stays, that of the least digest of its columns; rows
-    without one all stay. Rows are brought together only where their ids repeat."""
-    kept = cut(similar_documents(docs, spec).where("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct(), "jaccard-kept")
-    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.count("*").alias("rows_")).where("rows_ > 1").select("id_")
-    several = cut(kept.join(several, F.col("keep_") == F.col("id_"), "left_semi"), "jaccard-several")
-    null = docs.where("doc_id is null")
-    if several.isEmpty():
-        return docs.join(kept, F.col("doc_id") == F.col("keep_"), "left_semi").unionAll(null)
-    single = docs.join(kept.join(several, "keep_", "left_anti"), F.col("doc_id") == F.col("keep_"), "left_semi")
+    without one all stay. A bitmap of the ids that go or repeat tells most rows that stay, which don't
+    move; only rows it marks are joined."""
+    found = similar_documents(docs, spec).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("rows"))
+    special = cut(found.where("not keep or rows > 1"), "jaccard-special")
+    several = special.where("keep").select("doc_id")
     name = "row_"
     while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
-    again = docs.join(several, F.col("doc_id") == F.col("keep_"), "left_semi").withColumn(name, digest)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marks, places = _marks(special, "doc_id")
+    marks = cut(marks.select(F.col("part").alias(name), F.col("bits").alias(name + "b")), "jaccard-marks")
+    place = _place("doc_id", places)
+    rows = docs.join(F.broadcast(marks), (place / 32768).cast("int") == F.col(name), "left")
+    byte = F.conv(F.hex(F.substring(name + "b", (F.pmod(place, F.lit(32768)) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    still, near = rows.where(~marked).select(*columns), rows.where(marked).select(*columns)
+    single = still.unionAll(near.join(special.select("doc_id"), "doc_id", "left_anti").select(*columns))
+    if several.isEmpty():
+        return single
+    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    again = near.join(several, "doc_id", "left_semi").select(*columns, digest.alias(name))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(name))  # each task passes on one row of an id
     again = again.withColumn(name + "n", nth).where(F.col(name + "n") == 1).drop(name, name + "n")
-    return single.unionAll(again).unionAll(null)
+    return single.unionAll(again)

@@ -771,3 +771,12 @@ def test_texts_of_one_id_and_size_keep_their_own_copies(spark):
     rows = [(1, " ".join(one)), (1, " ".join(two)), (5, " ".join([*one[:99], "x"])), (6, " ".join([*two[:99], "y"]))]
     got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (1, 1), (5, 1), (6, 1)]
+
+
+def test_rows_that_stay_are_not_joined(spark):
+    texts = [" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(60)]
+    rows = [*((k, t, 0) for k, t in enumerate(texts)), (100, texts[7], 1), (None, texts[7], 2)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, id_ int"))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["id_"]) for r in kept.collect()) == [(-1, 2), *((k, 0) for k in range(60))]
+    parts = kept._jdf.queryExecution().optimizedPlan().children()
+    assert parts.size() == 2 and "LeftAnti" in parts.last().toString() and "broadcast" in parts.head().toString() and not any(k in parts.head().toString() for k in ("LeftSemi", "LeftAnti", "Inner"))
