@@ -75,12 +75,14 @@ class LogFilter:
         edges = [math.ceil(self.base**q - 1e-9) for q in range(int(63 * math.log(2) / math.log(self.base)) + 1)]
         return np.array([0.0] + [(a + max(a, b - 1)) / 2 for a, b in zip(edges, edges[1:], strict=False)])
 
-    def places(self, h: np.ndarray, level: int, size: np.ndarray | int):
-        """The bits of an event, one probe after the other, in a part of the filter of ``size`` bits."""
-        z = _mix(h + np.uint64(level * int(_FOLD) & (1 << 64) - 1))
+    def event(self, h: np.ndarray, level: int) -> np.ndarray:
+        """The hash of an event, from which its probes follow."""
+        return _mix(h + np.uint64(level * int(_FOLD) & (1 << 64) - 1))
+
+    def place(self, z: np.ndarray, k: int, size: np.ndarray | int) -> np.ndarray:
+        """The bit of an event's ``k``th probe in a part of the filter of ``size`` bits."""
         first, step = z & np.uint64(0xFFFFFFFF), (z >> np.uint64(32)) | np.uint64(1)
-        for k in range(self.probes):
-            yield ((first + np.uint64(k) * step + np.uint64((k**3 - k) // 6)) % np.asarray(size, np.uint64)).astype(np.int64)
+        return ((first + np.uint64(k) * step + np.uint64((k**3 - k) // 6)) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -199,8 +201,9 @@ def filter_buckets(grams: DataFrame, how: LogFilter) -> DataFrame:
         level, order = how.levels(n), h & np.uint64(3)
         on = np.zeros(8 * max(8, -(-int(level.sum()) * how.bits // 8)), bool)
         for q in range(1, int(level.max()) + 1):
-            for place in how.places(h[level >= q], q, len(on)):
-                on[place] = True
+            z = how.event(h[level >= q], q)
+            for k in range(how.probes):
+                on[how.place(z, k, len(on))] = True
         words = pa.StructArray.from_arrays([pa.array(h[order == 1].view(np.int64)), pa.array(n[order == 1])], names=["h", "n"])
         words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary()), "starts": pa.array([int(n[order == 0].sum())], pa.int64()), "words": words})
@@ -262,26 +265,34 @@ def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_names[at] == names
 
 
-def probed(h: np.ndarray, part: tuple[np.ndarray, np.ndarray, np.ndarray], how: LogFilter, buckets: int, segment: int = 0, segments: int = 1) -> np.ndarray:
+def probed(h: np.ndarray, part: tuple[np.ndarray, np.ndarray, np.ndarray], how: LogFilter, buckets: int, segment: int = 0, segments: int = 1, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Levels of n-grams whose buckets lie in the segment, 0 for all others and for those without the
-    first event: each next level is asked for those that have all events before it."""
+    first event: each next level is asked for those that have all events before it, and each next probe
+    for those that have all bits before it. ``known``: names, in order, whose levels were asked before, and these."""
     at, kinds = pd.factorize(h)
     level, (bits, start, size) = np.zeros(len(kinds), np.uint8), part
     bucket = _bucket(kinds, buckets)
-    mine = np.flatnonzero((bucket % segments == segment) & (kinds != 0))
+    open_ = (bucket % segments == segment) & (kinds != 0)
+    if known is not None:
+        place, found = _find(known[0], kinds)
+        level[found] = known[1][place[found]]
+        open_ &= ~found
+    mine = np.flatnonzero(open_)
     start, size = (x[bucket[mine] // segments] for x in (start, size))
     alive = np.flatnonzero(size > 0)
+    mine, start, size = mine[alive], start[alive], size[alive].astype(np.uint64)
     q = 0
-    while len(alive):
+    while len(mine):
         q += 1
-        there = alive
-        for place in how.places(kinds[mine[alive]], q, size[alive]):
-            p = start[there] + (place if len(there) == len(alive) else place[np.searchsorted(alive, there)])
-            there = there[(bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
-            if not len(there):
+        z = how.event(kinds[mine], q)
+        for k in range(how.probes):
+            p = start + how.place(z, k, size)
+            there = np.flatnonzero((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1)
+            if len(there) < len(mine):
+                mine, start, size, z = mine[there], start[there], size[there], z[there]
+            if not len(mine):
                 break
-        alive = there
-        level[mine[alive]] = q
+        level[mine] = q
     return level[at]
 
 
@@ -311,16 +322,16 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
     buckets, facts = model.buckets, (model.how, model.tokens, model.kinds, model.starts)
     floor = float(model.tokens + model.kinds + 1)
 
-    def one(k: int, bits, last: bool):
+    def one(k: int, sent, last: bool):
         def run(batches):
-            filled, row = bits.value, TaskContext.get().partitionId() << 40
+            (filled, often), row = sent.value, TaskContext.get().partitionId() << 40
             for batch in batches:
                 for a, b in _chunks(batch.column(2)):
                     part = batch.slice(a, b - a)
                     words, lengths = words_of(part.column(2).to_pylist())
                     found = grams(words, lengths, how.order)
                     ends = np.cumsum(lengths)
-                    levels = [probed(h, filled, how, buckets, k, segments) for h in found]
+                    levels = [probed(h, filled, how, buckets, k, segments, (names, often) if n == 0 else None) for n, h in enumerate(found)]
                     if k:  # each n-gram is in one segment
                         before = _unpacked(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8), lengths, how.order)
                         levels = [np.maximum(x, y) for x, y in zip(levels, before, strict=True)]
@@ -351,7 +362,8 @@ def score_texts(docs: DataFrame, model: LanguageModel, text: str = "text", key:
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(F.col(f"`{key}`").alias("key"), training(f"`{key}`").alias("train"), F.col(f"`{text}`").alias("text"))
     for k in range(segments):
-        last, sent = k == segments - 1, spark.sparkContext.broadcast(model.segment(k))
+        last, filled = k == segments - 1, model.segment(k)
+        sent = spark.sparkContext.broadcast((filled, probed(names, filled, how, buckets, k, segments)))
         schema = f"row long, key {kind}, train boolean, n_tokens long, score double, head_tokens long, head_score double, rest array<struct<h:long,k:long>>" if last else f"key {kind}, train boolean, text string, levels binary"
         state = cut(state.mapInArrow(one(k, sent, last), schema), "lm-pass")
     rest = state.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.k").join(model.rest, "h")

@@ -219,3 +219,30 @@ def test_adding_up_counts_takes_little_memory():
     tracemalloc.stop()
     assert len(h) == 1 << 20 and dict(zip(h.tolist(), n.tolist())) == dict(zip(names.tolist(), [3] * (1 << 19) + [1] * (1 << 19)))
     assert most < 64 << 20, most
+
+
+def test_names_are_probed_no_longer_than_they_last():
+    class Counting(bloom_lm.LogFilter):
+        asked = 0
+
+        def place(self, z, k, size):
+            Counting.asked += len(z)
+            return super().place(z, k, size)
+
+    how, rng = Counting(), np.random.default_rng(5)
+    names = np.unique(rng.integers(1, 1 << 62, 6000, np.uint64) & ~np.uint64(3) | np.uint64(1))
+    old, fresh, on = names[::2], names[1::2], np.zeros(5 * 10 * len(names), bool)
+    for q in range(1, 6):
+        for k in range(how.probes):
+            on[how.place(how.event(old, q), k, len(on))] = True
+    part = np.packbits(on), np.zeros(1, np.int64), np.array([len(on)])
+    Counting.asked = 0
+    levels = bloom_lm.probed(fresh, part, how, 1)
+    assert (levels > 0).mean() < 0.03 and Counting.asked < 3 * len(fresh)
+    both = rng.permutation(names)
+    plain = bloom_lm.probed(both, part, how, 1)
+    assert (plain[np.isin(both, old)] >= 5).all()
+    Counting.asked = 0
+    assert (bloom_lm.probed(both, part, how, 1, known=(old, bloom_lm.probed(old, part, how, 1))) == plain).all()
+    Counting.asked = 0
+    assert len(bloom_lm.probed(old, part, how, 1, known=(old, np.full(len(old), 5, np.uint8)))) == len(old) and Counting.asked == 0
