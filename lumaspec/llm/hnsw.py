@@ -1,10 +1,12 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
 Vectors are dealt over shards of bounded size; each shard's graph is built in one task and written;
-every vector searches every shard's graph. A shard's beam starts as wide as planted queries, whose
-links are known, ask for; a search goes on from all that it finds near enough, along their links; all
-later beams of a task are widened when an audit of its own queries, above all of those with links,
-falls short of a scan. Links are verified in double precision, and components are their unions.
+every vector meets every shard, and searches its graph where a row of it shares a cross-polytope
+bucket with the vector and is about as near as a link. A shard's beam starts as wide as planted
+queries, whose links are known, ask for; a search goes on from all that it finds near enough, along
+their links; when an audit of a task's own queries, above all of those with links, falls short of a
+scan, all queries search the graph and later beams are widened. Links are verified in double
+precision, and components are their unions.
 
 A task reads its shard's graph and then streams the vectors past it. A shard's queries are parted
 only so far that the copies of its graph stay within about twice the size of the queries.
@@ -14,6 +16,8 @@ from __future__ import annotations
 
 import io
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ class Graph:
     x: np.ndarray
     links: list[np.ndarray]
     width: int = 16
+    routed: bool = True  # until an audit finds links of a query that no bucket led here
 
     def _beam(self, layer: int, q: np.ndarray, entry: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest rows that a best-first search of one layer finds for each query."""
@@ -127,8 +132,7 @@ def _link_back(x: np.ndarray, links: np.ndarray, most: int, to: np.ndarray, new:
     nodes = np.unique(to)
     have = links[nodes, :most]
     at, _ = np.nonzero(have >= 0)
-    pairs = np.unique(np.stack((np.concatenate((to, nodes[at])), np.concatenate((new, have[have >= 0]))), 1), axis=0)
-    a, b = pairs[:, 0], pairs[:, 1]
+    a, b = np.divmod(np.unique(np.concatenate((to, nodes[at])).astype(np.int64) * len(x) + np.concatenate((new, have[have >= 0]))), len(x))
     sims = np.einsum("nd,nd->n", x[a], x[b])
     order = np.lexsort((-sims, a))
     a, b, sims = a[order], b[order], sims[order]
@@ -209,10 +213,115 @@ def _widest(graph: Graph) -> int:
     return max(64, len(graph.x) // graph.links[0].shape[1])
 
 
-def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, slack: float = 0.02) -> list[np.ndarray]:
+def _low(least: float) -> np.float32:
+    return np.float32(least - 1e-4)
+
+
+SLACK = 0.02  # how much farther than a link a row may be to lead to links
+AXES, PARTS, CROWD, ROWS = 32, 5, 8, 26  # a bucket's number takes 30 bits, its table's 7, a row's place 26
+
+
+@cache
+def _tables(least: float, missed: float = 1e-5, most: int = 100) -> int:
+    """Tables in which vectors at a cosine of ``least`` share no bucket with a probability of ``missed``,
+    whatever their length: projections on normal directions depend on the cosine alone. 0 if it takes
+    more than ``most``."""
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(2, 20_000, AXES, PARTS))
+    y = least * x + np.sqrt(max(0.0, 1 - least**2)) * y
+    shared = (_probes(_axes(x.astype(np.float32), 2)) == _probes(_axes(y.astype(np.float32), 1))).any(-1).mean()
+    tables = int(np.ceil(np.log(missed) / np.log(1 - min(shared, 0.999)))) if shared else most + 1
+    return tables if tables <= most else 0
+
+
+def _axes(y: np.ndarray, count: int) -> list[np.ndarray]:
+    """The ``count`` nearest signed axes of each part, from projections (row, axis, part) in floats,
+    whose last bits make room for an axis and its sign."""
+    bits = y.view(np.int32)
+    size = bits & np.int32(0x7FFFFFFF - (2 * AXES - 1))
+    bits >>= 31
+    bits &= np.int32(AXES)
+    size |= bits
+    size |= np.arange(AXES, dtype=np.int32)[:, None]
+    out = [size.max(1)]
+    for _ in range(1, count):
+        size[size == out[-1][:, None]] = 0
+        out.append(size.max(1))
+    return [o & np.int32(2 * AXES - 1) for o in out]
+
+
+def _probes(axes: list[np.ndarray]) -> np.ndarray:
+    """Buckets by the nearest axes of all parts; with second axes also those where one or two parts have these."""
+    place = (2 * AXES) ** np.arange(PARTS)
+    own = (axes[0] @ place)[..., None]
+    if len(axes) == 1:
+        return own
+    other = (axes[1] - axes[0]) * place
+    a, b = np.array(list(combinations(range(PARTS), 2))).T
+    return np.concatenate((own, own + other, own + other[..., a] + other[..., b]), -1)
+
+
+class Buckets:
+    """Rows of a graph by buckets of cross-polytope hashes, one in each table; queries also look into
+    the next ones."""
+
+    def __init__(self, x: np.ndarray, least: float):
+        self.x, self.low, self.tables = x, _low(least), _tables(least)
+        self.turn = np.random.default_rng(12).standard_normal((x.shape[1], self.tables * PARTS * AXES), np.float32)
+        held = self._keys(x, 1).reshape(len(x), -1)
+        bits = min(28, max(10, int(64 * held.size).bit_length()))
+        self.shift, self.marks = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+        for s in range(0, len(x), 4096):
+            np.bitwise_or.at(self.marks, *self._bit(held[s : s + 4096].ravel()))
+        held <<= ROWS
+        held |= np.arange(len(x))[:, None]
+        self.held = held.ravel()
+        self.held.sort()
+
+    def _keys(self, q: np.ndarray, count: int) -> np.ndarray:
+        out = np.empty((len(q), self.tables, 1 if count == 1 else 1 + PARTS * (PARTS + 1) // 2), np.int64)
+        for s in range(0, len(q), 64):
+            y = (q[s : s + 64] @ self.turn).reshape(-1, AXES, self.tables * PARTS)
+            out[s : s + 64] = _probes([a.reshape(-1, self.tables, PARTS) for a in _axes(y, count)])
+        out += (2 * AXES) ** PARTS * np.arange(self.tables)[:, None]
+        return out
+
+    def _bit(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        return (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7), dtype=np.uint8, casting="unsafe")
+
+    def near(self, q: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a query and a row that share a bucket and are about as near as links, and whether
+        each query has one with another row than ``same``, itself. Of a crowded bucket some rows are
+        given, and the query counts as having one."""
+        pairs, ask = [], np.zeros(len(q), bool)
+        for s in range(0, len(q), 512):
+            some = q[s : s + 512]
+            keys = self._keys(some, 2)
+            each, keys = keys[0].size, keys.ravel()
+            at, bit = self._bit(keys)
+            hit = np.flatnonzero(self.marks[at] & bit)
+            hit = hit[np.argsort(keys[hit])]
+            first = np.searchsorted(self.held, keys[hit] << ROWS)
+            there = self.held[first.clip(max=len(self.held) - 1)] >> ROWS == keys[hit]
+            hit, first = hit[there], first[there]
+            k, size = hit // each, np.searchsorted(self.held, (keys[hit] + 1) << ROWS) - first
+            ask[s + k[size > CROWD]] = True
+            size = np.minimum(size, CROWD)
+            row = self.held[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())] & ((1 << ROWS) - 1)
+            k, row = np.divmod(np.unique(np.repeat(k, size) * len(self.x) + row), len(self.x))
+            sim = np.concatenate([np.empty(0, np.float32), *[np.einsum("nd,nd->n", self.x[row[i : i + 65536]], some[k[i : i + 65536]]) for i in range(0, len(k), 65536)]])
+            k, row = s + k[sim >= self.low - SLACK], row[sim >= self.low - SLACK]
+            ask[k[row != same[k]]] = True
+            pairs.append((k, row))
+        k, row = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        return k, row, ask
+
+
+def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, entries: tuple[np.ndarray, np.ndarray] | None = None, slack: float = SLACK) -> list[np.ndarray]:
     """Rows at least as near as ``low``: those that a beam finds, and those that links of rows at
-    most ``slack`` farther lead to, in graphs of every size. Queries of more such rows than the widest
-    beam holds are scanned."""
+    most ``slack`` farther lead to, from ``entries`` (queries in order, and rows), too, in graphs of
+    every size. Queries of more such rows than the widest beam holds are scanned."""
     x, links, n, out = graph.x, graph.links[0], len(graph.x), [np.empty(0, np.int64)] * len(q)
     most, many, width = _widest(graph), [], min(width, len(graph.x))
     batch = max(16, min(512, (1 << 25) // (n + 1)))
@@ -220,7 +329,12 @@ def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, slack: flo
         some = q[s : s + batch]
         ids, sims = graph.search(some, width)
         k, j = np.nonzero(sims >= low - slack)
-        node, hit = ids[k, j], sims[k, j] >= low
+        node, sim = ids[k, j], sims[k, j]
+        if entries is not None:
+            i, e = np.searchsorted(entries[0], (s, s + len(some)))
+            k, node = np.divmod(np.unique(np.concatenate((k * n + node, (entries[0][i:e] - s) * n + entries[1][i:e]))), n)
+            sim = np.einsum("nd,nd->n", x[node], some[k])
+        hit = sim >= low
         seen, got, held = np.zeros((len(some), n), bool), [(k[hit], node[hit])], np.bincount(k[hit], minlength=len(some))
         seen[k, node] = True
         while len(k):
@@ -245,10 +359,6 @@ def _search(graph: Graph, q: np.ndarray, low: np.float32, width: int, slack: flo
     return out
 
 
-def _low(least: float) -> np.float32:
-    return np.float32(least - 1e-4)
-
-
 def tune(graph: Graph, least: float, planted: int = 256, seed: int = 7) -> None:
     """Widen the graph's beam until queries planted near its rows find all that a scan does."""
     rng, n = np.random.default_rng(seed), len(graph.x)
@@ -263,20 +373,36 @@ def tune(graph: Graph, least: float, planted: int = 256, seed: int = 7) -> None:
         graph.width *= 2
 
 
-def linked(graph: Graph, q: np.ndarray, least: float, audit: int = 128) -> list[np.ndarray]:
-    """Rows of the graph at least about as near as ``least`` to each query. The audit scans for
-    ``audit`` queries with several links (for a row of the graph one is itself) and as many of all;
-    while it finds more than the searches, the beam is widened, for later calls, too. Only if it still
-    finds more beside the widest beam are all the queries scanned."""
+def linked(graph: Graph, q: np.ndarray, least: float, audit: int = 128, buckets: Buckets | None = None, same: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows of the graph at least about as near as ``least`` to each query. With ``buckets`` only
+    queries that these lead to another row than ``same`` (-1: none) search the graph, from there, too. The
+    audit scans for ``audit`` queries with several links (for a row of the graph one is itself) and as
+    many of all; if it finds links of queries that have not searched, all do, from now on; while it
+    finds more than the searches, the beam is widened, for later calls, too. Only if it still finds
+    more beside the widest beam are all the queries scanned."""
+    low, k, row, ask = _low(least), None, None, np.ones(len(q), bool)
+    if buckets is not None and buckets.tables and graph.routed:
+        k, row, ask = buckets.near(q, same)
     while True:
-        out = _search(graph, q, _low(least), graph.width)
+        out = [np.empty(0, np.int64)] * len(q)
+        if not ask.all():  # the others have no near row but themselves
+            for i, r in zip(k[~ask[k]], row[~ask[k]], strict=True):
+                out[i] = np.array([r])
+        if ask.any():
+            entries = None if k is None else ((np.cumsum(ask) - 1)[k[ask[k]]], row[ask[k]])
+            for i, found in zip(np.flatnonzero(ask), _search(graph, q[ask], low, graph.width, entries), strict=True):
+                out[i] = found
         several = np.flatnonzero([len(o) > 1 for o in out])
         probe = np.unique(np.concatenate([s[np.linspace(0, len(s) - 1, min(audit, len(s))).astype(int)] for s in (several, np.arange(len(q)))]))
-        if not any(len(np.setdiff1d(t, out[k])) for t, k in zip(_scan(graph, q[probe], _low(least)), probe, strict=True)):
+        short = [i for t, i in zip(_scan(graph, q[probe], low), probe, strict=True) if len(np.setdiff1d(t, out[i]))]
+        if not short:
             return out
-        if graph.width >= _widest(graph):
-            return _scan(graph, q, _low(least))
-        graph.width *= 2
+        if not ask[short].all():
+            graph.routed, ask = False, np.ones(len(q), bool)
+        elif graph.width >= _widest(graph):
+            return _scan(graph, q, low)
+        else:
+            graph.width *= 2
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,24 +459,24 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int | None = No
         return pa.table({"d": pa.array([key[0].as_py()] * len(parts), pa.int32()), "shard": pa.array([key[1].as_py()] * len(parts), pa.int32()), "piece": pa.array(range(len(parts)), pa.int32()), "data": parts})
 
     shard = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("shards")).cast("int")
-    by_shard = placed.select("d", shard.alias("shard"), "cid", "v", "copies").repartition(max(8, units), "d", "shard")
+    by_shard = placed.select("d", shard.alias("shard"), "cid", "v", "copies").repartition(max(8, 8 * units), "d", "shard")
     graphs = cut(by_shard.groupBy("d", "shard").applyInArrow(index, "d int, shard int, piece int, data binary"), "hnsw-graphs")
 
     every = graphs.join(F.broadcast(lengths), "d").select("d", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "piece", "data", F.lit(None).cast("long").alias("cid"), F.lit(None).cast(plain).alias("v"))
     block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks")).cast("int")
     asked = placed.select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), F.lit(1 << 30).alias("piece"), F.lit(None).cast("binary").alias("data"), "cid", "v")
     key = ["d", "shard", "block"]
-    stream = every.unionByName(asked).repartition(max(8, 2 * units), *key).sortWithinPartitions(*key, "piece")
+    stream = every.unionByName(asked).repartition(max(8, 4 * units), *key).sortWithinPartitions(*key, "piece")
 
     def ask(batches):
-        now, parts, graph, ids, v, copies, length = None, [], None, None, None, None, None
+        now, parts, graph, buckets, ids, v, copies, length, place = None, [], None, None, None, None, None, None, None
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             isgraph = np.asarray(batch.column(4).is_valid())
             new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1) | (isgraph[1:] != isgraph[:-1]))))
             for s, e in zip(new, [*new[1:], len(keys)], strict=True):
                 if tuple(keys[s]) != now:
-                    now, parts, graph = tuple(keys[s]), [], None
+                    now, parts, graph, buckets = tuple(keys[s]), [], None, None
                 if isgraph[s]:
                     parts += batch.column(4).slice(s, e - s).to_pylist()
                     continue
@@ -358,12 +484,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int | None = No
                     got = np.load(io.BytesIO(b"".join(parts)))
                     graph, parts = Graph.load(got["graph"].tobytes()), []
                     ids, v, copies = got["ids"], got["v"].astype(float), got["copies"]
-                    length = np.linalg.norm(v, axis=1)
+                    length, place = np.linalg.norm(v, axis=1), np.argsort(ids)
+                    buckets = Buckets(graph.x, least)
                 for at in range(s, e, 2048):
                     part = batch.slice(at, min(2048, e - at))
                     q, own = matrix(part.column(6)), part.column(5).to_numpy()
                     lq = np.linalg.norm(q, axis=1)
-                    found = linked(graph, (q / lq[:, None]).astype(np.float32), least)
+                    same = place[np.searchsorted(ids, own, sorter=place).clip(max=len(ids) - 1)]
+                    same = np.where(ids[same] == own, same, -1)
+                    found = linked(graph, (q / lq[:, None]).astype(np.float32), least, buckets=buckets, same=same)
                     k, near = np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found)
                     other = ids[near] != own[k]
                     k, near = k[other], near[other]

@@ -267,6 +267,39 @@ def test_an_audit_of_queries_with_links_widens_the_beam():
     assert sum(len(f) for f in found) >= 0.998 * sum(len(t) for t in true) > 4500
 
 
+def test_queries_search_a_graph_only_where_a_bucket_leads_to_a_near_row(monkeypatch):
+    """A quarter of the rows have a link, barely; it was each vector in each shard that searched."""
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    away = rng.normal(size=(500, 64))
+    away -= (away * v[:500]).sum(1, keepdims=True) * v[:500]
+    cosine = rng.uniform(0.9002, 0.91, (500, 1))
+    v[-500:] = cosine * v[:500] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    v = v.astype(np.float32)
+    graph, order = hnsw.build(v)
+    place = np.argsort(order)
+    searched, search = [], hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda g, q, *rest: searched.append(len(q)) or search(g, q, *rest))
+    got = hnsw.linked(graph, v, 0.9, buckets=hnsw.Buckets(graph.x, 0.9), same=place)
+    assert sum(searched) == 1000 and graph.routed
+    for k, near in enumerate(got):
+        assert set(order[near].tolist()) == set(np.flatnonzero(v[k] @ v.T >= 0.9 - 1e-4).tolist())
+
+
+def test_crowded_buckets_and_lost_ways_leave_out_no_link(monkeypatch):
+    rng = np.random.default_rng(22)
+    v = np.concatenate((rng.normal(size=(600, 3)), rng.normal(size=3) + 0.01 * rng.normal(size=(300, 3))))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, order = hnsw.build(v)
+    true = [set(np.flatnonzero(x @ v.T >= 0.9 - 1e-4).tolist()) for x in v]
+    buckets, none = hnsw.Buckets(graph.x, 0.9), np.full(len(v), -1)
+    assert [set(order[near].tolist()) for near in hnsw.linked(graph, v, 0.9, buckets=buckets, same=np.argsort(order))] == true
+    monkeypatch.setattr(buckets, "near", lambda q, same: (np.empty(0, int), np.empty(0, int), np.zeros(len(q), bool)))
+    assert [set(order[near].tolist()) for near in hnsw.linked(graph, v, 0.9, buckets=buckets, same=none)] == true
+    assert not graph.routed and hnsw._tables(0.5) == 0
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(7)
     for _ in range(50):
